@@ -1,0 +1,7 @@
+"""SQL equivalents of the core queries."""
+
+from __future__ import annotations
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"zone_summary": "SELECT method, count(*) AS n FROM metric_records GROUP BY method"}

@@ -1,0 +1,18 @@
+"""Queries of the core operators over the tables of a folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mooring.session import table
+
+
+def zone_summary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "metric_records").groupBy("method").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"zone_summary": zone_summary}
