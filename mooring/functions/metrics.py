@@ -52,20 +52,30 @@ def probabilistic_anchoring(base: Column, final: Column) -> Column:
     return F.when(base.isNull() | final.isNull() | F.isnan(h) | (h <= EPSILON_BITS), F.lit(0.0)).otherwise(_clip01(gain))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    A Column is an expression, not a value: used twice it is computed twice, and
+    nested array functions multiply that. A lambda over a one-element array binds it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
 def _variance(a: Column) -> Column:
-    m = _mean(a)
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)
+    return let(_mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))
 
 
 def segment_means(entropies: Column, bounds: Column) -> Column:
     """Mean of each segment between neighbouring bounds, empty segments left out."""
-    spans = F.when(F.size(bounds) < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.size(bounds) - 1))
-    parts = F.transform(spans, lambda i: F.slice(entropies, F.element_at(bounds, i) + 1, F.greatest(F.element_at(bounds, i + 1) - F.element_at(bounds, i), F.lit(0))))
-    return F.transform(F.filter(parts, lambda p: F.size(p) > 0), _mean)
+    def spans(e: Column, b: Column) -> Column:
+        pairs = F.when(F.size(b) < 2, F.array().cast("array<struct<a:int,b:int>>")).otherwise(F.transform(F.slice(b, 2, F.size(b)), lambda x, i: F.struct(F.element_at(b, i + 1).alias("a"), x.alias("b"))))
+        return F.transform(F.filter(pairs, lambda p: F.least(p["b"], F.size(e)) > p["a"]), lambda p: let(F.slice(e, p["a"] + 1, p["b"] - p["a"]), _mean))
+
+    return let(F.struct(entropies.alias("e"), bounds.alias("b")), lambda x: spans(x["e"], x["b"]))
 
 
 def window_bounds(n: Column, width: int = WINDOW) -> Column:
@@ -81,15 +91,25 @@ def entropy_of_means(means: Column) -> Column:
     uniformity exp(-std/mean) of the absolute differences, both with population
     moments; the result is sqrt((1 - local) * global).
     """
-    low, high = F.array_min(means), F.array_max(means)
-    nan = F.exists(means, F.isnan)
-    flat = nan | (high - low <= EPSILON_RANGE)
-    z = F.transform(means, lambda v: F.when(flat, F.lit(0.0)).otherwise((v - low) / (high - low)))
-    diff = F.transform(F.sequence(F.lit(1), F.size(means) - 1), lambda i: F.abs(F.element_at(z, i + 1) - F.element_at(z, i)))
-    spread = F.lit(1.0) - F.least(_variance(z) / 0.25, F.lit(1.0))
-    mean = _mean(diff)
-    local = F.when(mean > EPSILON_RANGE, F.exp(-F.sqrt(_variance(diff)) / mean)).otherwise(F.lit(1.0))
-    return F.when(means.isNull() | (F.size(means) < 2), F.lit(0.0)).otherwise(F.sqrt((1 - local) * spread))
+    return F.when(means.isNull(), F.lit(0.0)).otherwise(let(means, lambda v: F.when(F.size(v) < 2, F.lit(0.0)).otherwise(let(_normalised(v), _uniformity))))
+
+
+def _normalised(v: Column) -> Column:
+    def scale(r: Column) -> Column:
+        flat = r["nan"] | (r["high"] - r["low"] <= EPSILON_RANGE)
+        return F.transform(v, lambda x: F.when(flat, F.lit(0.0)).otherwise((x - r["low"]) / (r["high"] - r["low"])))
+
+    return let(F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high"), F.exists(v, F.isnan).alias("nan")), scale)
+
+
+def _uniformity(z: Column) -> Column:
+    def of(d: Column) -> Column:
+        mean = _mean(d)
+        local = F.when(mean > EPSILON_RANGE, F.exp(-F.sqrt(_variance(d)) / mean)).otherwise(F.lit(1.0))
+        return F.sqrt((1 - local) * (F.lit(1.0) - F.least(_variance(z) / 0.25, F.lit(1.0))))
+
+    steps = F.transform(F.slice(z, 2, F.size(z)), lambda x, i: F.abs(x - F.element_at(z, i + 1)))
+    return let(steps, of)
 
 
 def entropy_anchoring(entropies: Column, bounds: Column) -> Column:
@@ -119,6 +139,6 @@ def prefix_end(ends: Column, step: Column) -> Column:
 
 def step_ends(step_sizes: Column, separator: int = 0) -> Column:
     """Cumulative end offset of each step; a separator stands before every one but the first."""
-    i = F.sequence(F.lit(1), F.size(step_sizes))
-    sums = F.transform(i, lambda k: F.aggregate(F.slice(step_sizes, 1, k), F.lit(0), lambda s, x: s + x) + (k - 1) * separator)
-    return F.when(F.size(step_sizes) == 0, F.array(F.lit(0))).otherwise(sums)
+    # running sums in one pass: the last sum is the end of the array built so far
+    sums = F.aggregate(step_sizes, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + separator, F.lit(0)) + n))
+    return let(sums, lambda x: F.when(F.size(x) == 0, F.array(F.lit(0))).otherwise(x))

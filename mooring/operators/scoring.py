@@ -42,44 +42,51 @@ def entropy_context(context: Column, question: Column) -> Column:
     return F.when(X.blank(context), X.text(question)).otherwise(context)
 
 
-def word_shares(long: DataFrame, *columns: str) -> DataFrame:
-    """``token, share`` over all words of the columns, from all rows.
+def token_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., size, token, n, c``: how often each word is in the answer (n) and the trace (c).
 
-    A full aggregation with partial counts; the vocabulary grows with the data and
-    is therefore joined, never broadcast by force.
+    ``size``: words of the trace. One explode and one shuffle for both texts, each
+    distinct word of a text being one row.
     """
-    words = long.select(F.explode(F.flatten(F.array(*[X.words(F.col(c)) for c in columns]))).alias("token"))
-    counts = words.groupBy("token").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("of"))
-    return counts.crossJoin(F.broadcast(total)).select("token", (F.col("n") / F.col("of")).alias("share"))  # the other side is one row
+    a, r = X.words(F.col("answer")), X.words(F.col("reasoning"))
+    both = F.concat(F.transform(a, lambda w: F.concat(F.lit("a"), w)), F.transform(r, lambda w: F.concat(F.lit("r"), w)))
+    # the size is worked out below the explode, else it would be once for each word
+    words = long.select(*keys, F.size(r).alias("size"), both.alias("w")).select(*keys, "size", F.explode("w").alias("w"))
+    mine = F.left("w", F.lit(1)) == "a"
+    return words.groupBy(*keys, "size", F.substring("w", 2, 2**31 - 1).alias("token")).agg(F.count_if(mine).alias("n"), F.count_if(~mine).alias("c"))
 
 
-def likelihoods(long: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
+def word_shares(counts: DataFrame) -> DataFrame:
+    """``token, share`` over the words of all texts of ``counts(token, n[, c])``.
+
+    The vocabulary grows with the data and is therefore joined, never broadcast by
+    force; only the total is one row.
+    """
+    n = F.sum(F.col("n") + F.col("c")) if "c" in counts.columns else F.sum("n")
+    each = counts.groupBy("token").agg(n.alias("n"))
+    total = each.agg(F.sum("n").alias("of"))
+    return each.crossJoin(F.broadcast(total)).select("token", (F.col("n") / F.col("of")).alias("share"))
+
+
+def likelihoods(counts: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys..., n, base, final``: natural log-likelihood of the answer's words.
 
     ``base`` by their shares alone, ``final`` by the mean of their share and their
-    frequency in the trace. Answers and traces are counted per distinct word
-    before any join, so a common word costs one row a text.
+    frequency in the trace. ``counts`` of :func:`token_counts`.
     """
-    keys = list(keys)
-    a = long.select(*keys, F.explode(X.words(F.col("answer"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    r = long.select(*keys, F.size(X.words(F.col("reasoning"))).alias("size"), F.explode(X.words(F.col("reasoning"))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("c"), F.first("size").alias("size"))
-    j = a.join(r, [*keys, "token"], "left").join(shares, "token").withColumn("p", 0.5 * F.coalesce(F.col("c") / F.col("size"), F.lit(0.0)) + 0.5 * F.col("share"))
+    j = counts.where("n > 0").join(shares, "token").withColumn("p", 0.5 * F.col("c") / F.col("size") + 0.5 * F.col("share"))
     return j.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("share")).alias("base"), F.sum(F.col("n") * F.log("p")).alias("final"))
 
 
-def surprisals(long: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys..., step, pos, entropy``: -ln share of each trace word, the entropy stand-in.
+def trace_tokens(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., pos, step, token``: the words of each trace; ``step`` counts from 1, ``pos`` from 0."""
+    each = F.flatten(F.transform(X.steps(F.col("reasoning")), lambda s, i: F.transform(X.words(s), lambda w: F.struct((i + 1).alias("step"), w.alias("token")))))
+    return long.select(*keys, F.posexplode(each).alias("pos", "x")).select(*keys, "pos", "x.step", "x.token")
 
-    ``step`` counts from 1, ``pos`` from 0 over the whole trace.
-    """
-    keys = list(keys)
-    steps = long.select(*keys, F.posexplode(X.steps(F.col("reasoning"))).alias("step", "t"))
-    ends = long.select(*keys, F.transform(X.steps(F.col("reasoning")), lambda s: F.size(X.words(s))).alias("sizes"))
-    tokens = steps.select(*keys, (F.col("step") + 1).alias("step"), F.posexplode(X.words(F.col("t"))).alias("at", "token"))
-    j = tokens.join(shares, "token").join(ends, keys)
-    before = F.aggregate(F.slice("sizes", 1, F.col("step") - 1), F.lit(0), lambda s, x: s + x)
-    return j.select(*keys, "step", (before + F.col("at")).alias("pos"), (-F.log("share")).alias("entropy"))
+
+def surprisals(tokens: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., step, pos, entropy``: -ln share of each trace word, the entropy stand-in."""
+    return tokens.join(shares, "token").select(*keys, "step", "pos", (-F.log("share")).alias("entropy"))
 
 
 class SurrogateScorer:
@@ -90,11 +97,12 @@ class SurrogateScorer:
 
     def score(self, long: DataFrame) -> DataFrame:
         k = self.keys
-        shares = self.shares if self.shares is not None else word_shares(long, "answer", "reasoning")
+        counts = token_counts(long, k)
+        shares = self.shares if self.shares is not None else word_shares(counts)
         base = long.select(*k, X.words(F.col("answer")).alias("ans_tokens"), F.transform(X.steps(F.col("reasoning")), X.words).alias("_steps"))
         base = base.select(*k, F.flatten("_steps").alias("reason_tokens"), "ans_tokens", M.step_ends(F.transform("_steps", lambda s: F.size(s))).alias("end_pos"))
-        e = surprisals(long, shares, k).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("pos", "entropy"))).alias("e"))
-        lk = likelihoods(long, shares, k)
+        e = surprisals(trace_tokens(long, k), shares, k).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("pos", "entropy"))).alias("e"))
+        lk = likelihoods(counts, shares, k)
         out = base.join(lk, k, "left").join(e, k, "left")
         return out.select(*k, "reason_tokens", "ans_tokens", "end_pos", M.ln_to_log10(F.col("base")).alias("log10p_base"), M.ln_to_log10(F.col("final")).alias("log10p_final"), F.col("e.entropy").alias("entropies"), F.lit(None).cast("string").alias("error"))
 

@@ -183,22 +183,29 @@ def lexical_anchoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prob_anchoring(spark: SparkSession, d: str) -> DataFrame:
-    long = _long(spark, d)
-    lk = scoring.likelihoods(long, scoring.word_shares(long, "answer", "reasoning"), ["sample_idx", "method"])
+    counts = scoring.token_counts(_long(spark, d), ["sample_idx", "method"])
+    lk = scoring.likelihoods(counts, scoring.word_shares(counts), ["sample_idx", "method"])
     bits = lambda c: M.bits_per_token(M.ln_to_log10(F.col(c)), F.col("n"))
     return lk.select("sample_idx", "method", F.col("n").alias("answer_words"), _round(bits("base")).alias("base_bits"), _round(bits("final")).alias("final_bits"), _round(M.probabilistic_anchoring(bits("base"), bits("final"))).alias("aprob"))
 
 
+def _surprisals(long: DataFrame) -> DataFrame:
+    keys = ["sample_idx", "method"]
+    tokens = scoring.trace_tokens(long, keys)
+    shares = scoring.word_shares(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    return scoring.surprisals(tokens, shares, keys)
+
+
 def entropy_anchoring(spark: SparkSession, d: str) -> DataFrame:
     long = _long(spark, d)
-    means = scoring.surprisals(long, scoring.word_shares(long, "reasoning"), ["sample_idx", "method"]).where("step > 1").groupBy("sample_idx", "method", "step").agg(F.avg("entropy").alias("v"))
+    means = _surprisals(long).where("step > 1").groupBy("sample_idx", "method", "step").agg(F.avg("entropy").alias("v"))
     g = means.groupBy("sample_idx", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "v"))), lambda x: x["v"]).alias("v"))
     return long.select("sample_idx", "method").join(g, ["sample_idx", "method"], "left").select("sample_idx", "method", _round(F.coalesce(M.entropy_of_means(F.col("v")), F.lit(0.0))).alias("entropy_anchoring"))
 
 
 def entropy_fixed_windows(spark: SparkSession, d: str) -> DataFrame:
     long = _long(spark, d)
-    s = scoring.surprisals(long, scoring.word_shares(long, "reasoning"), ["sample_idx", "method"])
+    s = _surprisals(long)
     means = s.groupBy("sample_idx", "method", F.floor(F.col("pos") / M.WINDOW).alias("w")).agg(F.avg("entropy").alias("v"))
     g = means.groupBy("sample_idx", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("v"))
     return g.select("sample_idx", "method", F.size("v").alias("windows"), _round(M.entropy_of_means(F.col("v"))).alias("entropy_anchoring"))

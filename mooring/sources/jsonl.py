@@ -59,9 +59,9 @@ def read_metric_records(spark: SparkSession, path: str) -> DataFrame:
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    files = [path] if fs.getFileStatus(p).isFile() else [str(s.getPath()) for g in ("metrics_rank*.jsonl", "*.jsonl") for s in (fs.globStatus(hadoop.Path(p, g)) or [])]
-    rank = [f for f in files if f.rsplit("/", 1)[-1].startswith("metrics_rank")]
-    df = spark.read.schema(METRIC_RECORD).option("allowNonNumericNumbers", "true").json(rank or files) if files else None
+    glob = lambda g: [str(x.getPath()) for x in (fs.globStatus(hadoop.Path(p, g)) or [])]
+    files = [path] if fs.getFileStatus(p).isFile() else glob("metrics_rank*.jsonl") or glob("*.jsonl")
+    df = spark.read.schema(METRIC_RECORD).option("allowNonNumericNumbers", "true").json(files) if files else None
     if df is None or df.isEmpty():
         raise FileNotFoundError(f"no metric records in {path}")
     return df

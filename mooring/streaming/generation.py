@@ -19,20 +19,19 @@ from mooring.session import cut
 
 
 def read_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """All raw rows of the folder with ``seq``: batch first, then place in the batch."""
+    """All raw rows of the folder; ``seq`` is their batch, in which keys are unique."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     p = hadoop.Path(folder)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], RAW_GENERATION).withColumn("seq", F.lit(None).cast("bigint"))
-    df = spark.read.option("basePath", folder).schema(RAW_GENERATION).parquet(f"{folder}/batch=*")
-    return df.withColumn("seq", F.regexp_extract(F.input_file_name(), r"batch=(\d+)", 1).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id() % F.lit(1 << 40))
+    return spark.read.option("basePath", folder).schema(RAW_GENERATION.simpleString()[7:-1].replace(":", " ") + ", batch bigint").parquet(f"{folder}/batch=*").withColumnRenamed("batch", "seq")
 
 
 def generate_stream(requests: DataFrame, folder: str, make: Callable[[], G.Generator], checkpoint: str, chunk: int = 256) -> StreamingQuery:
     """Starts the query: available requests are generated in micro-batches, then it ends."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        todo = G.pending(batch.dropDuplicates(["row_idx", "method"]), read_raw(batch.sparkSession, folder).where(F.col("seq") < F.lit(batch_id) * F.lit(1 << 40)))
+        todo = G.pending(batch.dropDuplicates(["row_idx", "method"]), read_raw(batch.sparkSession, folder).where(F.col("seq") < batch_id))
         cut(G.generate(todo, make, chunk)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -49,7 +48,7 @@ def window_summary(records: DataFrame, window: str = "1 day", late: str = "7 day
     Rows later than the watermark are left out by Spark.
     """
     return (
-        records.withWatermark("scored_at", late)
+        records.withColumn("scored_at", F.col("scored_at").cast("timestamp")).withWatermark("scored_at", late)
         .groupBy("method", F.window("scored_at", window).alias("w"))
         .agg(F.count("*").alias("n"), F.avg(F.when(~F.isnan("aprob") & (F.abs("aprob") < float("inf")), F.col("aprob"))).alias("mean_aprob"))
         .select("method", F.col("w.start").alias("start"), "n", "mean_aprob")
