@@ -74,7 +74,7 @@ _WITH = [
     r"es\s+tut\s+mir\s+leid|tut\s+mir\s+leid|leider|als\s+(?:ki-)?(?:assistent|sprachmodell)(?:in)?|danke\s+für\s+(?:die|ihre|deine)\s+(?:frage|verständnis)|vielen\s+dank(?:\s+für\s+\w+\s+\w+)?|hallo|guten\s+tag|ich\s+habe\s+die\s+(?:aufgabe|frage)\s+gelesen|diese\s+(?:anfrage|frage)|dazu|mich|nicht|ich|zu\s+diesem\s+thema",
     r"lo\s+siento(?:\s+mucho)?|lamentablemente|como\s+(?:asistente|modelo\s+de\s+lenguaje)|gracias\s+por\s+(?:la|tu|su)\s+(?:pregunta|comprensión)|hola|he\s+leído\s+(?:el\s+enunciado|la\s+pregunta|la\s+tarea)|con\s+(?:esa|esta)\s+(?:solicitud|petición|pregunta)|a\s+esta\s+pregunta|sobre\s+este\s+tema|pero",
     r"je\s+suis\s+désolée?|désolée?|malheureusement|en\s+tant\s+qu['’](?:assistant|ia)\w*|merci\s+(?:pour|de)\s+(?:la|votre|cette)\s+(?:question|compréhension)|bonjour|j['’]ai\s+lu\s+(?:l['’]énoncé|la\s+question)|(?:avec|à)\s+cette\s+(?:demande|question)|sur\s+ce\s+sujet|mais",
-    r"desculpe|lamento|infelizmente|sinto\s+muito|como\s+(?:assistente|modelo\s+de\s+linguagem)|obrigad[oa]\s+pela\s+(?:pergunta|compreensão)|olá|(?:já\s+)?li\s+(?:o\s+enunciado|a\s+pergunta|a\s+tarefa)|com\s+(?:esse|este)\s+pedido|a\s+(?:esta|essa)\s+pergunta|a\s+resposta|sobre\s+(?:este|esse)\s+assunto|mas",
+    r"desculpe|lamento|infelizmente|sinto\s+muito|como\s+(?:assistente|modelo\s+de\s+linguagem)|obrigad[oa]\s+pela\s+(?:pergunta|compreensão)|olá|(?:já\s+)?li\s+(?:o\s+enunciado|a\s+pergunta|a\s+tarefa)|com\s+(?:esse|este)\s+pedido|a\s+(?:esta|essa)\s+pergunta|(?:a\s+)?resposta|sobre\s+(?:este|esse)\s+assunto|mas",
     r"mi\s+dispiace|purtroppo|spiacente|come\s+(?:assistente|modello\s+linguistico)|grazie\s+per\s+la\s+(?:domanda|comprensione)|ciao|buongiorno|ho\s+letto\s+(?:il\s+testo|la\s+domanda|il\s+compito|la\s+traccia)|con\s+questa\s+richiesta|a\s+questa\s+domanda|su\s+questo\s+tema|di\s+rispondere|ma",
     r"het\s+spijt\s+me|sorry|helaas|als\s+(?:assistent|taalmodel)|bedankt\s+voor\s+(?:de|je|uw)\s+(?:vraag|begrip)|dank\s+u|hallo|ik\s+heb\s+de\s+(?:opgave|vraag)\s+gelezen|(?:dit|deze)\s+(?:verzoek|vraag)|op\s+deze\s+vraag|ik",
     r"извините|простите|к\s+сожалению|как\s+(?:помощник|языковая\s+модель|ассистент)|спасибо\s+за\s+(?:вопрос|понимание)|здравствуйте|привет|я\s+(?:прочитал\w*|прочёл)\s+(?:задачу|условие|вопрос)|(?:с|на)\s+(?:этим|этот|данный)\s+(?:запросом|вопрос)|эту\s+тему|но|я|от\s+ответа",
