@@ -37,7 +37,7 @@ LIMIT_COUNT, LIMIT_RATIO, LIMIT_AROUND = 8, 8.0, 50
 #: At most so many limits a source, the most frequent ones.
 LIMITS = 4
 #: Scores of complete and cut texts lie far apart; this cut stands between them.
-THRESHOLD = 0.25
+THRESHOLD = 0.28
 
 _CLOSER = re.compile(r"</[A-Za-z][\w-]*\s*>\Z")
 #: Things storage systems put after a cut.
