@@ -158,5 +158,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_percentiles, p1_rank_check, p1_by_day, p1_merged_days, p2_found, p2_scores, p2_source_shares, p3_found, p3_kinds, p4_found, p4_shares, p5_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_languages, p8_segments)
+    own = (p1_by_day, p1_percentiles, p1_rank_check, p1_merged_days, p2_found, p2_scores, p2_source_shares, p3_found, p3_kinds, p4_found, p4_shares, p5_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_languages, p8_segments)
     return {f.__name__: f for f in own}
