@@ -33,18 +33,30 @@ MARGIN_BITS, MARGIN_RATE = 20.0, 0.8
 #: Bytes of text scored at once on a worker.
 CHUNK_BYTES = 1 << 19
 
+#: What doesn't count, each with the signs one of which it needs.
 _BLANK = [
-    re.compile(r"```.*?(?:```|\Z)", re.S),
-    re.compile(r"`[^`\n]*(?:`|$)", re.M),
-    re.compile(r"\$\$.*?\$\$|\$[^$\n]{1,80}\$|\\\[.*?\\\]|\\\(.*?\\\)", re.S),
-    re.compile(r"<skeleton>.*?(?:</skeleton>|\Z)", re.S | re.I),
-    re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>"),
-    re.compile(r"\\[A-Za-z]+(?:\{[^{}\n]*\})*|https?://\S+|\S+@\S+\.\S+"),
-    re.compile("\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‹[^›\n]{1,200}›|「[^」\n]{1,400}」|『[^』\n]{1,400}』|《[^》\n]{1,200}》|‘[^’\n]{2,200}’(?!\\w)|(?<![\\w’'])'[^'\n]{2,200}'(?!\\w)"),
+    ("```", re.compile(r"```.*?(?:```|\Z)", re.S)),
+    ("`", re.compile(r"`[^`\n]*(?:`|$)", re.M)),
+    ("$", re.compile(r"\$\$.*?\$\$|\$[^$\n]{1,80}\$", re.S)),
+    ("\\", re.compile(r"\\\[.*?\\\]|\\\(.*?\\\)|\\[A-Za-z]+(?:\{[^{}\n]*\})*", re.S)),
+    ("<", re.compile(r"<skeleton>.*?(?:</skeleton>|\Z)|</?[A-Za-z!][^<>\n]{0,200}>", re.S | re.I)),
+    ("://", re.compile(r"https?://\S+")),
+    ("@", re.compile(r"\S+@\S+\.\S+")),
+    ('"', re.compile('"[^"\n]{1,400}"')),
+    ("“„«‹「『《‘", re.compile("“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‹[^›\n]{1,200}›|「[^」\n]{1,400}」|『[^』\n]{1,400}』|《[^》\n]{1,200}》|‘[^’\n]{2,200}’(?!\\w)")),
+    ("'", re.compile(r"(?<![\w’'])'[^'\n]{2,200}'(?!\w)")),
 ]
+
+
+def _spaces(m: re.Match) -> str:
+    s = m.group()
+    return " " * len(s) if "\n" not in s else re.sub(r"[^\n]", " ", s)
+
+
 _SENTENCE = re.compile(r"[^.?!。？！…\n]*(?:(?:\.(?!\s|\Z|[\"'”’»)\]])|…(?!\s|\Z))[^.?!。？！…\n]*)*(?:[.?!]+|[。？！…]+)[\"'”’»)\]]*")
 _HEAD = re.compile(r"\s*(?:[-*•>#|]+\s+|\(?\d{1,3}[.)]\s+|\*{1,3})*(?:[^\W\d_]+\s*\d*\s*[:：]\s*)?(?:\*{1,3}\s*)?")
 _RESULT = re.compile(r"\s*[^:：\n]{1,40}[:：]\**(?:(?![^\W\d_]{3}).)*\Z")
+_NUMBER = re.compile(r"\d[\d.,/]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -58,8 +70,9 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
     """
     if not text:
         return []
-    for p in _BLANK:
-        text = p.sub(lambda m: " " * len(m.group()) if "\n" not in m.group() else re.sub(r"[^\n]", " ", m.group()), text)
+    for signs, p in _BLANK:
+        if signs in text or len(signs) == 8 and any(x in text for x in signs):
+            text = p.sub(_spaces, text)
     out = []
     at = 0
     for line in text.split("\n"):
@@ -71,8 +84,8 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
         for m in _SENTENCE.finditer(line, head):
             s = m.group()
             words = _WORD.findall(s)
-            han = len(_CJK.findall(s))
-            if _RESULT.match(s):
+            han = 0 if s.isascii() else len(_CJK.findall(s))
+            if (":" in s or "：" in s) and _RESULT.match(s):
                 continue
             if han >= 4 or len(words) >= 2 and sum(map(len, words)) >= 8:
                 out.append((start + m.start() + len(s) - len(s.lstrip()), start + m.end(), s))
@@ -81,7 +94,7 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
 
 def clean(sentence: str) -> bytes:
     """What of a sentence is scored: lower case, digits as one sign, single spaces."""
-    return (" " + re.sub(r"\d[\d.,/]*", "0", re.sub(r"\s+", " ", sentence.strip().lower()))).encode("utf-8", "replace")
+    return (" " + _NUMBER.sub("0", " ".join(sentence.lower().split()))).encode("utf-8", "replace")
 
 
 def label_code(lang: Column, codes: list[tuple[str, str, str]]) -> Column:
