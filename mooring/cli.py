@@ -7,7 +7,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from mooring.operators import prepare
+from mooring.operators import generation, prepare
 from mooring.plans import pipeline, report
 from mooring.schemas import CONVERSATION_ROW, MAIN_METHODS
 from mooring.session import local_session
@@ -28,6 +28,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     command("convert", ("--input", need), ("--output", need), ("--method", {"default": "SSR"}))
     command("controlled", ("--input", need), ("--output", need), ("--base-method", {"default": "SSR"}))
     command("build", ("--input", need), ("--raw-output", need), ("--output", need), ("--mode", {"choices": ["rcot", "r0"], "default": "rcot"}), methods, ("--limit", {"type": int}))
+    command("generate", ("--input", need), ("--raw-output", need), ("--model", {"help": "local checkpoint; without one prompts are echoed"}), ("--mode", {"choices": ["rcot", "r0"], "default": "rcot"}), methods, ("--prompt-context-method", {"default": "same"}), ("--limit", {"type": int}), ("--chunk-size", {"type": int, "default": 256}))
     command("aggregate", ("--input", need), ("--output", need), ("--group-by", {"default": "method"}))
     command("zones", ("--metrics", need), ("--out-dir", need), ("--prefix", need), ("--zone-quantile", {"type": float, "default": 0.6}))
     command("pipeline", ("--input", need), ("--run-dir", need), methods, ("--base-method", {"default": "SSR"}), ("--force", {"action": "store_true"}), ("--skip-metrics", {"action": "store_true"}), ("--skip-controlled-metrics", {"action": "store_true"}))
@@ -53,7 +54,10 @@ def main(argv: Sequence[str] | None = None) -> None:
         n = jsonl.write_jsonl(prepare.to_wide(long).orderBy("sample_idx").drop("sample_idx"), a.output)
         say({"mode": "controlled", "input": a.input, "output": a.output, "base_method": a.base_method, "written": n})
     elif a.what == "build":
-        say(pipeline.build_only(spark, a.input, a.raw_output, a.output, a.mode, [m.strip() for m in own if m.strip()], a.limit))
+        say(pipeline.build_only(spark, a.input, a.raw_output, a.output, a.mode, generation.split_methods(a.methods), a.limit))
+    elif a.what == "generate":
+        make = generation.vllm_generator(a.model) if a.model else generation.echo_generator
+        say(pipeline.generate_missing(spark, a.input, a.raw_output, make, a.mode, generation.split_methods(a.methods), a.prompt_context_method, a.limit, a.chunk_size))
     elif a.what == "aggregate":
         print(report.aggregate_text(pipeline.aggregate_file(spark, Path(a.input), Path(a.output), a.group_by)))
     elif a.what == "zones":

@@ -55,6 +55,11 @@ def chat(system: Column, user: Column) -> Column:
     return F.concat(F.lit("<|im_start|>system\n"), system, F.lit("<|im_end|>\n<|im_start|>user\n"), user, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
 
 
+def chat_prefix(user: Column) -> Column:
+    """The same for a user message alone, as scoring conditions on it."""
+    return F.concat(F.lit("<|im_start|>user\n"), user, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
 def rcot_requests(rows: DataFrame, methods: Sequence[str], context_method: str = "same", limit: int | None = None, template: Callable[[Column, Column], Column] = chat) -> DataFrame:
     """A request for each row and method with a context that isn't blank.
 
@@ -124,6 +129,27 @@ def echo_generator() -> Generator:
     return lambda prompts: [(f"<reason>{p.strip().splitlines()[-1]}</reason>", "stop", len(p.split())) for p in prompts]
 
 
+def vllm_generator(model: str, max_tokens: int = 8192, context: int = 32768, temperature: float = 0.0, top_p: float = 1.0, seed: int = 42, devices: int = 1, memory: float = 0.9) -> Callable[[], Generator]:
+    """A generator on a local inference engine, if one is installed; untested here.
+
+    Greedy and seeded by default. No output of the engine gives an empty text.
+    """
+
+    def make() -> Generator:
+        from vllm import LLM, SamplingParams
+
+        llm = LLM(model=model, tensor_parallel_size=devices, gpu_memory_utilization=memory, max_model_len=context, seed=seed)
+        params = SamplingParams(temperature=temperature, top_p=top_p, max_tokens=max_tokens, seed=seed)
+
+        def run(prompts: list[str]) -> list[tuple[str, str, int]]:
+            outs = [o.outputs[0] if o.outputs else None for o in llm.generate(prompts, params)]
+            return [("", "", 0) if o is None else (o.text, o.finish_reason or "", len(o.token_ids)) for o in outs]
+
+        return run
+
+    return make
+
+
 def _parsed(rows: DataFrame, methods: Column, raw: DataFrame, limit: int | None) -> DataFrame:
     """``row_idx, method_pos, method`` of all wanted pairs with the parse of their latest output."""
     head = rows if limit is None else rows.where(F.col("row_idx") < limit)

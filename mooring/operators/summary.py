@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mooring.functions import metrics as M
+from mooring.operators.quantile import quantiles
 from mooring.schemas import CONTROL_METHODS, MAIN_METHODS, ZONES
 
 METRICS = ("lexical_anchoring", "entropy_anchoring", "aprob")
@@ -52,12 +53,11 @@ def scale(records: DataFrame, y: str = "aprob") -> DataFrame:
 def thresholds(records: DataFrame, quantile: float = 0.6, x: str = "entropy_anchoring", y: str = "aprob") -> DataFrame:
     """One row ``quantile, x_threshold, y_threshold`` of all methods pooled, over finite values.
 
-    Exact, linearly interpolated quantiles. Spark counts distinct values per task
-    before merging; an error if a column has no finite value.
+    Exact, linearly interpolated quantiles (see :mod:`mooring.operators.quantile`);
+    an error if a column has no finite value.
     """
-    q = lambda c: F.percentile(F.when(M.finite(F.col(c)), F.col(c)), F.lit(quantile))
-    some = lambda c: F.coalesce(c, F.raise_error(F.lit("no finite value to take a quantile of")).cast("double"))
-    return records.agg(q(x).alias("x_threshold"), q(y).alias("y_threshold")).select(F.lit(quantile).alias("quantile"), some(F.col("x_threshold")).alias("x_threshold"), some(F.col("y_threshold")).alias("y_threshold"))
+    some = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("no finite value to take a quantile of")).cast("double"))
+    return quantiles(records, [x, y], quantile).select(F.lit(quantile).alias("quantile"), some(x).alias("x_threshold"), some(y).alias("y_threshold"))
 
 
 def zones(records: DataFrame, quantile: float = 0.6, lexical: str = "lexical_anchoring", x: str = "entropy_anchoring", y: str = "aprob", scaled: bool = False) -> DataFrame:

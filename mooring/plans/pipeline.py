@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import shutil
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mooring.operators import generation as G
 from mooring.operators import prepare, scoring, summary
 from mooring.plans import report
 from mooring.schemas import CONTROL_METHODS, MAIN_METHODS, METRIC_ROW
+from mooring.session import cut
 from mooring.sources import jsonl
 
 
@@ -110,10 +112,17 @@ def run(
     return manifest
 
 
+def generate_missing(spark: SparkSession, rows_path: str, raw_path: str, make: Callable[[], G.Generator], mode: str = "rcot", methods: Sequence[str] = MAIN_METHODS, context_method: str = "same", limit: int | None = None, chunk: int = 256) -> dict:
+    """Generates what has no raw output yet and appends it to ``raw_path``; a rerun goes on where the last ended."""
+    rows = jsonl.read_jsonl(spark, rows_path, METRIC_ROW, numbered=True).withColumn("row_idx", F.col("row_no").cast("int"))
+    requests = G.rcot_requests(rows, methods, context_method, limit) if mode == "rcot" else G.r0_requests(rows, methods[0], limit)
+    todo = G.pending(requests, jsonl.read_completed(spark, raw_path))
+    n = jsonl.append_jsonl(cut(G.generate(todo, make, chunk)), raw_path)
+    return {"mode": mode, "requests": requests.count(), "generated": n, "raw_output": raw_path}
+
+
 def build_only(spark: SparkSession, rows_path: str, raw_path: str, output: str, mode: str = "rcot", methods: Sequence[str] = MAIN_METHODS, limit: int | None = None) -> dict:
     """Parses existing raw outputs into metric rows: no model, no tokenizer."""
-    from mooring.operators import generation as G
-
     rows = jsonl.read_jsonl(spark, rows_path, METRIC_ROW, numbered=True).withColumn("row_idx", F.col("row_no").cast("int"))
     raw = jsonl.read_completed(spark, raw_path).withColumn("seq", F.lit(0))
     built, rejected = G.dispatch(mode, rows, raw, methods, limit)

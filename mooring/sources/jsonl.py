@@ -18,12 +18,33 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, row_no, _line``: physical line numbers and numbers among non-blank lines, from 0.
 
     Text files carry no row index, so lines are numbered once, at ingest, by the
-    order of the input splits; ``row_no`` is null on blank lines.
+    order of the input splits: a first pass counts both kinds of lines in each
+    split, a second numbers them in place. No shuffle. ``row_no`` is null on blank
+    lines.
     """
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
-    df = spark.createDataFrame(lines, T.StructType([T.StructField("line_no", T.LongType()), T.StructField(RAW_LINE, T.StringType())]))
-    own = df.where(strip(F.col(RAW_LINE)) != "").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return df.join(spark.createDataFrame(own, "line_no bigint, row_no bigint"), "line_no", "left").select("line_no", "row_no", RAW_LINE)
+    rdd = spark.read.text(path).rdd
+
+    def count(i, rows):
+        n = full = 0
+        for r in rows:
+            n += 1
+            full += bool(r[0].strip())
+        yield i, n, full
+
+    starts, line, row = {}, 0, 0
+    for i, n, full in sorted(rdd.mapPartitionsWithIndex(count).collect()):  # a triple a split
+        starts[i] = (line, row)
+        line, row = line + n, row + full
+
+    def number(i, rows):
+        line, row = starts[i]
+        for r in rows:
+            full = bool(r[0].strip())
+            yield line, (row if full else None), r[0]
+            line, row = line + 1, row + full
+
+    schema = T.StructType([T.StructField("line_no", T.LongType()), T.StructField("row_no", T.LongType()), T.StructField(RAW_LINE, T.StringType())])
+    return spark.createDataFrame(rdd.mapPartitionsWithIndex(number), schema, verifySchema=False)
 
 
 def parse_lines(lines: DataFrame, schema: T.StructType, strict: bool = True) -> DataFrame:

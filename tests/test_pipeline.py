@@ -105,6 +105,17 @@ def test_build_only(spark, tmp_path):
     assert (s["complete_rows"], s["rejected_rows"]) == (1, 1)
 
 
+def test_generate_goes_on_where_it_ended(spark, tmp_path):
+    src, raw = lines(tmp_path / "in.jsonl", example(0), example(1)), str(tmp_path / "raw")
+    first = pipeline.generate_missing(spark, src, raw, G.echo_generator, methods=["NEU"])
+    again = pipeline.generate_missing(spark, src, raw, G.echo_generator, methods=["NEU", "SSR"])
+    assert (first["generated"], again["generated"], again["requests"]) == (2, 2, 4)
+    s = pipeline.build_only(spark, src, raw, str(tmp_path / "o.jsonl"), methods=["NEU", "SSR"])
+    assert (s["complete_rows"], s["parse_counts"]) == (2, {"tagged": 4})
+    cli.main(["generate", "--input", src, "--raw-output", raw, "--mode", "r0", "--methods", "R0"])
+    assert jsonl.read_completed(spark, raw).where("method = 'R0'").count() == 2
+
+
 def test_cli(spark, tmp_path, capsys):
     src = lines(tmp_path / "in.jsonl", example(0), {**example(1), "answers": {}})
     cli.main(["validate", "--input", src, "--output", str(tmp_path / "v")])
