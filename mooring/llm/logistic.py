@@ -33,8 +33,13 @@ class Hashed:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, width: int = WIDTH, epochs: int = 12, rate: float = 0.15, l2: float = 1e-6, batch: int = 512, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) by AdaGrad over shuffled batches."""
+def train(x: np.ndarray, y: np.ndarray, width: int = WIDTH, epochs: int = 12, rate: float = 0.2, l2: float = 1e-6, batch: int = 512, seed: int = 0, balanced: bool = False) -> np.ndarray:
+    """Weights (the last is the bias) by AdaGrad over shuffled batches.
+
+    ``balanced``: both classes count alike, however many rows they have.
+    """
+    ones = float(y.sum())
+    weight = np.where(y > 0.5, 0.5 * len(y) / max(1.0, ones), 0.5 * len(y) / max(1.0, len(y) - ones)) if balanced else np.ones(len(y))
     w, g2 = np.zeros(width + 1), np.full(width + 1, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -43,6 +48,7 @@ def train(x: np.ndarray, y: np.ndarray, width: int = WIDTH, epochs: int = 12, ra
             rows = order[at : at + batch]
             xi, yi = x[rows], y[rows]
             err = 1 / (1 + np.exp(-np.clip(w[xi].sum(1) + w[-1], -30, 30))) - yi
+            err *= weight[rows]
             g = np.bincount(xi.ravel(), np.repeat(err, xi.shape[1]), width + 1) / len(rows) + l2 * w
             g[-1] = err.mean()
             g[0] = 0

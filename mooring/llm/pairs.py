@@ -43,7 +43,7 @@ _STAND_IN = frozenset(
 _PREFIX = re.compile(r"^\W*(?:q|question|user|human|prompt|input|frage|pregunta|pergunta|domanda|vraag|вопрос|问题|题目|質問|問題|問)\s*\d*\s*[:：]\s*", re.I)
 #: Combining marks, those of kana too.
 _COMBINING = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_]+")
+_TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 
 #: Parts of refusal templates. ``_NO``: the refusal itself.
 _NO = [

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.llm.common import hash_sample, map_rows
-from mooring.llm.logistic import Hashed, score, train
+from mooring.llm.logistic import WIDTH, Hashed, score, train
 
 #: At most so many values of each field are read for training.
 TRAIN_ROWS = 3000
@@ -36,8 +36,12 @@ LOOPS = 0.15
 LIMIT_COUNT, LIMIT_RATIO, LIMIT_AROUND = 8, 8.0, 50
 #: At most so many limits a source, the most frequent ones.
 LIMITS = 4
+#: Stored values that score as much in the first round are left out of the second.
+SUSPECT = 0.4
+#: Rows of the training set a feature must have.
+RARE = 4
 #: Scores of complete and cut texts lie far apart; this cut stands between them.
-THRESHOLD = 0.28
+THRESHOLD = 0.45
 
 _CLOSER = re.compile(r"</[A-Za-z][\w-]*\s*>\Z")
 #: Things storage systems put after a cut.
@@ -125,7 +129,7 @@ def features(text: str, limits: tuple = ()) -> list[str]:
     ]
     if shape in ("line", "list", "item", "mid", "label"):
         w = words[-1].lower() if words and not cjk else lower[-2:]
-        f += [f"{shape}|upper={frag[:1].isupper()}|listed={list_before}|{_bucket(n_words)}", f"{shape}|last={w}", f"{shape}|first={(words[0].lower() if words and not cjk else lower[:2])}", f"{shape}|end3={lower[-3:]}"]
+        f += [f"{shape}|upper={frag[:1].isupper()}|listed={list_before}", f"{shape}|upper={frag[:1].isupper()}|listed={list_before}|{_bucket(n_words)}", f"{shape}|last={w}", f"{shape}|first={(words[0].lower() if words and not cjk else lower[:2])}", f"{shape}|end3={lower[-3:]}"]
     return f
 
 
@@ -179,15 +183,16 @@ def _loop(text: str, rng: random.Random) -> str:
     return out[: len(out) - rng.randrange(0, len(unit))].rstrip()
 
 
-def training_set(values: list[tuple[str, tuple]], seed: int = 11, cuts: int = CUTS) -> tuple[list[list[str]], np.ndarray]:
-    """Features and labels: every value as it is (0) and ``cuts`` cut copies (1).
+def training_set(values: list[tuple[str, tuple]], seed: int = 11, cuts: int = CUTS) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Features, labels and the value they are of: every value as it is (0) and ``cuts`` cut copies (1).
 
     The few stored values that were really cut stand among the 0s, outnumbered
     by artificial ones of the same kind.
     """
     rng = random.Random(seed)
-    rows, y = [], []
-    for text, limits in values:
+    rows, y, of = [], [], []
+    for i, (text, limits) in enumerate(values):
+        of += [i - 1] * (len(y) - len(of))
         if not text or not text.strip():
             continue
         rows.append(features(text, limits))
@@ -205,24 +210,30 @@ def training_set(values: list[tuple[str, tuple]], seed: int = 11, cuts: int = CU
             near = limits if rng.random() < 0.5 else ((False, len(cut)),)
             rows.append(features(cut, near))
             y.append(1)
-    return rows, np.array(y, dtype=float)
+    of += [len(values) - 1] * (len(y) - len(of))
+    return rows, np.array(y, dtype=float), np.array(of, dtype=int)
 
 
 def fit(values: list[tuple[str, tuple]]) -> np.ndarray:
     """Weights of the second of two rounds.
 
-    The first round's model tells which stored values were really cut; they are
-    left out of the 0s of the second. An empty sample gives a model that flags nothing.
+    In the first, models of one half, in which the many cut copies outweigh what
+    was really cut, tell which stored values of the other half these are; they are
+    left out of the 0s of the second round, in which both classes count alike.
+    Features of fewer than RARE rows are dropped, so no value is learnt by heart. An empty sample gives a model that flags nothing.
     """
-    rows, y = training_set(values)
+    rows, y, of = training_set(values)
     if not len(y):
         w = np.zeros((1 << 16) + 1)
         w[-1] = -1.0
         return w
     x = Hashed().matrix(rows)
-    w = train(x, y)
-    clean = (y == 1) | (score(w, x) < 0.5)
-    return train(x[clean], y[clean])
+    x[np.bincount(x.ravel(), minlength=WIDTH)[x] < RARE] = 0
+    clean = y == 1
+    for half in (0, 1):
+        own, other = of % 2 == half, of % 2 != half
+        clean[own] |= score(train(x[other], y[other]), x[own]) < SUSPECT
+    return train(x[clean], y[clean], balanced=True)
 
 
 class Judge:

@@ -28,6 +28,7 @@ def test_does_not_copy(v):
 
 
 def test_copies_without_accents_and_in_han():
+    assert pairs.copies("面包师以每个15元的价格卖出700个面包,一共收入多少?", "面包师以每个15元的价格卖出700个面包一共收入多少?\n")
     assert pairs.copies("¿Cuánto tarda el tren?", "cuanto tarda el tren") and pairs.copies("这里为什么需要余数?", "问题: 这里为什么需要余数？") and not pairs.copies("这里为什么需要余数?", "因为最后还剩下7个。")
 
 
