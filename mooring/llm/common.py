@@ -35,6 +35,11 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+#: Texts of more characters are not read for training, so that a sample of N rows
+#: is bounded in bytes too. They are scored like any other.
+TRAIN_CHARS = 20_000
+
+
 def hash_sample(df: DataFrame, key: str, limit: int, by: str | None = None) -> DataFrame:
     """At most ``limit`` rows (for each value of ``by``, if given), the same for any partitioning.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooring.llm.common import hash_sample, map_rows
+from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
 from mooring.llm.ppm import Model, _grams
 
 #: Labelled documents a language, and bytes of their sentences, for training.
@@ -121,9 +121,9 @@ def train_model(docs: DataFrame, lang_codes: DataFrame, key: str = "doc_id", tex
     """
     codes = read_codes(lang_codes)
     names = [c for c, _, _ in codes]
-    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label), codes).alias("c")).where("c is not null and t is not null")
+    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label), codes).alias("c")).where(F.col("c").isNotNull() & (F.length("t") <= TRAIN_CHARS))
     got: dict[str, list[tuple[int, bytes]]] = {c: [] for c in names}
-    for r in sorted(hash_sample(labelled, "k", per_language, by="c").toLocalIterator(), key=lambda r: str(r.k)):
+    for r in sorted(hash_sample(labelled, "k", per_language, by="c").collect(), key=lambda r: str(r.k)):
         got[r.c] += [clean(s) for _, _, s in sentences(r.t)[:TRAIN_SENTENCES]]
 
     def bounded(lists: dict) -> list[list[bytes]]:

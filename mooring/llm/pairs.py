@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mooring.functions.lcs import lcs_length
 from mooring.llm import language, truncation
-from mooring.llm.common import hash_sample, map_rows
+from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 #: Tokens of a shingle; share of the response's shingles that must be the
@@ -244,7 +244,9 @@ def defects(rows: DataFrame, model, key: str = "sample_idx", questions: str = "q
     """
     kind = rows.schema[key].dataType.simpleString()
     sample: set[str] = set()
-    for r in hash_sample(rows.select(key, *fields), key, train_rows).toLocalIterator():
+    chars = lambda f: F.coalesce(F.aggregate(F.map_values(f), F.lit(0), lambda n, v: n + F.coalesce(F.length(v), F.lit(0))), F.lit(0))
+    size = reduce(lambda a, b: a + b, map(chars, fields))
+    for r in hash_sample(rows.select(key, *fields).where(size <= TRAIN_CHARS), key, train_rows).collect():
         for f in fields:
             sample |= {v for v in (r[f] or {}).values() if v and len(v) > 20}
     weights = truncation.fit([(t, ()) for t in sorted(sample)]).astype(np.float32)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooring.llm.common import hash_sample, map_rows
+from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
 from mooring.llm.trees import Forest, fit
 
 RUN, LEAST_LETTERS, THRESHOLD = 30, 60, 0.33
@@ -140,7 +140,7 @@ def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Data
         both = both.unionByName(v)
     sample = []
     for v in values:
-        got = {r.text for r in hash_sample(v.where(F.length("text") >= LEAST_LETTERS).withColumn("_k", F.xxhash64("rec_id", "method")), "_k", train_rows).select("text").toLocalIterator()}
+        got = {r.text for r in hash_sample(v.where(F.length("text").between(LEAST_LETTERS, TRAIN_CHARS)).withColumn("_k", F.xxhash64("rec_id", "method")), "_k", train_rows).select("text").collect()}
         sample += sorted(got)
     forest = train(sample)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mooring.llm.common import hash_sample, map_rows
+from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
 from mooring.llm.logistic import WIDTH, Hashed, score, train
 
 #: At most so many values of each field are read for training.
@@ -286,8 +286,8 @@ def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Dat
     limits = _by_source(length_limits(both.select(src.alias("src"), "text")))
     sample = []
     for v in values:
-        rows = hash_sample(v.where(F.length(F.trim("text")) > 0).withColumn("_k", F.col("rec_id")), "_k", train_rows).select("field", src.alias("src"), "rec_id", "text")
-        sample += sorted((r.field, r.rec_id, r.text, r.src) for r in rows.toLocalIterator())
+        rows = hash_sample(v.where((F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS)).withColumn("_k", F.col("rec_id")), "_k", train_rows).select("field", src.alias("src"), "rec_id", "text")
+        sample += sorted((r.field, r.rec_id, r.text, r.src) for r in rows.collect())
     w = fit([(t, limits.get(s, ())) for _, _, t, s in sample])
     weights = w.astype(np.float32)
 
