@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mooring.functions.bind import let
+
 #: Fixed value: decimal logarithm to bits, as truncated by convention.
 LOG10_TO_BITS = 3.321928
 EPSILON_BITS, EPSILON_RANGE = 1e-12, 1e-9
@@ -52,15 +54,6 @@ def probabilistic_anchoring(base: Column, final: Column) -> Column:
     return F.when(base.isNull() | final.isNull() | F.isnan(h) | (h <= EPSILON_BITS), F.lit(0.0)).otherwise(_clip01(gain))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body uses it.
-
-    A Column is an expression, not a value: used twice it is computed twice, and
-    nested array functions multiply that. A lambda over a one-element array binds it.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 

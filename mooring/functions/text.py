@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mooring.functions.bind import let
+
 #: What a Unicode-aware strip takes off: white space and the four separators.
 _SPACE = r"[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}_]+"
@@ -44,6 +46,11 @@ def steps(c: Column, separator: str = "\n\n") -> Column:
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
+def has_word(c: Column) -> Column:
+    """Is there any word in the text? A search that stops at the first."""
+    return text(c).rlike(r"[\p{L}\p{N}_]")
+
+
 def words(c: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores: the offline tokens."""
     return F.regexp_extract_all(F.lower(text(c)), F.lit(f"({WORD})"), F.lit(1))
@@ -57,11 +64,14 @@ def function_word_skeleton(c: Column) -> Column:
     matching at word boundaries. Null counts as empty text.
     """
     every = F.regexp_extract_all(text(c), F.lit(f"({WORD})"), F.lit(1))
-    own = F.filter(every, lambda w: F.lower(w).isin(FUNCTION_WORDS))
-    kept = F.when(F.size(own) > 0, own).otherwise(F.slice(every, 1, SKELETON_WORDS))
-    n = F.least(F.ceil(F.size(kept) / SKELETON_GROUP).cast("int"), F.lit(SKELETON_GROUPS))
-    groups = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(kept, i * SKELETON_GROUP + 1, SKELETON_GROUP), " "))
-    return F.when(F.size(kept) == 0, F.left(text(c), F.lit(SKELETON_CHARS))).otherwise(F.array_join(groups, "\n\n"))
+    kept = let(every, lambda all_: let(F.filter(all_, lambda w: F.lower(w).isin(FUNCTION_WORDS)), lambda own: F.when(F.size(own) > 0, own).otherwise(F.slice(all_, 1, SKELETON_WORDS))))
+
+    def lines(k: Column) -> Column:
+        n = F.least(F.ceil(F.size(k) / SKELETON_GROUP).cast("int"), F.lit(SKELETON_GROUPS))
+        groups = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(k, i * SKELETON_GROUP + 1, SKELETON_GROUP), " "))
+        return F.when(F.size(k) == 0, F.left(text(c), F.lit(SKELETON_CHARS))).otherwise(F.array_join(groups, "\n\n"))
+
+    return let(kept, lines)
 
 
 def block(c: Column, tag: str) -> Column:
@@ -75,12 +85,16 @@ def parse_reasoning(c: Column) -> Column:
     ``tagged``: a non-empty reason block; ``open_reason_tag``: else the text after
     the first open tag; ``raw``: else the whole text. Null counts as empty.
     """
-    raw = strip(text(c))
-    reason = block(raw, "reason")
-    at = F.instr(F.lower(raw), "<reason>")
-    mode = F.when(reason != "", "tagged").when(at > 0, "open_reason_tag").otherwise("raw")
-    body = F.when(reason != "", reason).when(at > 0, strip(F.substring(raw, at + 8, F.length(raw)))).otherwise(raw)
-    return F.struct(body.alias("reason"), block(raw, "skeleton").alias("skeleton"), mode.alias("mode"))
+
+    def parts(raw: Column) -> Column:
+        return let(F.struct(raw.alias("raw"), block(raw, "reason").alias("reason"), F.instr(F.lower(raw), "<reason>").alias("at")), of)
+
+    def of(p: Column) -> Column:
+        mode = F.when(p["reason"] != "", "tagged").when(p["at"] > 0, "open_reason_tag").otherwise("raw")
+        body = F.when(p["reason"] != "", p["reason"]).when(p["at"] > 0, strip(F.substring(p["raw"], p["at"] + 8, F.length(p["raw"])))).otherwise(p["raw"])
+        return F.struct(body.alias("reason"), block(p["raw"], "skeleton").alias("skeleton"), mode.alias("mode"))
+
+    return let(strip(text(c)), parts)
 
 
 def format_conversation(messages: Column) -> Column:

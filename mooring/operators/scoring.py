@@ -34,7 +34,7 @@ def scoreable(long: DataFrame) -> DataFrame:
     Kept in front of the scorer by hand, as no filter can be pushed through it.
     """
     full = lambda c: X.text(F.col(c)) != ""
-    return long.where(full("question") & full("answer") & full("reasoning") & (F.size(X.words(F.col("answer"))) > 0) & (F.size(X.words(F.col("reasoning"))) > 0))
+    return long.where(full("question") & full("answer") & full("reasoning") & X.has_word(F.col("answer")) & X.has_word(F.col("reasoning")))
 
 
 def entropy_context(context: Column, question: Column) -> Column:
@@ -48,10 +48,10 @@ def token_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     ``size``: words of the trace. One explode and one shuffle for both texts, each
     distinct word of a text being one row.
     """
-    a, r = X.words(F.col("answer")), X.words(F.col("reasoning"))
-    both = F.concat(F.transform(a, lambda w: F.concat(F.lit("a"), w)), F.transform(r, lambda w: F.concat(F.lit("r"), w)))
+    both = F.concat(F.transform("a", lambda w: F.concat(F.lit("a"), w)), F.transform("r", lambda w: F.concat(F.lit("r"), w)))
     # the size is worked out below the explode, else it would be once for each word
-    words = long.select(*keys, F.size(r).alias("size"), both.alias("w")).select(*keys, "size", F.explode("w").alias("w"))
+    texts = long.select(*keys, X.words(F.col("answer")).alias("a"), X.words(F.col("reasoning")).alias("r"))
+    words = texts.select(*keys, F.size("r").alias("size"), both.alias("w")).select(*keys, "size", F.explode("w").alias("w"))
     mine = F.left("w", F.lit(1)) == "a"
     return words.groupBy(*keys, "size", F.substring("w", 2, 2**31 - 1).alias("token")).agg(F.count_if(mine).alias("n"), F.count_if(~mine).alias("c"))
 
