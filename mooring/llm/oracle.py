@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_GRID = "(SELECT unnest([0.01e0, 0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0, 0.99e0]) AS p)"
+_GRID = "(SELECT unnest([0.01e0, 0.05e0, 0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0, 0.95e0, 0.99e0]) AS p)"
 _RANKS = f"""
 WITH v AS (
   SELECT method, 'aprob' AS field, aprob AS x FROM metric_records

@@ -20,9 +20,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Capacity of the top level.
 K = 2048
@@ -30,7 +32,9 @@ K = 2048
 FAN_IN = 64
 #: Sketches a task may hold before it sends them on half-filled.
 OPEN_SKETCHES = 4096
-PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+#: Rows grouped at once when sketches are built.
+TAKE_ROWS = 1 << 17
+PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 _HEAD = struct.Struct("<qiI")
 
 
@@ -121,51 +125,100 @@ class Sketch:
         return out
 
 
-def _partial(keys: list[str], fields: list[str], k: int):
+def _same(key: tuple) -> tuple:
+    """A key that equals itself even if it has NaN in it."""
+    return tuple("NaN" if x != x else x for x in key)
+
+
+def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their keys (all columns of ``table``), and where each key starts."""
+    code = np.zeros(table.num_rows, np.int64)
+    for c in table.columns:
+        c = c.combine_chunks()
+        own = pc.fill_null(c.dictionary_encode().indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False) + 1
+        _, code = np.unique(code * (int(own.max(initial=0)) + 1) + own, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    return order, np.concatenate([[0], np.flatnonzero(np.diff(code[order])) + 1]) if len(order) else np.empty(0, np.int64)
+
+
+def _partial(n_keys: int, fields: list[str], k: int, schema: pa.Schema):
     """Arrow batches of keys and doubles to ``(keys, field, part, n_rows, sketch)``, bounded in memory."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         held: dict[tuple, list] = {}
 
-        def out() -> pd.DataFrame:
-            rows = [(*key, field, part, n, s.pack()) for (*key, field), (n, s) in held.items()]
+        def out() -> pa.RecordBatch:
+            rows = [(*key, field, part, n, s.pack()) for key, field, n, s in held.values()]
             held.clear()
-            return pd.DataFrame(rows, columns=[*[f"k{i}" for i in range(len(keys))], "field", "part", "n_rows", "sketch"])
-
-        for pdf in batches:
-            names = [f"k{i}" for i in range(len(keys))]
-            group = pdf.groupby(names, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), np.int64)
-            order = np.argsort(group, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                if not len(at):
-                    continue
-                key = tuple(None if pd.isna(x) else x for x in (pdf[c].iloc[at[0]] for c in names))
-                for i, field in enumerate(fields):
-                    values = pdf[f"v{i}"].to_numpy(dtype="float64", na_value=np.nan)[at]
-                    cell = held.get((*key, field))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        def take(some: list[pa.RecordBatch]) -> None:
+            t = pa.Table.from_batches(some)
+            order, starts = _rows(t.select(range(n_keys)))
+            values = [c.to_numpy().astype("float64") if not c.null_count else pc.fill_null(c, float("nan")).to_numpy() for c in t.columns[n_keys:]]
+            for a, b in zip(starts, [*starts[1:], len(order)]):
+                at = order[a:b]
+                key = tuple(t.column(i)[int(at[0])].as_py() for i in range(n_keys))
+                for field, v in zip(fields, values):
+                    cell = held.get((_same(key), field))
                     if cell is None:
-                        cell = held[(*key, field)] = [0, Sketch(k, zlib.crc32(repr((part, key, field)).encode()))]
-                    cell[0] += len(at)
-                    cell[1].update(values[np.isfinite(values)])
-            if len(held) > OPEN_SKETCHES:
-                yield out()
+                        cell = held[_same(key), field] = [key, field, 0, Sketch(k, zlib.crc32(repr((part, key, field)).encode()))]
+                    cell[2] += len(at)
+                    own = v[at]
+                    cell[3].update(own[np.isfinite(own)])
+
+        some, n = [], 0
+        for batch in batches:
+            some.append(batch)
+            n += batch.num_rows
+            if n >= TAKE_ROWS:
+                take(some)
+                some, n = [], 0
+                if len(held) > OPEN_SKETCHES:
+                    yield out()
+        if n:
+            take(some)
         if held:
             yield out()
 
     return run
 
 
-def _merge_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["part", "n_rows"], kind="stable")
-    first = Sketch.unpack(pdf.sketch.iloc[0])
-    for raw in pdf.sketch.iloc[1:]:
-        first.merge(Sketch.unpack(raw))
-    one = pdf.iloc[:1].copy()
-    one["n_rows"], one["sketch"] = [int(pdf.n_rows.sum())], [first.pack()]
-    return one
+def _merge(n_keys: int, schema: pa.Schema):
+    """Sorted rows ``keys..., field, part, n_rows, sketch`` to one for each run of equal keys, field and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        own, at, n, raw, sketch = None, None, 0, b"", None
+
+        def close() -> None:
+            if own is not None:
+                done.append((*at, n, raw if sketch is None else sketch.pack()))
+
+        def out() -> pa.RecordBatch:
+            rows, done[:] = list(done), []
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            for *key, more, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                key = tuple(key)
+                if _same(key) == own:
+                    sketch = sketch or Sketch.unpack(raw)
+                    sketch.merge(Sketch.unpack(blob))
+                    n += more
+                else:
+                    close()
+                    own, at, n, raw, sketch = _same(key), key, more, blob, None
+            if len(done) >= 512:
+                yield out()
+        close()
+        if done:
+            yield out()
+
+    return run
 
 
 def merge_sketches(parts: DataFrame, keys: Sequence[str], n_parts: int | None = None) -> DataFrame:
@@ -174,14 +227,17 @@ def merge_sketches(parts: DataFrame, keys: Sequence[str], n_parts: int | None =
     ``parts`` has the columns of :func:`sketches`; ``keys`` may be fewer than
     those it was built with: results of days or runs merge to that of the whole.
     """
+    keys = list(keys)
     parts = parts.select(*keys, "field", "part", "n_rows", "sketch")
     span = n_parts if n_parts is not None else parts.sparkSession.sparkContext.defaultParallelism * FAN_IN
     level, schema = 1, parts.schema
+    merge = _merge(len(keys) + 2, to_arrow_schema(schema))
     while True:
         last = span <= FAN_IN**level
-        bucket = F.lit(0).cast("int") if last else F.floor(F.col("part") / F.lit(FAN_IN**level)).cast("int")
-        parts = parts.withColumn("part", bucket)
-        parts = parts.groupBy(*keys, "field", "part").applyInPandas(_merge_group, schema)
+        bucket = F.lit(0) if last else F.floor(F.col("part") / F.lit(FAN_IN**level))
+        # the old part and the content order the sketches, so a rerun merges them alike
+        parts = parts.withColumn("_from", F.col("part")).withColumn("part", bucket.cast("int"))
+        parts = parts.repartition(*keys, "field", "part").sortWithinPartitions(*keys, "field", "part", "_from", "n_rows", F.xxhash64("sketch")).drop("_from").mapInArrow(merge, schema)
         if last:
             return parts
         level += 1
@@ -199,7 +255,7 @@ def sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int =
     keys, fields = list(keys), list(fields)
     narrow = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(fields)])
     schema = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keys)] + [T.StructField("field", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("n_rows", T.LongType()), T.StructField("sketch", T.BinaryType())])
-    parts = narrow.mapInPandas(_partial(keys, fields, k), schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
+    parts = narrow.mapInArrow(_partial(len(keys), fields, k, to_arrow_schema(schema)), schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
     return merge_sketches(parts, keys, narrow.rdd.getNumPartitions())
 
 
