@@ -41,11 +41,12 @@ def score_rows(rows: DataFrame, scorer: scoring.Scorer) -> tuple[DataFrame, Data
     """``(gated records, valid input rows)`` of metric rows.
 
     Every (sample, method) of ``questions`` must have a finite record, or the
-    whole sample goes.
+    whole sample goes. The records are cut off from their lineage, so no trace is
+    scored twice.
     """
     long = prepare.to_long(rows)
     recs = scoring.records(scorer.score(scoring.scoreable(long)))
-    every = long.select("sample_idx", "method").join(recs, ["sample_idx", "method"], "left")
+    every = cut(long.select("sample_idx", "method").join(recs, ["sample_idx", "method"], "left"))
     kept = scoring.gate(every)
     return kept.select("method", "sample_idx", "lexical_anchoring", "entropy_anchoring", "Aprob"), rows.join(kept.select("sample_idx"), "sample_idx", "left_semi")
 

@@ -19,7 +19,7 @@ from mooring.functions import text as X
 from mooring.operators import generation as G
 from mooring.operators import prepare, scoring, summary
 from mooring.schemas import CONTROL_METHODS, MAIN_METHODS, SECTIONS
-from mooring.session import table
+from mooring.session import cut, spread, table
 
 FIRST_SAMPLE = 1000
 BASE = "SSR"
@@ -175,7 +175,7 @@ def r0_rejected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.scoreable(prepare.to_long(_rows(spark, d)))
+    return scoring.scoreable(prepare.to_long(spread(_rows(spark, d))))
 
 
 def lexical_anchoring(spark: SparkSession, d: str) -> DataFrame:
@@ -213,9 +213,9 @@ def entropy_fixed_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def scored_records(spark: SparkSession, d: str) -> DataFrame:
     """Surrogate scoring of every (sample, method) and the sample gate, end to end."""
-    long = prepare.to_long(_rows(spark, d))
+    long = prepare.to_long(spread(_rows(spark, d)))
     recs = scoring.records(scoring.SurrogateScorer().score(scoring.scoreable(long)))
-    every = long.select("sample_idx", "method").join(recs, ["sample_idx", "method"], "left")
+    every = cut(long.select("sample_idx", "method").join(recs, ["sample_idx", "method"], "left"))  # the gate looks twice
     return scoring.gate(every).select("sample_idx", "method", *[_round(c).alias(c) for c in ("lexical_anchoring", "entropy_anchoring", "Aprob")])
 
 

@@ -47,12 +47,9 @@ def aggregate_json(aggregated: DataFrame) -> dict:
 
 
 def aggregate_text(nested: Mapping[str, Mapping]) -> str:
-    """The console table of an aggregation; a hint if it is empty."""
-    head = f"{'Method':<20} | {'N':<6} | {'Skipped':<8} | {'A_lex':<10} | {'A_ent':<10} | {'A_prob':<10}"
-    if not nested:
-        return head + "\nno group has a probabilistic metric; check the field names"
-    means = lambda m: [m.get(k, 0) for k in S.METRICS]
-    return "\n".join([head, "-" * len(head), *[f"{g:<20} | {x['N']:<6} | {x['skipped_nan']:<8} | " + " | ".join(f"{v:<10.4f}" for v in means(x["means"])) for g, x in nested.items()]])
+    """An aggregation as a table for the console; a hint if it is empty."""
+    rows = [[g, x["N"], x["skipped_nan"], *[format(x["means"].get(k, 0), ".4f") for k in S.METRICS]] for g, x in nested.items()]
+    return markdown_table(["group", "records", "skipped", *S.METRICS], rows) + ("" if rows else "\nno group has a probabilistic metric; check the field names")
 
 
 def zone_summary(zones: DataFrame) -> tuple[list[str], dict, dict]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,5 +57,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Estimated size up to which a frame of too few splits is spread over the cores.
+SPREAD_BYTES = 128 << 20
+
+
+def spread(scan: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """A small scan on as many partitions as there are cores, before costly work on its rows.
+
+    A table in a file or two has fewer splits than the cluster has cores. Only then,
+    and only below ``most`` bytes, are rows moved; a large table stays as it is split.
+    ``scan`` must be without shuffles, so that counting its splits runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once an application.
+
+    Python functions reach the workers by name, so the package must be importable
+    there; where it isn't installed, Spark hands out an archive of its sources.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = repository_root()
+    archive = os.path.join(tempfile.mkdtemp(prefix="mooring-"), "mooring.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in sorted(os.walk(os.path.join(root, "mooring"))):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def repository_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -89,7 +89,7 @@ def test_whole_pipeline_and_its_reuse_rules(spark, tmp_path):
         pipeline.run_metrics(spark, src, tmp_path / "nowhere", ["NEU"], None, skip=True)
     nested = pipeline.aggregate_file(spark, run / "metrics" / "methods", tmp_path / "agg.json")
     assert set(nested) == {"NEU", "SUP", "AUG-SUP", "SSR"} and nested["NEU"]["N"] == 6 and json.loads((tmp_path / "agg.json").read_text()) == nested
-    assert "Skipped" in report.aggregate_text(nested) and "check the field names" in report.aggregate_text({})
+    assert "| NEU | 6 | 0 |" in report.aggregate_text(nested) and "check the field names" in report.aggregate_text({})
     bad = lines(tmp_path / "bad.jsonl", example(0), {**example(1), "answers": None})
     with pytest.raises(Exception, match="invalid"):
         pipeline.run(spark, bad, tmp_path / "run2")
