@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mooring.session import spread
+
 
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string; made on the driver, as parsing needs the session."""
@@ -17,9 +19,11 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], costly: bool = False) -> DataFrame:
     """``mapInArrow`` whose function is built once a task.
 
+    ``costly``: a small scan of few splits is spread over the cores first.
+
     ``make()`` runs on the worker and returns ``batch -> {column: values}``;
     columns come out in the order of ``schema``.
     """
@@ -32,7 +36,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
             if got is not None:
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, f.type) for v, f in ((got[f.name], f) for f in arrow)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return (spread(df) if costly else df).mapInArrow(run, schema)
 
 
 #: Texts of more characters are not read for training, so that a sample of N rows

@@ -246,7 +246,7 @@ def segments(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
         return work
 
-    return map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), f"k {kind}, segment int, first int, last int, lang string, confidence double, sentences int", make).withColumnRenamed("k", key)
+    return map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), f"k {kind}, segment int, first int, last int, lang string, confidence double, sentences int", make, costly=True).withColumnRenamed("k", key)
 
 
 def languages(docs: DataFrame, model: Model, lang_codes: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
@@ -282,7 +282,7 @@ def languages(docs: DataFrame, model: Model, lang_codes: DataFrame, key: str = "
 
         return work
 
-    rows = map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label), read_codes(lang_codes)).alias("label")), f"k {kind}, label string, langs array<string>, lang string, confidence double", make)
+    rows = map_rows(docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label), read_codes(lang_codes)).alias("label")), f"k {kind}, label string, langs array<string>, lang string, confidence double", make, costly=True)
     return rows.withColumns({"mixed": F.size("langs") > 1, "wrong": F.col("label").isNull() | ((F.size("langs") == 1) & (F.col("label") != F.col("lang")))}).withColumnRenamed("k", key)
 
 

@@ -269,4 +269,4 @@ def defects(rows: DataFrame, model, key: str = "sample_idx", questions: str = "q
 
         return work
 
-    return map_rows(rows.select(F.col(key).alias("k"), questions, *fields), f"k {kind}, method string, field string, defect string", make).withColumnRenamed("k", key)
+    return map_rows(rows.select(F.col(key).alias("k"), questions, *fields), f"k {kind}, method string, field string, defect string", make, costly=True).withColumnRenamed("k", key)

@@ -155,7 +155,7 @@ def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Data
 
         return work
 
-    return map_rows(both, "field string, rec_id bigint, method string, share double, estimate double, exact boolean", make)
+    return map_rows(both, "field string, rec_id bigint, method string, share double, estimate double, exact boolean", make, costly=True)
 
 
 def found(scored: DataFrame) -> DataFrame:

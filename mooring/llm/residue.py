@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.common import map_rows
+from mooring.session import cut
 
 #: A normalised line is boilerplate of a host when at least this share of the
 #: host's records and at least this number of them have it.
@@ -198,7 +199,8 @@ def residue(df: DataFrame, key: str, text: str, host: str, share: float = BOILER
         return work
 
     h = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("null"))
-    lines = map_rows(df.select(F.col(key).alias("k"), h.alias("host"), F.col(text).alias("t")), f"k {kind}, host string, kind string, line bigint", make)
+    # a few small rows, looked at twice: kept, so the texts are read once
+    lines = cut(map_rows(df.select(F.col(key).alias("k"), h.alias("host"), F.col(text).alias("t")), f"k {kind}, host string, kind string, line bigint", make, costly=True))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= records)
     totals = df.groupBy(h.alias("host")).agg(F.count("*").alias("of"))
     boilerplate = counts.join(totals, "host").where(F.col("n") >= share * F.col("of")).select("host", "line")

@@ -302,7 +302,7 @@ def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Dat
 
         return work
 
-    out = map_rows(both, "field string, rec_id bigint, source string, score double", make)
+    out = map_rows(both, "field string, rec_id bigint, source string, score double", make, costly=True)
     return out.withColumn("truncated", F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)))
 
 
