@@ -133,33 +133,31 @@ def features(text: str, limits: tuple = ()) -> list[str]:
     return f
 
 
+def _takes_end(text: str, at: int) -> bool:
+    """Does a cut at ``at`` take the end off a sentence, a listing or a tag?"""
+    if text.count("```", 0, at) % 2:
+        return not text[at - 3 : at].endswith("`") and "```" in text[at:]
+    if _TAG_OPEN.search(text[max(0, at - 14) : at]) and ">" in text[at : at + 14]:
+        return True
+    start, stop = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+    line = text[start : stop if stop >= 0 else len(text)]
+    if line.lstrip().startswith(("|", "```", "$", "\\", "{")) or "→" in line:
+        return False
+    marks, here = [m.end() for m in _MARK.finditer(line)], at - start
+    if here in marks or not any(m > here for m in marks):
+        return False
+    got = _BULLET.sub("", line[max([m for m in marks if m <= here], default=0) : here].strip(), count=1)
+    return len(re.findall(r"[^\W\d_]", got)) >= (2 if _CJK.search(got) else 3) and not re.fullmatch(r"[^\W\d_]+\s*\d*[:：.]?", got)
+
+
 def _places(text: str, rng: random.Random, n: int) -> list[int]:
-    """Offsets where a cut takes the end off a sentence, a listing or a tag."""
-    out = []
+    """Up to ``n`` random offsets whose cut takes an end off."""
+    out: list[int] = []
     for _ in range(8 * n):
         if len(out) >= n or len(text) < 12:
             break
         at = rng.randrange(6, len(text))
-        if text[:at].count("```") % 2:
-            if not text[at - 3 : at].endswith("`") and "```" in text[at:]:
-                out.append(at)
-            continue
-        if _TAG_OPEN.search(text[max(0, at - 14) : at]) and ">" in text[at : at + 14]:
-            out.append(at)
-            continue
-        start = text.rfind("\n", 0, at) + 1
-        stop = text.find("\n", at)
-        line = text[start : stop if stop >= 0 else len(text)]
-        if line.lstrip().startswith(("|", "```", "$", "\\", "{")) or "→" in line:
-            continue
-        marks = [m.end() for m in _MARK.finditer(line)]
-        here = at - start
-        following = [m for m in marks if m > here]
-        if not following or here in marks or not following[0] - here > 0:
-            continue
-        got = line[max([m for m in marks if m <= here], default=0) : here].strip()
-        got = _BULLET.sub("", got, count=1)
-        if len(re.findall(r"[^\W\d_]", got)) >= (2 if _CJK.search(got) else 3) and not re.fullmatch(r"[^\W\d_]+\s*\d*[:：.]?", got):
+        if _takes_end(text, at):
             out.append(at)
     return out
 
@@ -191,26 +189,27 @@ def training_set(values: list[tuple[str, tuple]], seed: int = 11, cuts: int = CU
     """
     rng = random.Random(seed)
     rows, y, of = [], [], []
+
+    def add(i: int, text: str, limits: tuple, label: int) -> None:
+        rows.append(features(text, limits))
+        y.append(label)
+        of.append(i)
+
     for i, (text, limits) in enumerate(values):
-        of += [i - 1] * (len(y) - len(of))
         if not text or not text.strip():
             continue
-        rows.append(features(text, limits))
-        y.append(0)
+        add(i, text, limits, 0)
         more = 2 if _CJK.search(text) else 1
         if rng.random() < LOOPS * more and len(text) > 60 and "```" not in text:
             loop = _loop(text, rng)
             if re.search(r"[^\W\d_]\Z", loop):
-                rows += [features(loop + rng.choice([".", ".</reason>"]), limits), features(_spoil(loop, rng), limits)]
-                y += [0, 1]
+                add(i, loop + rng.choice([".", ".</reason>"]), limits, 0)
+                add(i, _spoil(loop, rng), limits, 1)
         spots = _places(text, rng, cuts * more)
-        spots += [n for is_bytes, n in limits if not is_bytes and 12 < n < len(text) and n in _places(text, random.Random(n), 1)]
+        spots += [n for is_bytes, n in limits if not is_bytes and 12 < n < len(text) and _takes_end(text, n)]
         for at in spots:
             cut = _spoil(text[:at], rng)
-            near = limits if rng.random() < 0.5 else ((False, len(cut)),)
-            rows.append(features(cut, near))
-            y.append(1)
-    of += [len(values) - 1] * (len(y) - len(of))
+            add(i, cut, limits if rng.random() < 0.5 else ((False, len(cut)),), 1)
     return rows, np.array(y, dtype=float), np.array(of, dtype=int)
 
 
