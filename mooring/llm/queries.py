@@ -88,15 +88,19 @@ def _reasonings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "metric_rows").select(F.col("sample_idx").alias("rec_id"), F.explode("reasonings").alias("method", "text"))
 
 
-def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated share of every text."""
+def _repeated(spark: SparkSession, d: str, margin: float) -> DataFrame:
     raw = table(spark, d, "raw_generations").select(F.col("seq").alias("rec_id"), F.coalesce("method", F.lit("R0")).alias("method"), F.col("raw_output").alias("text"))
-    return repetition.repeated({"raw_output": raw, "reasonings": _reasonings(spark, d)})
+    return repetition.repeated({"raw_output": raw, "reasonings": _reasonings(spark, d)}, margin=margin)
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated share of every text, counted, beside the trees' estimate."""
+    return _repeated(spark, d, 0.0)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with a repeated share of at least 0.33."""
-    return repetition.found(p4_shares(spark, d))
+    """Texts with a repeated share of at least 0.33; only texts the trees suspect are counted."""
+    return repetition.found(_repeated(spark, d, repetition.MARGIN))
 
 
 # 5: broken pairs

@@ -111,7 +111,7 @@ def train(texts: list[str]) -> Forest:
     return fit(np.array(xs), np.array(ys), MONOTONE)
 
 
-def shares(texts: list[str | None], forest: Forest) -> list[tuple[float | None, float | None, bool]]:
+def shares(texts: list[str | None], forest: Forest, margin: float = MARGIN) -> list[tuple[float | None, float | None, bool]]:
     """``(share, estimate, exact)`` of each text; nulls for texts of fewer than LEAST_LETTERS letters."""
     out: list = [(None, None, False)] * len(texts)
     kept = [(i, s) for i, s in ((i, letters(t)) for i, t in enumerate(texts)) if len(s) >= LEAST_LETTERS]
@@ -119,18 +119,19 @@ def shares(texts: list[str | None], forest: Forest) -> list[tuple[float | None,
         return out
     guess = forest.predict(np.array([statistics(texts[i], s) for i, s in kept])).clip(0, 1)
     for (i, s), g in zip(kept, guess):
-        sure = g >= MARGIN
+        sure = g >= margin
         out[i] = (exact_share(s) if sure else float(g), float(g), bool(sure))
     return out
 
 
-def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> DataFrame:
+def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS, margin: float = MARGIN) -> DataFrame:
     """Repeated share of every text: ``field, rec_id, method, share, estimate, exact``.
 
     ``fields``: name to a frame ``rec_id BIGINT, method STRING, text STRING``. Null,
     empty and short texts (fewer than LEAST_LETTERS letters) have null shares.
     ``exact`` tells whether the share was counted; else it is the trees' estimate,
-    which was clearly below the threshold. Whole texts count however long; repeated
+    which was below ``margin`` and so clearly below the threshold; with a margin of
+    0 every share is counted. Whole texts count however long; repeated
     rows come out as often as they went in; other columns are dropped. No shuffle
     but that of the bounded sample's hashes.
     """
@@ -149,7 +150,7 @@ def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Data
             texts = b.column(3).to_pylist()
             rows = []
             for i in range(0, len(texts), 1000):
-                rows += shares(texts[i : i + 1000], forest)
+                rows += shares(texts[i : i + 1000], forest, margin)
             share, estimate, exact = zip(*rows) if rows else ((), (), ())
             return {"field": b.column(0), "rec_id": b.column(1), "method": b.column(2), "share": share, "estimate": estimate, "exact": exact}
 

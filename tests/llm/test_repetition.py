@@ -96,3 +96,5 @@ def test_operator(spark, texts):
     want = sorted((i, m) for i, m, t, _ in rows if len(R.letters(t)) >= 60 and brute(R.letters(t) if i != 904 else "abc" * 60) >= R.THRESHOLD)
     assert sorted((r.rec_id, r.method) for r in found) == want and found[0].field == "f"
     assert R.repeated({"f": df.where("false")}).count() == 0
+    for r in R.repeated({"f": df}, margin=0.0).where("rec_id < 900 and share is not null").collect():
+        assert r.exact and r.share == pytest.approx(brute(R.letters(rows[r.rec_id][2])))
