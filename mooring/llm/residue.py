@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooring.llm.common import map_rows
+from mooring.llm.literals import Gate, literals
 from mooring.session import cut
 
 #: A normalised line is boilerplate of a host when at least this share of the
@@ -103,36 +104,14 @@ _ABOUT = re.compile(
     r"|\bgefragt|\bfrage\b|\bantwort\s+[A-E]\b|\baufgabe\b|\bbedeut|\bmeldet\b|\bstatuscode\b|\bindique\b|\bporte\s+sur\b|\bsignifie\b|\bpregunta\b|\bsignifica\b|\bpergunta\b|\bdomanda\b|\bvraag\b|\bbetekent\b|вопрос|означа|спрашива|题目|含义|意思|问的是|問題|意味|問われ",
     re.I,
 )
-#: Cheap signs without one of which no pattern above can match, so that most
-#: texts are done after one scan: the start of a field, or one of these stems.
-_SIGN = re.compile(r"\{\{?\s*[A-Za-z_]\w{2}|\{%|\$\{|\[\[|\[[A-Za-z]{3}|<(?!/?(?:reason|skeleton|REASON|SKELETON)>)[A-Za-z!<]|@@|%[A-Z(%]|__[A-Z]")
-_STEMS = """
-lorem, ipsum, dolor, amet, tempor, minim, fugiat, todo, fixme, tbd, tba, xxx, asdf, qwer, hjkl, blah, placeholder, dummy, filler, boilerplate, platzhalter, blindtext, mustertext, segnaposto, voorbeeldtekst, plaatshouder
-sample text, sample trace, sample reasoning, sample content, sample answer, sample output, sample paragraph, example text, example trace, example reasoning, example content, example answer, example output, example paragraph, replace this, replace me, replace before, goes here, coming soon
-to be added, to be filled, to be inserted, to be replaced, to be written, to be completed, to be provided, in this block, in this field, in this box, in this section, write the, write your, insert the, insert your, enter the, enter your, type the, type your, put the, put your, add the, add your
-hier steht, wird noch, wird später, texte provisoire, texte de remplissage, texte fictif, à remplacer, à compléter, texto provis, texto de, por completar, por rellenar, a preencher, a substituir, testo provv, testo di esempio, da completare, da sostituire, da inserire, in te vullen, hier komt, здесь будет, aquí va, aqui vai, aqui vem, aqui entra, ici viendra, ici le, ici la, qui va
-javascript, java script, ecmascript, script, скрипт, 脚本, スクリプト, traceback, out of memory, outofmemory, tried to allocate, segmentation, core dumped, error:, exception:, exception :, error :, [error, [fatal, fatal, error], status=, status =, "error", "errors", "status", "code", "message", {error
-bad request, unauthorized, payment required, forbidden, not found, not allowed, not acceptable, time-out, timeout, timed out, 409 conflict, 410 gone, length required, payload too large, uri too long, unsupported, unprocessable, too many requests, server error, not implemented, bad gateway, unavailable, rate limit, rate-limit, quota, exceeded, exhausted, upstream, offline, is down, maintenance, went wrong, try again, denied, dropped, refused, aborted, connection failed, request failed, was failed, reset, find this, find the page, find that, open this, load this, display this, administrator, gateway, back in
-no encontrad, não encontrad, non trovat, inténtelo, intentelo, tente novamente, riprova, réessayez, nicht gefunden, niet gevonden, versuchen sie, probeer, introuvable, indisponible, indisponíve, indisponive, disponible, disponibile, raggiungibile, erreichbar, verfügbar, beschikbaar, bereikbaar, недоступ, найден, попробуйте, попытку, 不可用, 请稍后, 找不到, 未找到, お試しください, 見つかりません, 利用できません
-captcha, you are human, you are a, you are not a, you're, a robot, your browser, sign in, signin, log in, login, session, sesión, sessão, mensch sind, êtes humain, êtes un humain, humano, umano, mens bent, anmelden, melden sie sich, connectez-vous, accedi per, подтвердите, войдите, 登录, 人机, ログイン, ロボット, 真人, 人类, 人間, 机器人
-此处填写, 在此填写, 在此输入, 待填写, 待补充, 占位, 示例文本, ここに, テキスト, ダミー, 仮の文, 仮文, заполн, вставьте
-"""
-
-
-def _stem_list() -> list[str]:
-    own = [x.strip() for line in _STEMS.strip().split("\n") for x in line.split(",")]
-    return own + [f"{w}{gap}{d}" for w in ("error", "erreur", "fehler", "errore", "erro", "falha", "fout", "storing", "ошибка", "сбой", "错误", "錯誤", "エラー", "故障") for gap in ("", " ", " (", " #", "#", "(", " n") for d in ("0123456789" if gap != " n" else "o°.")]
+#: What evidence begins with; a line is searched for those of which it has the literals.
+_FIRST = (_PAGE, _FIELD, _ERROR, _CHECK, _SCRIPT, _KEYS, _FILLER)
+_HAS_PAGE, _HAS_FIELD, _HAS_ERROR, _HAS_CHECK, _HAS_SCRIPT, _HAS_KEYS, _HAS_FILLER, _HAS_LATIN, _HAS_TAG = (1 << i for i in range(9))
 
 
 @lru_cache(maxsize=1)
-def _stems():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for x in _stem_list():
-        a.add_word(x, True)
-    a.make_automaton()
-    return a
+def _gate() -> Gate:
+    return Gate([*map(literals, _FIRST), [[set(_STRONG_LATIN)]], [[{"<"}]]])
 
 
 def _latin(line: str) -> bool:
@@ -146,32 +125,35 @@ def evidence(text: str | None) -> list[tuple[str, str]]:
 
     Kinds: ``placeholder``, ``filler``, ``error``, ``check``, ``scripts``.
     """
-    if not text or not _SIGN.search(text) and next(_stems().iter(text.lower()), None) is None:
+    if not text:
         return []
     bare = _TAG.sub("", _MATH.sub(" ", _SPAN.sub(" ", _FENCE.sub("\n", text))))
-    out = []
+    gate, out = _gate(), []
     whole = bare.strip()
     for line in bare.split("\n"):
         line = line.strip()
         if not line:
             continue
-        kind = None
-        if _PAGE.search(line):
+        kind, has = None, gate(line)
+        if not has:
+            continue
+        if has & _HAS_PAGE and _PAGE.search(line):
             kind = "error" if not re.search("<noscript", line, re.I) else "scripts"
         if kind is None:
             own = _LEVEL.sub(" ", _QUOTED.sub(" ", line))
-            if _FIELD.search(own) or any(t not in _MARKUP and f"</{t}>" not in text for t in _NAME_TAG.findall(own)):
+            if has & _HAS_FIELD and _FIELD.search(own) or has & _HAS_TAG and any(t not in _MARKUP and f"</{t}>" not in text for t in _NAME_TAG.findall(own)):
                 kind = "placeholder"
-            elif not _ABOUT.search(own):
-                if _ERROR.search(own):
-                    kind = "error"
-                elif _CHECK.search(own):
-                    kind = "check"
-                elif _SCRIPT.search(own) and _ENABLE.search(own):
-                    kind = "scripts"
-                elif _KEYS.match(own) or _FILLER.search(own) and len(own) <= max(60, len(whole) // 2) and len(own) <= 160:
-                    kind = "filler"
-            if kind is None and _latin(own):
+            elif has & _HAS_ERROR and _ERROR.search(own):
+                kind = "error"
+            elif has & _HAS_CHECK and _CHECK.search(own):
+                kind = "check"
+            elif has & _HAS_SCRIPT and _SCRIPT.search(own) and _ENABLE.search(own):
+                kind = "scripts"
+            elif has & _HAS_KEYS and _KEYS.match(own) or has & _HAS_FILLER and _FILLER.search(own) and len(own) <= max(60, len(whole) // 2) and len(own) <= 160:
+                kind = "filler"
+            if kind not in (None, "placeholder") and _ABOUT.search(own):
+                kind = None
+            if kind is None and has & _HAS_LATIN and _latin(own):
                 kind = "filler"
         if kind:
             out.append((kind, _NORMAL.sub("#", line.lower())))
