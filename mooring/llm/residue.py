@@ -104,6 +104,8 @@ _ABOUT = re.compile(
     r"|\bgefragt|\bfrage\b|\bantwort\s+[A-E]\b|\baufgabe\b|\bbedeut|\bmeldet\b|\bstatuscode\b|\bindique\b|\bporte\s+sur\b|\bsignifie\b|\bpregunta\b|\bsignifica\b|\bpergunta\b|\bdomanda\b|\bvraag\b|\bbetekent\b|вопрос|означа|спрашива|题目|含义|意思|问的是|問題|意味|問われ",
     re.I,
 )
+_SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])")
+
 #: What evidence begins with; a line is searched for those of which it has the literals.
 _FIRST = (_PAGE, _FIELD, _ERROR, _CHECK, _SCRIPT, _KEYS, _FILLER)
 _HAS_PAGE, _HAS_FIELD, _HAS_ERROR, _HAS_CHECK, _HAS_SCRIPT, _HAS_KEYS, _HAS_FILLER, _HAS_LATIN, _HAS_TAG = (1 << i for i in range(9))
@@ -120,6 +122,20 @@ def _latin(line: str) -> bool:
     return hits >= 4 and hits >= 0.7 * len(words) and sum(w in _STRONG_LATIN for w in words) >= 3
 
 
+def _stated(pattern: re.Pattern, line: str) -> bool:
+    """Is a match in a sentence of the line that does not speak about it?"""
+    ends, at = None, 0
+    while m := pattern.search(line, at):
+        ends = ends or [0, *(x.end() for x in _SENTENCE_END.finditer(line)), len(line)]
+        start, stop = max(x for x in ends if x <= m.start()), min((x for x in ends if x >= m.end()), default=len(line))
+        if not _ABOUT.search(line[start:stop]):
+            return True
+        at = m.start() + 1
+        if at > len(line):
+            break
+    return False
+
+
 def evidence(text: str | None) -> list[tuple[str, str]]:
     """``(kind, normalised line)`` of each line with evidence; none for null and blank texts.
 
@@ -129,7 +145,6 @@ def evidence(text: str | None) -> list[tuple[str, str]]:
         return []
     bare = _TAG.sub("", _MATH.sub(" ", _SPAN.sub(" ", _FENCE.sub("\n", text))))
     gate, out = _gate(), []
-    whole = bare.strip()
     for line in bare.split("\n"):
         line = line.strip()
         if not line:
@@ -149,11 +164,11 @@ def evidence(text: str | None) -> list[tuple[str, str]]:
                 kind = "check"
             elif has & _HAS_SCRIPT and _SCRIPT.search(own) and _ENABLE.search(own):
                 kind = "scripts"
-            elif has & _HAS_KEYS and _KEYS.match(own) or has & _HAS_FILLER and _FILLER.search(own) and len(own) <= max(60, len(whole) // 2) and len(own) <= 160:
+            elif has & _HAS_KEYS and _KEYS.match(own) and not _ABOUT.search(own):
                 kind = "filler"
-            if kind not in (None, "placeholder") and _ABOUT.search(own):
+            if kind in ("error", "check", "scripts") and _ABOUT.search(own):
                 kind = None
-            if kind is None and has & _HAS_LATIN and _latin(own):
+            if kind is None and (has & _HAS_FILLER and _stated(_FILLER, own) or has & _HAS_LATIN and any(map(_latin, [own, *_SENTENCE_END.split(own)]))):
                 kind = "filler"
         if kind:
             out.append((kind, _NORMAL.sub("#", line.lower())))

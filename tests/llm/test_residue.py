@@ -60,3 +60,15 @@ def test_operator_and_boilerplate(spark):
 def test_long_text_is_read_whole(spark):
     df = spark.createDataFrame([(1, "a", "word " * 50_000 + "\n\n{{ topic }}")], "seq bigint, source string, raw_output string")
     assert R.residue(df, "seq", "raw_output", "source").count() == 1
+
+
+LATIN = "Lorem ipsum dolor sit amet, consectetur adipiscing elit."
+
+
+@pytest.mark.parametrize("text", ["A worked solution for this problem still has to be added, please do not use this record yet.", "We count the stamps. " * 20 + "The rest of the steps is coming soon. So 12 are left.", "We were asked a question about trams. This is placeholder text. They meet at noon.", "The trams meet after 25 minutes on the bridge. " + LATIN + " So the answer is 25 minutes in all cases."])
+def test_filler_is_judged_by_the_sentence(text):
+    assert kinds(text) == {"filler"}
+
+
+def test_filler_that_is_the_subject():
+    assert kinds("We count the stamps. The exercise asks why placeholder text is used. So 12 are left.") == set()
