@@ -98,12 +98,21 @@ _ENABLE = re.compile(
     r"|\bactiv(?:er|ez|ar|e|a)\b|\baktivier|\beinschalt|\bhabilit|\babilit|\battiv|\binschakel|\bzet\b|\bative\b|\bnecesari|\bnecessári|\brequis|\brequier|\bbenötig|\bvereist|\bnodig|включ|необходим|требу|启用|开启|打开|需要|有効|必要|オンに",
     re.I,
 )
-#: Signs that a line speaks about such a thing instead of being one.
+#: Signs that a sentence speaks about such a thing instead of being one.
 _ABOUT = re.compile(
-    r"\bquestion\b|\basks?\b|\bexercise\b|\btask\b|\bmeans\b|\bmeaning\b|\btells\s+the\b|\bdiscuss|\boption\s+[A-E]\b|\bdesigners?\b|\bquoted\b|\bprints?\b|\bexample\s+of\b|\bwhich\s+is\s+why\b|\bworks\s+without\b"
-    r"|\bgefragt|\bfrage\b|\bantwort\s+[A-E]\b|\baufgabe\b|\bbedeut|\bmeldet\b|\bstatuscode\b|\bindique\b|\bporte\s+sur\b|\bsignifie\b|\bpregunta\b|\bsignifica\b|\bpergunta\b|\bdomanda\b|\bvraag\b|\bbetekent\b|вопрос|означа|спрашива|题目|含义|意思|问的是|問題|意味|問われ",
+    r"\basks?\b|\bmeans\b|\bmeaning\b|\btells\s+the\b|\bdiscuss|\boption\s+[A-E]\b|\bdesigners?\b|\bquoted\b|\bprints?\b|\bexample\s+of\b|\bwhich\s+is\s+why\b|\bworks\s+without\b"
+    r"|\bgefragt|\bantwort\s+[A-E]\b|\bbedeut|\bmeldet\b|\bstatuscode\b|\bindique\b|\bporte\s+sur\b|\bsignifie\b|\bsignifica\b|\bbetekent\b|означа|спрашива|含义|意思|问的是|意味|問われ",
     re.I,
 )
+#: Words for what a text is about; they govern a notice unless they are only what
+#: it could not do, or are the reader's.
+_SUBJECT = re.compile(r"\b(?:question|exercise|task|frage|aufgabe|pregunta|pergunta|domanda|vraag)\b|вопрос|题目|問題", re.I)
+_OBJECT = re.compile(
+    r"\b(?:your|ihre[rn]?|deine[rn]?|su|tu|votre|ta|sua|tua|uw|je|jouw|ваш\w*)\s+\Z|(?:您|你)的?\Z"
+    r"|\b(?:process|handl|complet|load|answer|submit|generat|fetch|open|sav|send|perform|finish)\w*\s+(?:(?:the|this|that|a)\s+)?\Z|\b(?:thanks|thank\s+you)\s+for\s+(?:the\s+)?\Z",
+    re.I,
+)
+_HAPPENED = re.compile(r"\s*(?:が(?:発生|起)|(?:has\s+|was\s+|is\s+)?(?:failed|aborted|timed\s+out|dropped|cancelled|canceled)\b)", re.I)
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])")
 
 #: What evidence begins with; a line is searched for those of which it has the literals.
@@ -122,13 +131,18 @@ def _latin(line: str) -> bool:
     return hits >= 4 and hits >= 0.7 * len(words) and sum(w in _STRONG_LATIN for w in words) >= 3
 
 
+def _about(sentence: str) -> bool:
+    """Does the sentence speak about a notice instead of being one?"""
+    return _ABOUT.search(sentence) is not None or any(not _OBJECT.search(sentence[: m.start()]) and not _HAPPENED.match(sentence, m.end()) for m in _SUBJECT.finditer(sentence))
+
+
 def _stated(pattern: re.Pattern, line: str) -> bool:
     """Is a match in a sentence of the line that does not speak about it?"""
     ends, at = None, 0
     while m := pattern.search(line, at):
         ends = ends or [0, *(x.end() for x in _SENTENCE_END.finditer(line)), len(line)]
         start, stop = max(x for x in ends if x <= m.start()), min((x for x in ends if x >= m.end()), default=len(line))
-        if not _ABOUT.search(line[start:stop]):
+        if not _about(line[start:stop]):
             return True
         at = m.start() + 1
         if at > len(line):
@@ -158,16 +172,14 @@ def evidence(text: str | None) -> list[tuple[str, str]]:
             own = _LEVEL.sub(" ", _QUOTED.sub(" ", line))
             if has & _HAS_FIELD and _FIELD.search(own) or has & _HAS_TAG and any(t not in _MARKUP and f"</{t}>" not in text for t in _NAME_TAG.findall(own)):
                 kind = "placeholder"
-            elif has & _HAS_ERROR and _ERROR.search(own):
+            elif has & _HAS_ERROR and _stated(_ERROR, own):
                 kind = "error"
-            elif has & _HAS_CHECK and _CHECK.search(own):
+            elif has & _HAS_CHECK and _stated(_CHECK, own):
                 kind = "check"
-            elif has & _HAS_SCRIPT and _SCRIPT.search(own) and _ENABLE.search(own):
+            elif has & _HAS_SCRIPT and _ENABLE.search(own) and _stated(_SCRIPT, own):
                 kind = "scripts"
-            elif has & _HAS_KEYS and _KEYS.match(own) and not _ABOUT.search(own):
+            elif has & _HAS_KEYS and _KEYS.match(own) and not _about(own):
                 kind = "filler"
-            if kind in ("error", "check", "scripts") and _ABOUT.search(own):
-                kind = None
             if kind is None and (has & _HAS_FILLER and _stated(_FILLER, own) or has & _HAS_LATIN and any(map(_latin, [own, *_SENTENCE_END.split(own)]))):
                 kind = "filler"
         if kind:

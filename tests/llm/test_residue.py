@@ -72,3 +72,19 @@ def test_filler_is_judged_by_the_sentence(text):
 
 def test_filler_that_is_the_subject():
     assert kinds("We count the stamps. The exercise asks why placeholder text is used. So 12 are left.") == set()
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("Something went wrong while processing your question. Please try again later.", "error"), ("Something went wrong while processing your question.", "error"), ("The task failed, please try again later.", "error"), ("We were asked a question about trams. They meet at noon. Something went wrong. So the answer is 12.", "error"),
+        ("This exercise is about trams. Verify that you are human to continue.", "check"), ("The task is to count. Please enable JavaScript.", "scripts"), ("Это вопрос о трамваях. Попробуйте позже.", "error"), ("サーバーに問題が発生しました。しばらくしてからもう一度お試しください。", "error"),
+    ],
+)
+def test_notice_beside_a_word_of_the_subject(text, kind):
+    assert kind in kinds(text)
+
+
+@pytest.mark.parametrize("text", ["They meet at noon. The question is what 'something went wrong' tells the reader. So 12.", "In the exercise a page says: please try again later.", "The task is to explain why the site is down.", "Die Frage lautet, wann der Server nicht erreichbar ist."])
+def test_notice_that_is_the_subject(text):
+    assert kinds(text) == set()
