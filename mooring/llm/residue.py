@@ -4,9 +4,11 @@ Per record the text is taken apart into lines, code, formulas and quoted program
 text are left out, and lines with *evidence* come out with the hash of their
 normalised form (letters lower-cased, numbers and hex ids as one sign). Normalised
 lines are counted by host over all records; those a host repeats in a large share
-of its records are its boilerplate and are subtracted. A record is excluded when
-evidence is left. Counting only lines with evidence is the full count filtered by
-its own key, so it gives the same residual as counting every line.
+of its records are its boilerplate and are subtracted in records that hold something
+else. A record is excluded when evidence is left, or when nothing but boilerplate
+with evidence is all it holds. Counting only lines with evidence is the full count
+filtered by its own key; other lines are counted only if a record whose evidence
+is all boilerplate has them, as they tell whether it holds something else.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from mooring.llm.literals import Gate, literals
 from mooring.session import cut
 
 #: A normalised line is boilerplate of a host when at least this share of the
-#: host's records and at least this number of them have it.
-BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.05, 50
+#: host's records and at least this number of them have it. A line of one record
+#: recurs nowhere; the number does not grow with the table.
+BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.05, 2
 
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]*(?:`|$)", re.M)
@@ -150,6 +153,30 @@ def _stated(pattern: re.Pattern, line: str) -> bool:
     return False
 
 
+def _evidence(line: str, text: str) -> str | None:
+    """Kind of evidence of one stripped line of ``text``."""
+    kind, has = None, _gate()(line)
+    if not has:
+        return None
+    if has & _HAS_PAGE and _PAGE.search(line):
+        kind = "error" if not re.search("<noscript", line, re.I) else "scripts"
+    if kind is None:
+        own = _LEVEL.sub(" ", _QUOTED.sub(" ", line))
+        if has & _HAS_FIELD and _FIELD.search(own) or has & _HAS_TAG and any(t not in _MARKUP and f"</{t}>" not in text for t in _NAME_TAG.findall(own)):
+            kind = "placeholder"
+        elif has & _HAS_ERROR and _stated(_ERROR, own):
+            kind = "error"
+        elif has & _HAS_CHECK and _stated(_CHECK, own):
+            kind = "check"
+        elif has & _HAS_SCRIPT and _ENABLE.search(own) and _stated(_SCRIPT, own):
+            kind = "scripts"
+        elif has & _HAS_KEYS and _KEYS.match(own) and not _about(own):
+            kind = "filler"
+        if kind is None and (has & _HAS_FILLER and _stated(_FILLER, own) or has & _HAS_LATIN and any(map(_latin, [own, *_SENTENCE_END.split(own)]))):
+            kind = "filler"
+    return kind
+
+
 def evidence(text: str | None) -> list[tuple[str, str]]:
     """``(kind, normalised line)`` of each line with evidence; none for null and blank texts.
 
@@ -158,59 +185,77 @@ def evidence(text: str | None) -> list[tuple[str, str]]:
     if not text:
         return []
     bare = _TAG.sub("", _MATH.sub(" ", _SPAN.sub(" ", _FENCE.sub("\n", text))))
-    gate, out = _gate(), []
-    for line in bare.split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        kind, has = None, gate(line)
-        if not has:
-            continue
-        if has & _HAS_PAGE and _PAGE.search(line):
-            kind = "error" if not re.search("<noscript", line, re.I) else "scripts"
-        if kind is None:
-            own = _LEVEL.sub(" ", _QUOTED.sub(" ", line))
-            if has & _HAS_FIELD and _FIELD.search(own) or has & _HAS_TAG and any(t not in _MARKUP and f"</{t}>" not in text for t in _NAME_TAG.findall(own)):
-                kind = "placeholder"
-            elif has & _HAS_ERROR and _stated(_ERROR, own):
-                kind = "error"
-            elif has & _HAS_CHECK and _stated(_CHECK, own):
-                kind = "check"
-            elif has & _HAS_SCRIPT and _ENABLE.search(own) and _stated(_SCRIPT, own):
-                kind = "scripts"
-            elif has & _HAS_KEYS and _KEYS.match(own) and not _about(own):
-                kind = "filler"
-            if kind is None and (has & _HAS_FILLER and _stated(_FILLER, own) or has & _HAS_LATIN and any(map(_latin, [own, *_SENTENCE_END.split(own)]))):
-                kind = "filler"
-        if kind:
-            out.append((kind, _NORMAL.sub("#", line.lower())))
+    return [(kind, _normal(line)) for line in map(str.strip, bare.split("\n")) if line and (kind := _evidence(line, text))]
+
+
+def others(text: str | None) -> set[str]:
+    """Lines that have some content but no evidence, as they are, since numbers are content; code and formulas by their hash."""
+    if not text:
+        return set()
+    mark = lambda m: f" \ue000{''.join(chr(103 + int(c, 16)) for c in f'{zlib.crc32(m.group().encode()):x}')}\ue001 " if any(map(str.isalnum, m.group())) else " "
+    own = _TAG.sub("", _MATH.sub(mark, _SPAN.sub(mark, _FENCE.sub(lambda m: f"\n{mark(m)}\n", text))))
+    out = set()
+    for line in own.split("\n"):
+        if any(map(str.isalnum, line)):
+            bare = re.sub(" \ue000[g-v]*\ue001 ", " ", line).strip()
+            if not bare or not _evidence(bare, text):
+                out.add(line.strip())
     return out
 
 
+def _normal(line: str) -> str:
+    return _NORMAL.sub("#", line.lower())
+
+
+def _hash(line: str) -> int:
+    x = zlib.crc32(line.encode()) << 32 | zlib.adler32(line.encode())
+    return x - (1 << 64) if x >> 63 else x
+
+
 def residue(df: DataFrame, key: str, text: str, host: str, share: float = BOILERPLATE_SHARE, records: int = BOILERPLATE_RECORDS) -> DataFrame:
     """One row ``(key, kinds ARRAY<STRING>)`` for each record to exclude.
 
     ``key`` must be unique. A null host is a host of its own; null, empty and
     blank texts are never excluded; repeated texts count on their own; whole
     texts are read however long; an empty table gives no rows.
-    Only lines with evidence and counts by host are shuffled.
+    Only lines of records with evidence and counts by host are shuffled, unless a
+    host has boilerplate with evidence: then line hashes of its other records too.
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def make():
+    def make(every: bool):
         def work(b: pa.RecordBatch) -> dict | None:
-            rows = [(k, h, kind, zlib.crc32(line.encode()) << 32 | zlib.adler32(line.encode())) for k, h, t in zip(*(c.to_pylist() for c in b.columns)) for kind, line in set(evidence(t))]
+            rows = []
+            for k, h, t in zip(*(c.to_pylist() for c in b.columns)):
+                own = set() if every else set(evidence(t))
+                rows += [(k, h, kind, _hash(line)) for kind, line in own]
+                if own or every:
+                    rows += [(k, h, None, _hash(line)) for line in others(t)]
             if not rows:
                 return None
-            k, h, kinds, lines = zip(*rows)
-            return {"k": k, "host": h, "kind": kinds, "line": [x - (1 << 64) if x >> 63 else x for x in lines]}
+            return dict(zip(("k", "host", "kind", "line"), zip(*rows)))
 
         return work
 
+    def read(every: bool) -> DataFrame:
+        return map_rows(df.select(F.col(key).alias("k"), h.alias("host"), F.col(text).alias("t")), f"k {kind}, host string, kind string, line bigint", lambda: make(every), costly=True)
+
     h = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("null"))
-    # a few small rows, looked at twice: kept, so the texts are read once
-    lines = cut(map_rows(df.select(F.col(key).alias("k"), h.alias("host"), F.col(text).alias("t")), f"k {kind}, host string, kind string, line bigint", make, costly=True))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= records)
     totals = df.groupBy(h.alias("host")).agg(F.count("*").alias("of"))
-    boilerplate = counts.join(totals, "host").where(F.col("n") >= share * F.col("of")).select("host", "line")
-    return lines.join(boilerplate, ["host", "line"], "left_anti").groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("k", key)
+
+    def recurrent(lines: DataFrame) -> DataFrame:
+        counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= records)
+        return counts.join(totals, "host").where(F.col("n") >= share * F.col("of")).select("host", "line")
+
+    # rows of the few records with evidence, looked at more than once: kept, so the texts are read once
+    lines = cut(read(every=False))
+    found = lines.where("kind is not null")
+    boilerplate = cut(recurrent(found))
+    left = found.join(boilerplate, ["host", "line"], "left_anti")
+    if not boilerplate.isEmpty():
+        only = found.join(left, "k", "left_anti")
+        rest = lines.where("kind is null").join(only, "k", "left_semi")
+        again = recurrent(read(every=True).join(rest, ["host", "line"], "left_semi"))
+        keeps = rest.join(again, ["host", "line"], "left_anti")
+        left = left.unionByName(only.join(keeps, "k", "left_anti"))
+    return left.groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("k", key)

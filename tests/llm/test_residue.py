@@ -88,3 +88,18 @@ def test_notice_beside_a_word_of_the_subject(text, kind):
 @pytest.mark.parametrize("text", ["They meet at noon. The question is what 'something went wrong' tells the reader. So 12.", "In the exercise a page says: please try again later.", "The task is to explain why the site is down.", "Die Frage lautet, wann der Server nicht erreichbar ist."])
 def test_notice_that_is_the_subject(text):
     assert kinds(text) == set()
+
+
+def test_recurrent_notice_goes_only_beside_other_content(spark):
+    """An outage: nothing but the notice, with a line of the page or a code; and the same notice amid traces."""
+    notice = "503 Service Unavailable\n"
+    for n in (500, 2000):
+        rows = [(i, "a", (notice, notice + "<hr>\nnginx", notice + f"Item {i} is full of `x`.", f"Item {i} is fine.")[0 if i < n // 20 else 1 if i < n // 10 else 2 if i < n // 5 else 3], "") for i in range(n)]
+        got = sorted(r.seq for r in R.residue(spark.createDataFrame(rows, SCHEMA), "seq", "raw_output", "source").collect())
+        assert got == list(range(n // 10))
+
+
+def test_lines_that_are_other_content():
+    assert R.others("503 Service Unavailable\n\n---\n<reason></reason>") == set() == R.others(None)
+    assert len(R.others("503 Service Unavailable\n```\nx = 1\n```\nThe sum is $$k$$.\n`y`")) == 3
+    assert R.others("503 Service Unavailable\nText 7.") == {"Text 7."}
