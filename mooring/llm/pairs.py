@@ -127,14 +127,12 @@ _question_tokens = lru_cache(maxsize=4096)(tokens)
 
 def copies(question: str, v: str) -> bool:
     """Is ``v`` nothing but the question, in whatever writing?"""
-    if len(v) > 3 * len(question) + 60:
-        return False
     q, a = _question_tokens(question), tokens(_PREFIX.sub("", _TAGS.sub(" ", v)))
     if not q or not a or len(a) < 0.6 * len(q):
         return False
     shingles = {tuple(q[i : i + SHINGLE]) for i in range(len(q) - SHINGLE + 1)} or {tuple(q)}
-    own = [tuple(a[i : i + SHINGLE]) for i in range(len(a) - SHINGLE + 1)] or [tuple(a)]
-    if sum(x in shingles for x in own) < CONTAINED * len(own):
+    own = list(zip(*(a[i:] for i in range(SHINGLE)))) or [tuple(a)]
+    if sum(map(shingles.__contains__, own)) < CONTAINED * len(own):
         return False
     if len(a) > 1.5 * len(q):  # said more than once
         times = round(len(a) / len(q))

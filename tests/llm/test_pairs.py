@@ -95,3 +95,8 @@ def test_end_detector_is_the_one_of_problem_2(model):
     w = truncation.fit([(EN, ()), (DE, ())] * 20).astype(np.float32)
     check = pairs.Checker(model, w)
     assert check([(Q, EN), (Q, None), ("", EN)]) == [None, "empty", None]
+
+
+def test_copies_at_any_length():
+    assert pairs.copies(Q, "\n".join([Q] * 6)) and pairs.copies(Q, "<reason>" * 40 + "=" * 300 + Q + "</reason>" * 40)
+    assert not pairs.copies(Q, "\n".join([Q] * 6) + " They meet after 25 minutes, as the gap of 650 km closes at 1575 km per hour. " * 6)
