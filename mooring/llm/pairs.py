@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache, reduce
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from mooring.functions.lcs import lcs_length
 from mooring.llm import language, truncation
 from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
+from mooring.llm.literals import Gate, literals
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 #: Tokens of a shingle; share of the response's shingles that must be the
@@ -81,9 +82,8 @@ _WITH = [
     r"(?:很)?(?:抱歉|遗憾|对不起)|作为(?:一个|一名)?(?:助手|语言模型|人工智能)|感谢您的(?:提问|理解)|谢谢您?的?(?:提问|问题)?|您好|你好|我已经读过(?:题目|问题)|这个(?:问题|请求)|发表看法|我|对此|请求|申し訳(?:ございません|ありません)(?:が)?|すみません(?:が)?|残念ながら|アシスタントとして|ご質問ありがとうございます|ご理解.{0,6}(?:ください|ます)|こんにちは|問題(?:文)?を読みました|この質問(?:に)?(?:は)?|その話題については|その(?:ご)?(?:依頼|要望)(?:に)?(?:は)?|には?",
 ]
 _NO_RE = re.compile("|".join(f"(?:{x})" for x in _NO), re.I)
-_WITH_RE = re.compile("|".join(f"(?:(?<!\\w)(?:{x})(?!\\w))" for x in _WITH[:-1]) + f"|(?:{_WITH[-1]})", re.I)
-#: Stems one of which every refusal above has.
-_NO_STEMS = "n't,not ,unable,decline,refuse,ablehn,nicht,no puedo,no me,negarme,rechazar,no opinar,no hablar,no respon,no contest,ne peux,impossible,refuser,ne pas,não ,recusar,non posso,non mi,non respon,non esprim,rifiut,preferisco,niet ,weiger,geen,не могу,отказ,не обсуждать,не отвечать,невозможно,нельзя,无法,不能,不便,不方便,拒绝,できません,断り,控え,to pass,outside of".split(",")
+_PART_END = re.compile(r"(?<=[.!?。！？])\s*|\n+")
+_WITH_RE = re.compile(f"(?<!\\w)(?=\\w)(?:{'|'.join(f'(?:{x})' for x in _WITH[:-1])})(?!\\w)|(?=[^\x00-\u2fff])(?:{_WITH[-1]})", re.I)
 #: Names of the languages in the languages, as stems.
 _ASKED = {
     "en": "english englisch inglés anglais inglês inglese engels английск 英语 英文 英語",
@@ -140,22 +140,37 @@ def copies(question: str, v: str) -> bool:
     return lcs_length(q, a) >= COVERED * max(len(a), len(q))
 
 
+def _parts(s: str) -> Iterator[str]:
+    """Sentences and lines, one at a time, as most texts are told by the first."""
+    at = 0
+    for m in _PART_END.finditer(s):
+        yield s[at : m.start()]
+        at = m.end()
+    yield s[at:]
+
+
+@lru_cache(maxsize=1)
+def _no_gate() -> Gate:
+    return Gate([literals(_NO_RE)])
+
+
 def refuses(v: str) -> bool:
     """Does ``v`` decline to respond and give nothing else?"""
     s = _TAGS.sub(" ", v).replace("’", "'").strip()
-    if len(s) > 600 or not any(map(s.lower().__contains__, _NO_STEMS)) or not _NO_RE.search(s):
-        return False
     letters = covered = 0
-    for part in re.split(r"(?<=[.!?。！？])\s*|\n+", s):
-        n = sum(c.isalpha() for c in part)
+    refused = False
+    for part in _parts(s):
+        n = sum(map(str.isalpha, part))
         if not n:
             continue
-        rest = _NO_RE.sub(" ", part)
-        left = sum(c.isalpha() for c in _WITH_RE.sub(" ", rest))
+        rest = _NO_RE.sub(" ", part) if _no_gate()(part) else part
+        no = rest != part
+        left = sum(map(str.isalpha, _WITH_RE.sub(" ", rest)))
+        refused |= no
         letters, covered = letters + n, covered + n - left
         if left > (1 - REFUSED) * n and left > 12:
             return False
-    return letters > 0 and covered >= REFUSED * letters
+    return refused and covered >= REFUSED * letters
 
 
 def asked(question: str) -> set[str]:

@@ -1,7 +1,11 @@
+import random
+from re import _parser
+
 import numpy as np
 import pytest
 
 from mooring.llm import language, pairs, truncation
+from tests.llm.test_literals import strings
 
 
 @pytest.mark.parametrize("v", [None, "", " \t\n", "​", "...", "—", "[]", '""', "<answer></answer>", "N/A", "null", "None.", "(no answer)", "无", "<reason> nan </reason>", "Keine Antwort"])
@@ -97,6 +101,22 @@ def test_end_detector_is_the_one_of_problem_2(model):
     assert check([(Q, EN), (Q, None), ("", EN)]) == [None, "empty", None]
 
 
+def test_refuses_at_any_length_and_without_the_former_stems():
+    assert pairs.refuses("I'm sorry, but I cannot.") and pairs.refuses("This goes against my guidelines.")
+    assert pairs.refuses("I cannot answer this question, as it goes against my guidelines. Thank you for your understanding. " * 9)
+    assert not pairs.refuses("I cannot answer this question. " * 30 + "But the sum of the first ten numbers is 55, and the rest follows.")
+
+
+def test_every_alternative_of_a_refusal_passes_the_gate():
+    rng, n = random.Random(5), 0
+    for part in pairs._NO:
+        for s in strings(_parser.parse(part, pairs._NO_RE.flags), rng):
+            if pairs._NO_RE.search(s):
+                n += 1
+                assert pairs._no_gate()(s) and pairs._no_gate()(s.upper()), s
+    assert n > 200
+
+
 def test_copies_at_any_length():
     assert pairs.copies(Q, "\n".join([Q] * 6)) and pairs.copies(Q, "<reason>" * 40 + "=" * 300 + Q + "</reason>" * 40)
     assert not pairs.copies(Q, "\n".join([Q] * 6) + " They meet after 25 minutes, as the gap of 650 km closes at 1575 km per hour. " * 6)
