@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache, reduce
 from collections.abc import Iterable, Iterator
 
@@ -84,6 +85,23 @@ _WITH = [
 _NO_RE = re.compile("|".join(f"(?:{x})" for x in _NO), re.I)
 _PART_END = re.compile(r"(?<=[.!?。！？])\s*|\n+")
 _WITH_RE = re.compile(f"(?<!\\w)(?=\\w)(?:{'|'.join(f'(?:{x})' for x in _WITH[:-1])})(?!\\w)|(?=[^\x00-\u2fff])(?:{_WITH[-1]})", re.I)
+#: Refusals as token templates, which sentences of other wording are aligned with.
+_TEMPLATES = """
+i'm sorry i can't help with that | i'm sorry but i can't help with that request | i can't help with that | i can't help you with this question | i cannot help with that | i am unable to help with this request | i'm unable to assist with that | i can't assist with that request | i am not able to help you with that
+i can't answer that | i cannot answer this question | sorry i cannot answer this question | i won't answer this question | i will not answer that | i'm sorry but i can't answer this question | i am not able to answer this question | i'm not able to answer that | i must decline to answer this question | i have to refuse this request | i can't provide an answer to this question
+i can't comply with this request | i cannot fulfil this request | i can't do that for you | i can't discuss this topic | i would rather not answer that | i prefer not to answer this question | i don't feel comfortable answering this question | this goes against my guidelines | my guidelines don't allow me to answer this
+dabei kann ich leider nicht helfen | das kann ich leider nicht beantworten | ich kann diese frage leider nicht beantworten | ich kann ihnen dabei nicht helfen | ich möchte diese frage nicht beantworten | ich muss diese anfrage leider ablehnen | es tut mir leid aber ich kann diese frage nicht beantworten
+lo siento no puedo ayudar con esa solicitud | no puedo ayudarte con esta pregunta | no puedo responder a esta pregunta | no me es posible responder a esta pregunta | prefiero no responder a esta pregunta | debo rechazar esta solicitud
+je suis désolé je ne peux pas vous aider | je ne peux pas répondre à cette question | je ne peux pas vous aider avec cette demande | il m'est impossible de répondre à cette question | je préfère ne pas répondre à cette question | je dois refuser cette demande
+desculpe não posso ajudar com esse pedido | não posso responder a esta pergunta | não me é possível responder a esta pergunta | prefiro não responder a esta pergunta | devo recusar este pedido
+mi dispiace non posso aiutarti con questa richiesta | non posso rispondere a questa domanda | non mi è possibile rispondere a questa domanda | preferisco non rispondere a questa domanda | devo rifiutare questa richiesta
+het spijt me daar kan ik niet bij helpen | ik kan deze vraag niet beantwoorden | ik kan u daar helaas niet mee helpen | ik wil deze vraag liever niet beantwoorden | ik moet dit verzoek weigeren
+извините я не могу помочь с этим запросом | я не могу ответить на этот вопрос | к сожалению ответить на этот вопрос невозможно | я предпочёл бы не отвечать на этот вопрос | я вынужден отказаться от ответа
+很抱歉我无法回答这个问题 | 我不能回答这个问题 | 我无法帮助您完成这个请求 | 我必须拒绝回答这个问题 | 我不方便对此发表看法
+申し訳ありませんがその質問には回答できません | この質問にはお答えできません | そのご依頼にはお応えできません | お手伝いできません | 回答を控えさせていただきます
+"""
+#: Share of the tokens of a sentence and of a template that their alignment must cover.
+ALIGNED = 0.75
 #: Names of the languages in the languages, as stems.
 _ASKED = {
     "en": "english englisch inglés anglais inglês inglese engels английск 英语 英文 英語",
@@ -140,6 +158,33 @@ def copies(question: str, v: str) -> bool:
     return lcs_length(q, a) >= COVERED * max(len(a), len(q))
 
 
+@lru_cache(maxsize=1)
+def _templates() -> tuple[list[list[str]], dict[str, list[int]], int]:
+    """Token templates, for each token those that have it, and the tokens of the longest."""
+    own = [tokens(t) for line in _TEMPLATES.strip().split("\n") for t in line.split("|")]
+    index: dict[str, list[int]] = {}
+    for i, t in enumerate(own):
+        for x in set(t):
+            index.setdefault(x, []).append(i)
+    return own, index, max(map(len, own))
+
+
+def aligns(sentence: str) -> bool:
+    """Is the sentence, but for a few tokens, one of the refusal templates?"""
+    own, index, longest = _templates()
+    a = tokens(sentence)
+    if not a or len(a) * ALIGNED > longest:
+        return False
+    shared = Counter(i for x in set(a) for i in index.get(x, ()))
+    for i, n in shared.items():
+        t = own[i]
+        least = ALIGNED * max(len(t), len(a))
+        # the alignment has no more tokens than both share, repeated ones of the template included
+        if n + len(t) - len(set(t)) >= least and lcs_length(t, a) >= least:
+            return True
+    return False
+
+
 def _parts(s: str) -> Iterator[str]:
     """Sentences and lines, one at a time, as most texts are told by the first."""
     at = 0
@@ -166,6 +211,9 @@ def refuses(v: str) -> bool:
         rest = _NO_RE.sub(" ", part) if _no_gate()(part) else part
         no = rest != part
         left = sum(map(str.isalpha, _WITH_RE.sub(" ", rest)))
+        if left > (1 - REFUSED) * n or not no:
+            if aligns(part):
+                no, left = True, 0
         refused |= no
         letters, covered = letters + n, covered + n - left
         if left > (1 - REFUSED) * n and left > 12:

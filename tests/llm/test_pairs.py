@@ -101,6 +101,16 @@ def test_end_detector_is_the_one_of_problem_2(model):
     assert check([(Q, EN), (Q, None), ("", EN)]) == [None, "empty", None]
 
 
+@pytest.mark.parametrize("v", ["I'm afraid I can't help with that.", "I really can't help with that.", "Sorry, I simply cannot answer this question.", "Das kann ich hier leider nicht beantworten.", "Je ne peux vraiment pas répondre à cette question."])
+def test_refuses_in_words_of_its_own(v):
+    assert pairs.refuses(v)
+
+
+@pytest.mark.parametrize("v", ["I can't answer that with whole numbers, as 7 is odd.", "I can't help but notice that 12 stamps are left.", "This question is about stamps.", "Ich kann diese Gleichung durch zwei teilen."])
+def test_aligned_too_little(v):
+    assert not pairs.refuses(v)
+
+
 def test_refuses_at_any_length_and_without_the_former_stems():
     assert pairs.refuses("I'm sorry, but I cannot.") and pairs.refuses("This goes against my guidelines.")
     assert pairs.refuses("I cannot answer this question, as it goes against my guidelines. Thank you for your understanding. " * 9)
