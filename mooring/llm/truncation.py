@@ -34,8 +34,6 @@ LOOPS = 0.15
 #: A length is a limit if at least this many values have it and at least this
 #: many times the mean of the lengths around it.
 LIMIT_COUNT, LIMIT_RATIO, LIMIT_AROUND = 8, 8.0, 50
-#: At most so many limits a source, the most frequent ones.
-LIMITS = 4
 #: Stored values that score as much in the first round are left out of the second.
 SUSPECT = 0.4
 #: Rows of the training set a feature must have.
@@ -76,11 +74,11 @@ def _bucket(n: int) -> str:
 
 def features(text: str, limits: tuple = ()) -> list[str]:
     """Names of the binary features of one text; ``limits``: pairs (is_bytes, length) of its source."""
-    tail = text[-900:]
-    body = tail.rstrip()
+    body = text.rstrip()
     while body.endswith(">") and (m := _CLOSER.search(body, max(0, len(body) - 32))):
         body = body[: m.start()].rstrip()
-    closed = "tagged" if "</" in tail[len(body) :] else "bare"
+    closed = "tagged" if "</" in text[len(body) :] else "bare"
+    body = body[-900:]
     fence = "open" if text.count("```") % 2 else "even"
     at = "off"
     for is_bytes, limit in limits:
@@ -252,14 +250,13 @@ class Judge:
 def length_limits(values: DataFrame) -> pd.DataFrame:
     """Length limits ``src, is_bytes, length`` of ``values(src, text)``, from the lengths of all of them.
 
-    Lengths are counted with partial aggregation; the frame that comes to the
-    driver has at most LIMITS rows for each source and unit.
+    Lengths are counted with partial aggregation; every length that passes the
+    test comes to the driver.
     """
     lengths = values.where(F.col("text").isNotNull()).select("src", F.explode(F.array(F.struct(F.lit(False).alias("is_bytes"), F.length("text").alias("length")), F.struct(F.lit(True).alias("is_bytes"), F.octet_length("text").alias("length")))).alias("x")).groupBy("src", "x.is_bytes", "x.length").agg(F.count("*").alias("n"))
     w = Window.partitionBy("src", "is_bytes").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
-    top = Window.partitionBy("src", "is_bytes").orderBy(F.desc("n"), "length")
     spikes = lengths.where("length > 40").withColumn("around", F.sum("n").over(w) - F.col("n")).where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_RATIO * F.col("around") / (2 * LIMIT_AROUND)))
-    return spikes.withColumn("r", F.row_number().over(top)).where(F.col("r") <= LIMITS).select("src", "is_bytes", "length").toPandas()
+    return spikes.select("src", "is_bytes", "length").toPandas()
 
 
 def _by_source(limits: pd.DataFrame) -> dict:

@@ -85,3 +85,14 @@ def test_operator(spark, texts):
     s = {r.source: r for r in T.shares(out).collect()}
     assert s["cutter"].share > 0.3 > 0.2 > s["whole"].share and s[None].share is None and s[None].texts == 0
     assert T.truncated({"f": df.where("false")}).count() == 0
+
+
+def test_white_space_and_closing_tags_of_any_length_after_a_cut():
+    cut = "The trams leave the depot at noon. They meet after twen"
+    assert "shape=mid" in T.features(cut) and "shape=mid" in T.features(cut + " " * 2000) and "shape=mid" in T.features(cut + "</reason>\n" * 200)
+
+
+def test_every_limit_of_a_source(spark):
+    rows = [("s", "x" * n) for n in (100, 300, 500, 700, 900, 1100) for _ in range(20)]
+    got = T.length_limits(spark.createDataFrame(rows, "src string, text string"))
+    assert sorted(got[~got.is_bytes.astype(bool)].length) == [100, 300, 500, 700, 900, 1100]
