@@ -44,15 +44,35 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
 TRAIN_CHARS = 20_000
 
 
+def sample_hashes(df: DataFrame, key: str, limit: int, by: str | None = None) -> DataFrame:
+    """``[by,] _hash``: at most ``limit`` key hashes (for each value of ``by``, if given).
+
+    Kept is the least hash in each of ``limit`` hash buckets, so the choice is the
+    same for any partitioning. Only hashes are aggregated, with partial
+    aggregation, so no value of ``by`` is a hot spot. Null keys never come.
+    """
+    h = F.xxhash64(F.col(key))
+    own = [by] if by else []
+    return df.where(F.col(key).isNotNull()).groupBy(*own, F.pmod(h, F.lit(limit)).alias("_bucket")).agg(F.min(h).alias("_hash")).select(*own, "_hash")
+
+
+def sampled_rows(df: DataFrame, key: str, hashes: DataFrame, by: str | None = None) -> DataFrame:
+    """One row of ``df`` for each of the hashes of :func:`sample_hashes`, whatever the number of rows with its key.
+
+    Of rows with equal keys the one whose content hashes least is taken, after
+    partial aggregation in each task. The hashes broadcast are as many as were
+    asked for (``limit`` for each value of ``by``).
+    """
+    own = [by] if by else []
+    cols = df.columns
+    near = df.withColumn("_hash", F.xxhash64(F.col(key))).join(F.broadcast(hashes), [*own, "_hash"], "left_semi")
+    content = F.xxhash64(*[F.map_entries(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes])
+    return near.groupBy(*own, "_hash").agg(F.min_by(F.struct(*cols), content).alias("_row")).select("_row.*")
+
+
 def hash_sample(df: DataFrame, key: str, limit: int, by: str | None = None) -> DataFrame:
     """At most ``limit`` rows (for each value of ``by``, if given), the same for any partitioning.
 
-    The rows are those whose key hash is the least in one of ``limit`` hash
-    buckets. Only hashes are aggregated (with partial aggregation, so no value
-    of ``by`` is a hot spot) and the second pass filters by at most ``limit``
-    hashes a group, which is why broadcasting them is safe for a ``by`` of few
-    values. Rows with equal keys come together; null keys never come.
+    Rows with null keys never come, and rows with equal keys give one row.
     """
-    h = F.xxhash64(F.col(key))
-    keep = df.where(F.col(key).isNotNull()).groupBy(*([by] if by else []), F.pmod(h, F.lit(limit)).alias("_bucket")).agg(F.min(h).alias("_hash")).select("_hash")
-    return df.join(F.broadcast(keep), h == F.col("_hash"), "left_semi")
+    return sampled_rows(df, key, sample_hashes(df, key, limit, by), by)

@@ -56,16 +56,21 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(_texts(spark, d))
 
 
+def _cut_off(spark: SparkSession, d: str) -> DataFrame:
+    """Scored texts; cases of p3_found are not cut off."""
+    other = p3_found(spark, d).select(F.lit("raw_output").alias("field"), F.col("seq").alias("rec_id"), F.lit(True).alias("_other"))
+    scored = truncation.truncated(_texts(spark, d)).join(other, ["field", "rec_id"], "left")
+    return scored.withColumn("truncated", F.col("truncated") & F.col("_other").isNull()).drop("_other")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts that were cut off and are no cases of p3_found."""
-    cut = truncation.truncated(_texts(spark, d)).where("truncated").select("field", "rec_id")
-    other = p3_found(spark, d).select(F.lit("raw_output").alias("field"), F.col("seq").alias("rec_id"))
-    return cut.join(other, ["field", "rec_id"], "left_anti")
+    return _cut_off(spark, d).where("truncated").select("field", "rec_id")
 
 
 def p2_source_shares(spark: SparkSession, d: str) -> DataFrame:
-    """How often each source truncates."""
-    return truncation.shares(truncation.truncated(_texts(spark, d)))
+    """How often each source truncates, counting just what p2_found gives."""
+    return truncation.shares(_cut_off(spark, d))
 
 
 # 3: template residue

@@ -16,13 +16,13 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
+from mooring.llm.common import TRAIN_CHARS, map_rows, sampled_rows
 from mooring.llm.logistic import WIDTH, Hashed, score, train
+from mooring.session import cut
 
 #: At most so many values of each field are read for training.
 TRAIN_ROWS = 3000
@@ -42,14 +42,15 @@ RARE = 4
 THRESHOLD = 0.45
 
 _CLOSER = re.compile(r"</[A-Za-z][\w-]*\s*>\Z")
-#: Things storage systems put after a cut.
+#: Things storage systems put after a cut, and the signs they begin with.
+_AFTER_SIGNS = "…�[(<\\*_`&%"
 _AFTER = re.compile(
-    r"(?:\s*(?:…|�+|\[[^\]\n]{1,40}\]|\([^()\n]{1,24}\)|<[a-z][a-z _/-]{0,20}/?>|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2}|frac\{[^}\n]*|[a-z]{0,8}\{?[^}\s]{0,12})?|\*{1,3}\d*|_{1,2}|`[^`\n]{0,12}|\(see [^)\n]{0,16}|&[a-z#0-9]{0,6}|%[0-9A-F]{0,2}))\Z"
+    r"(?:(?:…|�+|\[[^\[\]\n]+\]|\([^()\n]+\)|<[a-z][a-z _/-]*/?>|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2}|frac\{[^{}\n]*|[a-z]{0,8}\{?[^}\s]{0,12})?|\*{1,3}\d*|_{1,2}|`[^`\n]{0,12}|\(see [^)\n]{0,16}|&[a-z#0-9]{0,6}|%[0-9A-F]{0,2}))\Z"
 )
 _NOTE = re.compile(r"trunc|cut|trim|chars|more|omit|short|continu|clip|limit|kürz|gekürzt|tronq|cort|обрез|省略|截断", re.I)
 _MARK = re.compile(r"[。？！]|[?!]|\.(?=[\s\"'’”»)\]*_]|\Z)|…(?=\s|\Z)")
 _END_OK = "\"'’”»)]}*_"
-_TAG_OPEN = re.compile(r"</?[A-Za-z]{0,12}\Z|<\Z")
+_TAG_OPEN = re.compile(r"</?[A-Za-z]*\Z")
 _BULLET = re.compile(r"\s*(?:[-*•]|\d{1,3}[.)]|\(\d{1,3}\))\s+")
 _LABEL = re.compile(r"[^\W\d_][^:：\n]{0,40}[:：]\**\s*")
 _FORMULA = re.compile(r"\s*(?:\$|\\|[A-Za-z]_?\{?\w?\}?\s*[=<>≤≥]|\{|[\d.]+(?:\.\.\.)?\s*\Z)")
@@ -75,10 +76,9 @@ def _bucket(n: int) -> str:
 def features(text: str, limits: tuple = ()) -> list[str]:
     """Names of the binary features of one text; ``limits``: pairs (is_bytes, length) of its source."""
     body = text.rstrip()
-    while body.endswith(">") and (m := _CLOSER.search(body, max(0, len(body) - 32))):
+    while body.endswith(">") and (m := _CLOSER.match(body, max(0, body.rfind("</")))):
         body = body[: m.start()].rstrip()
     closed = "tagged" if "</" in text[len(body) :] else "bare"
-    body = body[-900:]
     fence = "open" if text.count("```") % 2 else "even"
     at = "off"
     for is_bytes, limit in limits:
@@ -86,10 +86,12 @@ def features(text: str, limits: tuple = ()) -> list[str]:
         if n == limit or is_bytes and limit - 3 <= n <= limit + 2:
             at = "at"
             break
-    tip = max(0, len(body) - 64)
-    m = _AFTER.search(body, tip)
-    after = "none"
-    if m and fence == "even":
+    after, m = "none", None
+    if fence == "even":
+        start = body.rfind("\n") + 1
+        tip = min((i for i in (body.find(c, start) for c in _AFTER_SIGNS) if i >= 0), default=-1)
+        m = _AFTER.search(body, tip) if tip >= 0 else None
+    if m:
         what = m.group().strip()
         cut = body[: m.start()].rstrip()
         note = bool(_NOTE.search(what))
@@ -114,7 +116,7 @@ def features(text: str, limits: tuple = ()) -> list[str]:
     cjk = len(_CJK.findall(frag))
     n_words = len(words) if not cjk else cjk // 2 + 1
     end = body[-1:]
-    tag = _TAG_OPEN.search(body, max(0, len(body) - 16)) is not None
+    tag = _TAG_OPEN.match(body, max(0, body.rfind("<"))) is not None
     shape = (
         "tag" if tag else "code" if fence == "open" else "fence" if line.strip().startswith("```") or end == "`" else "closed" if not frag else "table" if line.lstrip().startswith("|") else "rule" if not words and re.fullmatch(r"[-=_*~ ]{3,}", line) else
         "label" if label and whole and len(value) <= 24 and len(re.findall(r"[^\W\d_]{4,}", value)) == 0 else "formula" if whole and _FORMULA.match(frag) and len([w for w in words if len(w) > 3]) < 2 else "symbol" if not words else ("list" if bullet and n_words <= 5 else "item" if bullet else "line") if whole else "mid"
@@ -247,43 +249,61 @@ class Judge:
         return out
 
 
-def length_limits(values: DataFrame) -> pd.DataFrame:
-    """Length limits ``src, is_bytes, length`` of ``values(src, text)``, from the lengths of all of them.
+def length_limits(lengths: DataFrame) -> DataFrame:
+    """Length limits ``src, is_bytes, length`` among ``lengths(src, is_bytes, length, n)``, ``n`` values each.
 
-    Lengths are counted with partial aggregation; every length that passes the
-    test comes to the driver.
+    Neighbours are looked up in blocks of lengths, each with its margins, so a
+    source with a large share of all values is no single task.
     """
-    lengths = values.where(F.col("text").isNotNull()).select("src", F.explode(F.array(F.struct(F.lit(False).alias("is_bytes"), F.length("text").alias("length")), F.struct(F.lit(True).alias("is_bytes"), F.octet_length("text").alias("length")))).alias("x")).groupBy("src", "x.is_bytes", "x.length").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("src", "is_bytes").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
-    spikes = lengths.where("length > 40").withColumn("around", F.sum("n").over(w) - F.col("n")).where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_RATIO * F.col("around") / (2 * LIMIT_AROUND)))
-    return spikes.select("src", "is_bytes", "length").toPandas()
+    size = 20 * LIMIT_AROUND
+    block = lambda shift: F.floor((F.col("length") + shift) / size)
+    near = lengths.select("*", F.explode(F.array_distinct(F.array(*[block(x) for x in (-LIMIT_AROUND, 0, LIMIT_AROUND)]))).alias("_block"))
+    w = Window.partitionBy("src", "is_bytes", "_block").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
+    spikes = near.withColumn("around", F.sum("n").over(w) - F.col("n")).where(block(0) == F.col("_block"))
+    return spikes.where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_RATIO * F.col("around") / (2 * LIMIT_AROUND))).select("src", "is_bytes", "length")
 
 
-def _by_source(limits: pd.DataFrame) -> dict:
+def _by_source(limits: DataFrame) -> dict:
     out: dict = {}
-    for src, is_bytes, length in sorted(limits.itertuples(index=False, name=None), key=str):
+    for src, is_bytes, length in sorted(map(tuple, limits.collect()), key=str):
         out[src] = (*out.get(src, ()), (bool(is_bytes), int(length)))
     return out
 
 
+def _survey(values: DataFrame, train_rows: int) -> tuple[dict, DataFrame]:
+    """``(limits by source, hashes of the sample by field)`` of ``values(field, src, rec_id, text)``, in one pass over the texts."""
+    h = F.xxhash64("rec_id")
+    fit_for_training = (F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS)
+    each = F.array(
+        F.struct(F.lit("chars").alias("what"), F.col("src").alias("of"), F.length("text").alias("at"), F.lit(None).cast("bigint").alias("h")),
+        F.struct(F.lit("bytes").alias("what"), F.col("src").alias("of"), F.octet_length("text").alias("at"), F.lit(None).cast("bigint").alias("h")),
+        F.struct(F.lit("sample").alias("what"), F.col("field").alias("of"), F.pmod(h, F.lit(train_rows)).cast("int").alias("at"), F.when(fit_for_training, h).alias("h")),
+    )
+    seen = values.where(F.col("text").isNotNull()).select(F.explode(each).alias("x")).groupBy("x.what", "x.of", "x.at").agg(F.count("*").alias("n"), F.min("x.h").alias("h"))
+    seen = cut(seen)
+    lengths = seen.where("what <> 'sample'").select(F.col("of").alias("src"), (F.col("what") == "bytes").alias("is_bytes"), F.col("at").alias("length"), "n")
+    return _by_source(length_limits(lengths)), seen.where("what = 'sample' and h is not null").select(F.col("of").alias("field"), F.col("h").alias("_hash"))
+
+
 def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Scores every text of the fields: ``field, rec_id, source, score, truncated``.
 
     ``fields``: name to a frame ``rec_id BIGINT, source STRING, text STRING``.
     One model for all; null, empty and blank texts get a null score and are never
     cut off; repeated rows come out as often as they went in; other columns are
-    dropped. Whole texts count: fences are matched over the whole length.
+    dropped. Whole texts count: fences are matched over the whole length, the last
+    line is read from its start. The texts are read three times: for lengths and
+    the choice of the sample, for the sample, and to be scored.
     """
     values = [df.select(F.lit(name).alias("field"), F.col("rec_id").cast("bigint").alias("rec_id"), "source", "text") for name, df in fields.items()]
     both = values[0]
     for v in values[1:]:
         both = both.unionByName(v)
     src = F.concat_ws("|", "field", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
-    limits = _by_source(length_limits(both.select(src.alias("src"), "text")))
-    sample = []
-    for v in values:
-        rows = hash_sample(v.where((F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS)).withColumn("_k", F.col("rec_id")), "_k", train_rows).select("field", src.alias("src"), "rec_id", "text")
-        sample += sorted((r.field, r.rec_id, r.text, r.src) for r in rows.collect())
+    keyed = both.select("field", src.alias("src"), "rec_id", "text")
+    limits, hashes = _survey(keyed, train_rows)
+    chosen = sampled_rows(keyed.where((F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS)), "rec_id", hashes, "field")
+    sample = sorted((r.field, r.rec_id, r.text, r.src) for r in chosen.collect())
     w = fit([(t, limits.get(s, ())) for _, _, t, s in sample])
     weights = w.astype(np.float32)
 
@@ -303,5 +323,8 @@ def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Dat
 
 
 def shares(scored: DataFrame) -> DataFrame:
-    """How often each source truncates: ``field, source, texts, cut, share`` (texts that are not blank)."""
+    """How often each source truncates: ``field, source, texts, cut, share`` (texts that are not blank).
+
+    ``scored``: rows ``field, source, score, truncated``, a blank text having no score.
+    """
     return scored.groupBy("field", "source").agg(F.count("score").alias("texts"), F.count_if("truncated").alias("cut")).withColumn("share", F.when(F.col("texts") > 0, F.col("cut") / F.col("texts")))

@@ -69,6 +69,10 @@ def test_logistic_learns_a_rule():
     assert ((logistic.score(logistic.train(x, y), x) > 0.5) == y).all()
 
 
+def lengths(df):
+    return df.where("text is not null").groupBy(F.col("source").alias("src"), F.lit(False).alias("is_bytes"), F.length("text").alias("length")).agg(F.count("*").alias("n"))
+
+
 SCHEMA = "rec_id bigint, source string, text string, score double"
 
 
@@ -77,8 +81,8 @@ def test_operator(spark, texts):
     long = [t for t in texts if len(t) > 100 and t.isascii()][:200]
     rows = [(i, "cutter", t[:60], 1.0) for i, t in enumerate(long)] + [(1000 + i, "whole", t, 1.0) for i, t in enumerate(texts[:400])] + [(5000, None, None, None), (5001, "whole", "", None), (5002, "whole", "All is said.", None), (5002, "whole", "All is said.", None)]
     df = spark.createDataFrame(rows, SCHEMA)
-    lim = T.length_limits(df.select(F.col("source").alias("src"), "text"))
-    assert {(r.src, r.length) for r in lim.itertuples()} >= {("cutter", 60)}
+    lim = T.length_limits(lengths(df))
+    assert {(r.src, r.length) for r in lim.collect()} >= {("cutter", 60)}
     out = T.truncated({"f": df, "g": df.where("false")})
     assert out.count() == len(rows) and out.where("rec_id = 5002").count() == 2
     assert out.where("rec_id in (5000, 5001)").where("truncated or score is not null").count() == 0
@@ -92,7 +96,41 @@ def test_white_space_and_closing_tags_of_any_length_after_a_cut():
     assert "shape=mid" in T.features(cut) and "shape=mid" in T.features(cut + " " * 2000) and "shape=mid" in T.features(cut + "</reason>\n" * 200)
 
 
+def test_a_last_line_and_what_follows_a_cut_of_any_length(judge):
+    line = "We add the parts of the sum again, one by one. " * 60
+    assert judge([line + "Only the combined su", line + "Only the sum remains."], [()] * 2).round().tolist() == [1, 0]
+    assert "after=note" in T.features(f"{line}Only the comb [text cut short here {'by the collector ' * 20}]")
+    assert "shape=tag" in T.features("It holds. </" + "reason" * 9)
+
+
+@pytest.mark.parametrize("text", ["(" * 20_000, "[x" * 20_000, "\\frac{" * 10_000, " " * 50_000 + "x", "It holds. " + "* " * 20_000, "<" * 20_000, "</a>" * 20_000])
+def test_long_lines_take_no_long_time(text):
+    import time
+
+    began = time.time()
+    T.features(text)
+    assert time.time() - began < 2
+
+
 def test_every_limit_of_a_source(spark):
-    rows = [("s", "x" * n) for n in (100, 300, 500, 700, 900, 1100) for _ in range(20)]
-    got = T.length_limits(spark.createDataFrame(rows, "src string, text string"))
-    assert sorted(got[~got.is_bytes.astype(bool)].length) == [100, 300, 500, 700, 900, 1100]
+    rows = [("s", "x" * n) for n in (7, 100, 300, 500, 700, 900, 1049, 1101) for _ in range(20)]
+    got = T.length_limits(lengths(spark.createDataFrame(rows, "source string, text string")))
+    assert sorted(r.length for r in got.collect()) == [7, 100, 300, 500, 700, 900, 1049, 1101]
+
+
+def test_neighbours_are_seen_across_blocks(spark):
+    # 1000 is the edge of a block: beside a full neighbourhood on its other side it is no spike
+    rows = [("s", n, 100 if n == 1000 else 90) for n in range(950, 1000)] + [("s", 1000, 100), ("t", 1000, 100)]
+    df = spark.createDataFrame(rows, "src string, length int, n bigint").withColumn("is_bytes", F.lit(False))
+    assert [(r.src, r.length) for r in T.length_limits(df).collect()] == [("t", 1000)]
+
+
+def test_shares_are_those_of_the_found(spark):
+    from mooring.llm import queries as Q
+
+    d = "/root/testdata/sf0.01"
+    per = {(r.field, r.source): r.cut for r in Q.p2_source_shares(spark, d).where("cut > 0").collect()}
+    src = Q._texts(spark, d)
+    found = Q.p2_found(spark, d)
+    own = {(f, r.source): r["count"] for f, t in src.items() for r in found.where(F.col("field") == f).join(t, "rec_id").groupBy("source").count().collect()}
+    assert per == own and sum(own.values()) > 50
