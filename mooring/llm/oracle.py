@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 _GRID = "(SELECT unnest([0.01e0, 0.05e0, 0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0, 0.95e0, 0.99e0]) AS p)"
-_RANKS = f"""
-WITH v AS (
-  SELECT method, 'aprob' AS field, aprob AS x FROM metric_records
-  UNION ALL SELECT method, 'entropy_anchoring', entropy_anchoring FROM metric_records
-), f AS (SELECT method, field, count(*) AS n_finite FROM v WHERE isfinite(x) GROUP BY ALL)
-SELECT method, field, p, n_finite, true AS within FROM f, {_GRID} g
-"""
+
+
+def _exact(*keys: str) -> str:
+    """CTEs giving ``q(keys, field, n_rows, n_finite, p, value)``: the least value whose rank reaches p * n.
+
+    Sketches of up to 8192 values are exact, so below that size these are the very
+    percentiles; null where a group has no finite value.
+    """
+    own = "".join(f"{k}, " for k in keys)
+    on = " AND ".join(["r.field = g.field", *(f"r.{k} IS NOT DISTINCT FROM g.{k}" for k in keys)])
+    return f"""
+v AS (SELECT {own}'aprob' AS field, aprob AS x FROM metric_records UNION ALL SELECT {own}'entropy_anchoring', entropy_anchoring FROM metric_records),
+g AS (SELECT {own}field, count(*) AS n_rows, count(*) FILTER (isfinite(x)) AS n_finite FROM v GROUP BY ALL),
+r AS (SELECT {own}field, x, row_number() OVER (PARTITION BY {own}field ORDER BY x) AS i FROM v WHERE isfinite(x)),
+q AS (SELECT {"".join(f"g.{k}, " for k in keys)}g.field, g.n_rows, g.n_finite, p, r.x AS value FROM g CROSS JOIN {_GRID} LEFT JOIN r ON {on} AND r.i = greatest(1, ceil(p * g.n_finite))::BIGINT)"""
+
+
+_DAYS = f"WITH {_exact('method', 'run_day')} SELECT method, run_day, field, n_rows, n_finite, p, value, 0e0 AS max_rank_error FROM q"
+_WHOLE = f"WITH {_exact('method')} SELECT method, field, n_rows, n_finite, p, value, 0e0 AS max_rank_error FROM q"
+_CHECKED = f"WITH {_exact('method')} SELECT method, field, p, n_finite, value, true AS within FROM q WHERE n_finite > 0"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_rank_check": _RANKS,
-        "p1_merged_days": _RANKS,
+        "p1_by_day": _DAYS,
+        "p1_percentiles": f"SELECT *, 'run_day' AS scope FROM ({_DAYS}) UNION ALL BY NAME SELECT *, 'whole' AS scope FROM ({_WHOLE})",
+        "p1_rank_check": _CHECKED,
+        "p1_merged": f"SELECT * FROM ({_CHECKED}), (SELECT unnest(['run_day', 'run_id', 'rank_no']) AS merged_from)",
         "p6_round_trip": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS same FROM documents",
     }

@@ -8,11 +8,12 @@ merge levelwise. Capacities fall by 2/3 a level below the top one, which has
 
 Error: for each percentile asked, the *rank* of the answer is off by at most
 ``rank_error(k)`` of the number of finite values with probability 0.99, however
-the rows were split and merged. Up to ``k`` values the answer is exact.
+the rows were split and merged (proof there). Up to ``k`` values the answer is exact.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -27,11 +28,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Capacity of the top level.
-K = 2048
-#: How many sketches one merging task takes at once.
+K = 8192
+#: Parts of a group that become one at each level of merging.
 FAN_IN = 64
-#: Sketches a task may hold before it sends them on half-filled.
-OPEN_SKETCHES = 4096
+#: Values a task may hold before it sends its sketches on half-filled, and merged ones it hands out at once.
+OPEN_VALUES, OUT_VALUES = 1 << 22, 1 << 20
+#: Parts finished sketches of a group are spread over before they are merged.
+SPREAD_PARTS = FAN_IN**2
 #: Rows grouped at once when sketches are built.
 TAKE_ROWS = 1 << 17
 PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -41,12 +44,19 @@ _HEAD = struct.Struct("<qiI")
 def rank_error(k: int = K) -> float:
     """Bound on the rank error of one percentile (share of the values), at 99 %.
 
-    Each compaction of level ``h`` moves a rank by 2**h up or down, or not at
-    all, with variance at most 4**h / 2. There are at most n / (2**h capacity)
-    of them, so with capacities falling by 2/3 the variances sum to at most
-    2 (n / k)**2; 2.58 standard deviations hold 99 %.
+    A compaction of level ``h`` leaves the estimated rank of any point as it is, or
+    moves it by ``2**h`` up or down with equal chance, independently of the others.
+    With ``H`` the top level in the end, level ``h < H`` had a capacity of at least
+    ``k (2/3)**(H-h)`` at all times, so it was compacted at most ``n / (2**h
+    capacity)`` times, as no more than the weight ``n`` passes it and each
+    compaction takes a full level of weight ``2**h`` a value. The squares of all
+    moves sum to at most ``(n/k) 2**H ((3/4) + (3/4)**2 + ...) = 3 (n/k) 2**H``.
+    Level ``H`` exists because more than ``k`` values of weight ``2**(H-1)`` stood
+    on the level below, so ``2**H < 2n/k``: the sum is below ``6 (n/k)**2``.
+    Merging changes none of these counts. By Hoeffding's inequality the moves add
+    up to more than ``sqrt(2 ln(2/0.01) 6) n/k`` with a chance of at most 0.01.
     """
-    return 2.58 * 2**0.5 / k
+    return math.sqrt(12 * math.log(2 / 0.01)) / k
 
 
 class Sketch:
@@ -109,6 +119,9 @@ class Sketch:
         at = np.searchsorted(ranks, np.maximum(1, np.ceil(np.asarray(ps) * ranks[-1])))
         return v[order][np.minimum(at, len(v) - 1)]
 
+    def held(self) -> int:
+        return sum(map(len, self.levels))
+
     def pack(self) -> bytes:
         sizes = np.array([len(x) for x in self.levels], dtype="<i4")
         return _HEAD.pack(self.n, self.k, self.state) + struct.pack("<i", len(sizes)) + sizes.tobytes() + np.concatenate(self.levels).astype("<f8").tobytes()
@@ -177,7 +190,7 @@ def _partial(n_keys: int, fields: list[str], k: int, schema: pa.Schema):
             if n >= TAKE_ROWS:
                 take(some)
                 some, n = [], 0
-                if len(held) > OPEN_SKETCHES:
+                if sum(8 + x[3].held() for x in held.values()) > OPEN_VALUES:
                     yield out()
         if n:
             take(some)
@@ -192,14 +205,17 @@ def _merge(n_keys: int, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        own, at, n, raw, sketch = None, None, 0, b"", None
+        own, at, n, raw, sketch, size = None, None, 0, b"", None, 0
 
         def close() -> None:
+            nonlocal size
             if own is not None:
                 done.append((*at, n, raw if sketch is None else sketch.pack()))
+                size += len(done[-1][-1]) // 8
 
         def out() -> pa.RecordBatch:
-            rows, done[:] = list(done), []
+            nonlocal size
+            rows, done[:], size = list(done), [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
@@ -212,8 +228,8 @@ def _merge(n_keys: int, schema: pa.Schema):
                 else:
                     close()
                     own, at, n, raw, sketch = _same(key), key, more, blob, None
-            if len(done) >= 512:
-                yield out()
+                if size >= OUT_VALUES:
+                    yield out()
         close()
         if done:
             yield out()
@@ -222,25 +238,26 @@ def _merge(n_keys: int, schema: pa.Schema):
 
 
 def merge_sketches(parts: DataFrame, keys: Sequence[str], n_parts: int | None = None) -> DataFrame:
-    """Sketches merged to one a (keys, field), by a tree so no task takes more than about FAN_IN a group.
+    """Sketches merged to one a (keys, field), by a tree of fan-in FAN_IN.
 
     ``parts`` has the columns of :func:`sketches`; ``keys`` may be fewer than
     those it was built with: results of days or runs merge to that of the whole.
+    ``n_parts``: the number of different ``part`` values; without it (finished
+    sketches, whose ``part`` says nothing) the sketches of a group are numbered
+    anew by their content, so a group of very many is merged by many tasks too.
     """
     keys = list(keys)
-    parts = parts.select(*keys, "field", "part", "n_rows", "sketch")
-    span = n_parts if n_parts is not None else parts.sparkSession.sparkContext.defaultParallelism * FAN_IN
-    level, schema = 1, parts.schema
+    part = F.col("part") if n_parts is not None else F.pmod(F.xxhash64("n_rows", "sketch"), F.lit(SPREAD_PARTS)).cast("int")
+    parts = parts.select(*keys, "field", part.alias("part"), "n_rows", "sketch")
+    span, schema = SPREAD_PARTS if n_parts is None else n_parts, parts.schema
     merge = _merge(len(keys) + 2, to_arrow_schema(schema))
     while True:
-        last = span <= FAN_IN**level
-        bucket = F.lit(0) if last else F.floor(F.col("part") / F.lit(FAN_IN**level))
+        span = -(-span // FAN_IN)
         # the old part and the content order the sketches, so a rerun merges them alike
-        parts = parts.withColumn("_from", F.col("part")).withColumn("part", bucket.cast("int"))
+        parts = parts.withColumn("_from", F.col("part")).withColumn("part", F.floor(F.col("part") / F.lit(FAN_IN)).cast("int"))
         parts = parts.repartition(*keys, "field", "part").sortWithinPartitions(*keys, "field", "part", "_from", "n_rows", F.xxhash64("sketch")).drop("_from").mapInArrow(merge, schema)
-        if last:
+        if span <= 1:
             return parts
-        level += 1
 
 
 def sketches(df: DataFrame, keys: Sequence[str], fields: Sequence[str], k: int = K) -> DataFrame:
@@ -279,22 +296,33 @@ def percentiles(merged: DataFrame, keys: Sequence[str], ps: Sequence[float] = PE
     return merged.mapInPandas(run, schema)
 
 
+#: Parts the estimates and the values of a group are spread over to be compared.
+CHECK_PARTS = 16
+
+
 def rank_check(df: DataFrame, estimates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Estimates against exact ranks: ``keys..., field, p, n_finite, within``.
+    """Estimates against exact ranks: ``keys..., field, p, n_finite, value, within``.
 
     ``within``: the share of finite values below the estimate and the share up to
-    it enclose ``p`` up to the stated error. One pass; the estimates broadcast
-    are a row for each group and percentile.
+    it enclose ``p`` up to the stated error, and none is missing. Each finite value
+    is placed among the estimates of its group once, and only counts of places are
+    grouped. Groups are spread by the value's hash, so a hot one is many tasks.
     """
     keys = list(keys)
-    fields = [r[0] for r in estimates.select("field").distinct().collect()]
-    est = estimates.groupBy(*keys).agg(F.collect_list(F.struct("field", "p", "value", "n_finite", "max_rank_error")).alias("_e"))
-    wide = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])).alias("_v")).select(*keys, "_v.field", "_v.x") if fields else df.select(*keys, F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("x"))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    j = wide.where(~F.isnan("x") & F.col("x").isNotNull() & (F.abs("x") != float("inf"))).alias("a").join(F.broadcast(est.alias("b")), cond).select(*[F.col(f"a.{c}") for c in keys], "a.field", "a.x", F.explode("b._e").alias("e")).where(F.col("field") == F.col("e.field"))
-    g = j.groupBy(*keys, "field", F.col("e.p").alias("p"), F.col("e.n_finite").alias("n_finite"), F.col("e.max_rank_error").alias("err")).agg(F.count("*").alias("n"), F.count_if(F.col("x") < F.col("e.value")).alias("lo"), F.count_if(F.col("x") <= F.col("e.value")).alias("hi"))
-    slack = F.col("err") + 1.0 / F.col("n")
-    return g.select(*keys, "field", "p", "n_finite", ((F.col("n") == F.col("n_finite")) & (F.col("lo") / F.col("n") <= F.col("p") + slack) & (F.col("hi") / F.col("n") >= F.col("p") - slack)).alias("within"))
+    fields = [r[0] for r in estimates.select("field").distinct().collect()]  # as many as columns were asked for
+    est = estimates.groupBy(*keys, "field", "n_finite", "max_rank_error").agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("e"))
+    est = est.select(*[F.col(c).alias(f"e{i}") for i, c in enumerate(keys)], F.col("field").alias("ef"), "n_finite", "max_rank_error", "e", F.explode(F.sequence(F.lit(0), F.lit(CHECK_PARTS - 1))).alias("es"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields] or [F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("double").alias("x"))])
+    values = df.select(*keys, F.explode(each).alias("_v")).select(*keys, "_v.field", "_v.x").where(~F.isnan("x") & (F.abs("x") != float("inf")))
+    counts = values.groupBy(*keys, "field", "x").agg(F.count("*").alias("n")).withColumn("s", F.pmod(F.xxhash64("x"), F.lit(CHECK_PARTS)).cast("int"))
+    cond = (F.col("field") == F.col("ef")) & (F.col("s") == F.col("es"))
+    for i, c in enumerate(keys):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"e{i}"))
+    own = [*keys, "field", "n_finite", "max_rank_error", "e"]
+    placed = counts.join(est, cond).withColumns({"lo": F.size(F.filter("e", lambda y: y["value"] <= F.col("x"))), "hi": F.size(F.filter("e", lambda y: y["value"] < F.col("x")))})
+    g = placed.groupBy(*own, "lo", "hi").agg(F.sum("n").alias("n")).groupBy(*own).agg(F.collect_list(F.struct("lo", "hi", "n")).alias("c"))
+    total = lambda test: F.aggregate(F.filter("c", test), F.lit(0).cast("bigint"), lambda a, y: a + y["n"])
+    g = g.select(*own, total(lambda y: F.lit(True)).alias("n"), "c", F.posexplode("e").alias("i", "y"))
+    low, high = total(lambda y: y["lo"] <= F.col("i")) / F.col("n"), total(lambda y: y["hi"] <= F.col("i")) / F.col("n")
+    slack = F.col("max_rank_error") + 1.0 / F.col("n")
+    return g.select(*keys, "field", F.col("y.p").alias("p"), "n_finite", F.col("y.value").alias("value"), ((F.col("n") == F.col("n_finite")) & (low <= F.col("y.p") + slack) & (high >= F.col("y.p") - slack)).alias("within"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mooring.llm import language, packing, pairs, quantiles, repetition, residue, tokens, truncation
-from mooring.session import table
+from mooring.session import cut, table
 
 _FIELDS = ["aprob", "entropy_anchoring"]
 
@@ -16,16 +16,25 @@ _FIELDS = ["aprob", "entropy_anchoring"]
 # 1: percentiles of very large columns
 
 
-def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Median and other percentiles of both fields for each method, over all stored rows."""
-    m = table(spark, d, "metric_records")
-    return quantiles.percentiles(quantiles.sketches(m, ["method"], _FIELDS), ["method"])
+def p1_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """The stored, mergeable result: one sketch for each method, run_day and field, counting every stored row."""
+    return quantiles.sketches(table(spark, d, "metric_records"), ["method", "run_day"], _FIELDS).drop("part")
 
 
-def p1_rank_check(spark: SparkSession, d: str) -> DataFrame:
-    """Are the percentiles within the stated rank error of the exact ranks?"""
+def _scopes(days: DataFrame) -> DataFrame:
+    whole = quantiles.percentiles(quantiles.merge_sketches(days, ["method"]), ["method"])
+    by_day = quantiles.percentiles(days, ["method", "run_day"])
+    return whole.withColumns({"scope": F.lit("whole"), "run_day": F.lit(None).cast("date")}).unionByName(by_day.withColumn("scope", F.lit("run_day")))
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median and other percentiles of both fields for each method over all stored rows (scope ``whole``).
+
+    They are merged from the sketches of the days, whose own percentiles come out
+    too (scope ``run_day``). The sketches are kept, so rows are read once.
+    """
     m = table(spark, d, "metric_records")
-    return quantiles.rank_check(m, p1_percentiles(spark, d), ["method"])
+    return _scopes(cut(quantiles.sketches(m, ["method", "run_day"], _FIELDS)))
 
 
 def p1_by_day(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +43,21 @@ def p1_by_day(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.sketches(m, ["method", "run_day"], _FIELDS), ["method", "run_day"])
 
 
-def p1_merged_days(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches of single days merged to the whole, against exact ranks."""
+def p1_rank_check(spark: SparkSession, d: str) -> DataFrame:
+    """Are the percentiles of the whole within the stated rank error of the exact ranks?"""
+    m = table(spark, d, "metric_records")
+    return quantiles.rank_check(m, cut(quantiles.percentiles(quantiles.sketches(m, ["method"], _FIELDS), ["method"])), ["method"])
+
+
+def p1_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Results of single days, runs and ranks, each merged to the whole, against exact ranks."""
     m = table(spark, d, "metric_records")
-    days = quantiles.sketches(m, ["method", "run_day"], _FIELDS)
-    return quantiles.rank_check(m, quantiles.percentiles(quantiles.merge_sketches(days, ["method"]), ["method"]), ["method"])
+    out = None
+    for by in ("run_day", "run_id", "rank_no"):
+        merged = quantiles.merge_sketches(quantiles.sketches(m, ["method", by], _FIELDS), ["method"])
+        one = quantiles.rank_check(m, cut(quantiles.percentiles(merged, ["method"])), ["method"]).withColumn("merged_from", F.lit(by))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # 2: truncated texts
@@ -167,5 +186,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_by_day, p1_percentiles, p1_rank_check, p1_merged_days, p2_found, p2_scores, p2_source_shares, p3_found, p3_kinds, p4_found, p4_shares, p5_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_languages, p8_segments)
+    own = (p1_percentiles, p1_sketches, p1_by_day, p1_rank_check, p1_merged, p2_found, p2_scores, p2_source_shares, p3_found, p3_kinds, p4_found, p4_shares, p5_found, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_languages, p8_segments)
     return {f.__name__: f for f in own}

@@ -83,3 +83,22 @@ def test_a_hot_key_over_many_parts(spark):
     s = Q.sketches(df, ["k"], ["v"], k=128)
     r = Q.percentiles(s, ["k"], [0.5]).collect()
     assert s.count() == 1 and r[0].n_finite == 200_000 and abs(r[0].value / 200_000 - 0.5) <= Q.rank_error(128)
+
+
+def test_many_parts_merge_level_by_level(spark):
+    """No task of any level takes more than FAN_IN parts of a group."""
+    one = Q.Sketch(16, 1)
+    one.update(np.arange(10.0))
+    n = Q.FAN_IN**2 + 5
+    parts = spark.range(n).select(F.lit("a").alias("k"), F.lit("v").alias("field"), F.col("id").cast("int").alias("part"), F.lit(10).cast("bigint").alias("n_rows"), F.lit(bytearray(one.pack())).alias("sketch"))
+    merged = Q.merge_sketches(parts, ["k"], n)
+    assert plan(merged).count("Exchange hashpartitioning") == 3
+    r = Q.percentiles(merged, ["k"], [0.5]).collect()
+    assert [(x.n_finite, x.n_rows) for x in r] == [(10 * n, 10 * n)] and 3 <= r[0].value <= 6
+    # finished sketches, all with the same part, are spread first
+    again = Q.percentiles(Q.merge_sketches(parts.withColumn("part", F.lit(0)), ["k"]), ["k"], [0.5]).collect()
+    assert [x.n_finite for x in again] == [10 * n]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
