@@ -1,29 +1,31 @@
 """Template residue, filler, error pages and script or check notices (problem 3).
 
-Per record the text is taken apart into lines, code, formulas and quoted program
-text are left out, and lines with *evidence* come out with the hash of their
-normalised form (letters lower-cased, numbers and hex ids as one sign). Normalised
-lines are counted by host over all records; those a host repeats in a large share
-of its records are its boilerplate and are subtracted in records that hold something
-else. A record is excluded when evidence is left, or when nothing but boilerplate
-with evidence is all it holds. Counting only lines with evidence is the full count
-filtered by its own key; other lines are counted only if a record whose evidence
-is all boilerplate has them, as they tell whether it holds something else.
+All lines of all texts are counted by host in their normalised form (letters
+lower-cased, numbers and hex ids as one sign; code and formulas as a hash). Lines a
+host repeats in a large share of its records are its boilerplate and are subtracted.
+A record is excluded when its residual holds *evidence*: a line, outside code,
+formulas and quoted program text, that has an unfilled field or is filler, an error,
+a check or a scripts notice. A record that holds nothing but boilerplate (lines that
+recur as they are, numbers included, as these are content) is excluded when that has
+evidence: a notice a host gives instead of any content is a case however often it
+gives it.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooring.llm.common import map_rows
+from mooring.llm.common import arrow_schema, map_rows
 from mooring.llm.literals import Gate, literals
-from mooring.session import cut
+from mooring.session import cut, spread
 
 #: A normalised line is boilerplate of a host when at least this share of the
 #: host's records and at least this number of them have it. A line of one record
@@ -177,39 +179,119 @@ def _evidence(line: str, text: str) -> str | None:
     return kind
 
 
-def evidence(text: str | None) -> list[tuple[str, str]]:
-    """``(kind, normalised line)`` of each line with evidence; none for null and blank texts.
+def _mark(m: re.Match) -> str:
+    """Stands for code or a formula in a line: its hash in letters no pattern takes for a word, or a blank if nothing is in it."""
+    if not any(map(str.isalnum, m.group())):
+        return " "
+    return f" \ue000{''.join(chr(103 + int(c, 16)) for c in f'{xxhash.xxh32_intdigest(m.group()):x}')}\ue001 "
 
-    Kinds: ``placeholder``, ``filler``, ``error``, ``check``, ``scripts``.
+
+_MARKED = re.compile(" \ue000[g-v]*\ue001 ")
+
+
+def _marked(text: str) -> str:
+    if "`" in text:
+        text = _SPAN.sub(_mark, _FENCE.sub(lambda m: f"\n{_mark(m)}\n", text))
+    if "\\" in text or "$" in text:
+        text = _MATH.sub(_mark, text)
+    return _TAG.sub("", text) if "<" in text else text
+
+
+def _hash(line: str) -> int:
+    x = xxhash.xxh3_64_intdigest(line)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _forms(line: str) -> tuple[str, str]:
+    """``(normalised, as it is)``; they are the same where the line has no number."""
+    low = line.lower().strip()
+    return _NORMAL.sub("#", low).strip(), low
+
+
+def line_hashes(text: str) -> set[int]:
+    """Hashes of the different lines of a text, normalised and as they are."""
+    low = _marked(text).lower()
+    out = {x.strip() for x in low.split("\n")}
+    if (normal := _NORMAL.sub("#", low)) != low:
+        out |= {x.strip() for x in normal.split("\n")}
+    out.discard("")
+    return set(map(_hash, out))
+
+
+def lines(text: str | None) -> list[tuple[str | None, int, int]]:
+    """``(kind of evidence or null, hash of the line normalised, hash of the line as it is)`` of a text with evidence.
+
+    Lines with neither evidence nor a letter or digit are left out; a text without
+    evidence has none, nor has a null or blank one.
     """
-    if not text:
+    if not text or text.isspace() or not _gate()(text):
+        return []
+    own = [(line, _evidence(bare, text) if (bare := _MARKED.sub(" ", line).strip()) else None) for line in _marked(text).split("\n")]
+    if not any(kind for _, kind in own):
         return []
-    bare = _TAG.sub("", _MATH.sub(" ", _SPAN.sub(" ", _FENCE.sub("\n", text))))
-    return [(kind, _normal(line)) for line in map(str.strip, bare.split("\n")) if line and (kind := _evidence(line, text))]
+    return [(kind, *map(_hash, _forms(line))) for line, kind in own if kind or any(map(str.isalnum, line))]
 
 
-def others(text: str | None) -> set[str]:
-    """Lines that have some content but no evidence, as they are, since numbers are content; code and formulas by their hash."""
-    if not text:
-        return set()
-    mark = lambda m: f" \ue000{''.join(chr(103 + int(c, 16)) for c in f'{zlib.crc32(m.group().encode()):x}')}\ue001 " if any(map(str.isalnum, m.group())) else " "
-    own = _TAG.sub("", _MATH.sub(mark, _SPAN.sub(mark, _FENCE.sub(lambda m: f"\n{mark(m)}\n", text))))
-    out = set()
-    for line in own.split("\n"):
-        if any(map(str.isalnum, line)):
-            bare = re.sub(" \ue000[g-v]*\ue001 ", " ", line).strip()
-            if not bare or not _evidence(bare, text):
-                out.add(line.strip())
-    return out
+def evidence(text: str | None) -> list[str]:
+    """Kind of each line with evidence; none for null and blank texts.
 
+    Kinds: ``placeholder``, ``filler``, ``error``, ``check``, ``scripts``.
+    """
+    return [kind for kind, *_ in lines(text) if kind]
 
-def _normal(line: str) -> str:
-    return _NORMAL.sub("#", line.lower())
 
+#: Line hashes a task holds before it sends their counts on.
+HELD_LINES = 1 << 21
 
-def _hash(line: str) -> int:
-    x = zlib.crc32(line.encode()) << 32 | zlib.adler32(line.encode())
-    return x - (1 << 64) if x >> 63 else x
+
+def _count(host: list[str | None], texts: list[str | None], held: dict) -> int:
+    n = 0
+    for h, t in zip(host, texts):
+        own = held.setdefault(h, [0, []])
+        own[0] += 1
+        if t and not t.isspace():
+            own[1] += (got := line_hashes(t))
+            n += len(got)
+    return n
+
+
+def boilerplate(rows: DataFrame, share: float = BOILERPLATE_SHARE, records: int = BOILERPLATE_RECORDS) -> DataFrame:
+    """``host, line``: the lines at least ``share`` of a host's records, and at least ``records`` of them, have.
+
+    ``rows(host, text)``; a null host is a host of its own. Counted are all lines of
+    all texts, a line once a record, normalised and, where they hold numbers, as
+    they are too: each task sends on one row for each of its
+    different lines of a host, and the line is part of the key, so no host is a hot
+    spot. Hashes stand for the lines (64 bits).
+    """
+    schema = "host string, line bigint, n bigint"
+    arrow = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for h, (n, own) in held.items():
+                line, times = np.unique(np.array(own, np.int64), return_counts=True)
+                size = len(line) + 1
+                # the number of records stands beside the lines, under the line that is none
+                yield pa.RecordBatch.from_arrays([pa.array([h] * size, pa.string()), pa.array([None, *line.tolist()], pa.int64()), pa.array([n, *times.tolist()], pa.int64())], schema=arrow)
+            held.clear()
+
+        n = 0
+        for b in batches:
+            n += _count(b.column(0).to_pylist(), b.column(1).to_pylist(), held)
+            if n >= HELD_LINES:
+                yield from out()
+                n = 0
+        yield from out()
+
+    counts = spread(rows.select("host", "text")).mapInArrow(run, schema).groupBy("host", "line").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("line").isNull() | (F.col("n") >= records))
+    counts = cut(counts)  # totals and lines are read from one count
+    totals = counts.where("line is null").select(F.col("host").alias("_host"), F.col("n").alias("of"))
+    own = counts.where("line is not null").join(totals, F.col("host").eqNullSafe(F.col("_host")))
+    return own.where(F.col("n") >= share * F.col("of")).select("host", "line")
 
 
 def residue(df: DataFrame, key: str, text: str, host: str, share: float = BOILERPLATE_SHARE, records: int = BOILERPLATE_RECORDS) -> DataFrame:
@@ -217,45 +299,28 @@ def residue(df: DataFrame, key: str, text: str, host: str, share: float = BOILER
 
     ``key`` must be unique. A null host is a host of its own; null, empty and
     blank texts are never excluded; repeated texts count on their own; whole
-    texts are read however long; an empty table gives no rows.
-    Only lines of records with evidence and counts by host are shuffled, unless a
-    host has boilerplate with evidence: then line hashes of its other records too.
+    texts are read however long; an empty table gives no rows. The texts are read
+    twice, to count their lines and to find evidence. Shuffled are counts of line
+    hashes and the lines of the few records that have evidence.
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def make(every: bool):
+    def make():
         def work(b: pa.RecordBatch) -> dict | None:
-            rows = []
-            for k, h, t in zip(*(c.to_pylist() for c in b.columns)):
-                own = set() if every else set(evidence(t))
-                rows += [(k, h, kind, _hash(line)) for kind, line in own]
-                if own or every:
-                    rows += [(k, h, None, _hash(line)) for line in others(t)]
-            if not rows:
-                return None
-            return dict(zip(("k", "host", "kind", "line"), zip(*rows)))
+            rows = [(k, h, *x) for k, h, t in zip(*(c.to_pylist() for c in b.columns)) for x in set(lines(t))]
+            return dict(zip(("k", "host", "kind", "line", "same"), zip(*rows))) if rows else None
 
         return work
 
-    def read(every: bool) -> DataFrame:
-        return map_rows(df.select(F.col(key).alias("k"), h.alias("host"), F.col(text).alias("t")), f"k {kind}, host string, kind string, line bigint", lambda: make(every), costly=True)
-
     h = F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("null"))
-    totals = df.groupBy(h.alias("host")).agg(F.count("*").alias("of"))
-
-    def recurrent(lines: DataFrame) -> DataFrame:
-        counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= records)
-        return counts.join(totals, "host").where(F.col("n") >= share * F.col("of")).select("host", "line")
-
+    own = df.select(F.col(key).alias("k"), h.alias("host"), F.col(text).alias("text"))
     # rows of the few records with evidence, looked at more than once: kept, so the texts are read once
-    lines = cut(read(every=False))
-    found = lines.where("kind is not null")
-    boilerplate = cut(recurrent(found))
-    left = found.join(boilerplate, ["host", "line"], "left_anti")
-    if not boilerplate.isEmpty():
-        only = found.join(left, "k", "left_anti")
-        rest = lines.where("kind is null").join(only, "k", "left_semi")
-        again = recurrent(read(every=True).join(rest, ["host", "line"], "left_semi"))
-        keeps = rest.join(again, ["host", "line"], "left_anti")
-        left = left.unionByName(only.join(keeps, "k", "left_anti"))
-    return left.groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("k", key)
+    told = cut(map_rows(own, f"k {kind}, host string, kind string, line bigint, same bigint", make, costly=True))
+    often = boilerplate(own, share, records)
+    shown = told.where("kind is not null")
+    left = shown.join(often, ["host", "line"], "left_anti")
+    only = shown.join(left, "k", "left_anti")
+    # other lines as they are, since numbers are content
+    other = told.where("kind is null").join(often.withColumnRenamed("line", "same"), ["host", "same"], "left_anti")
+    nothing = only.join(other, "k", "left_anti")
+    return left.unionByName(nothing).groupBy("k").agg(F.sort_array(F.collect_set("kind")).alias("kinds")).withColumnRenamed("k", key)

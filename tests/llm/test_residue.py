@@ -4,7 +4,7 @@ from mooring.llm import residue as R
 
 
 def kinds(text):
-    return {k for k, _ in R.evidence(text)}
+    return set(R.evidence(text))
 
 
 @pytest.mark.parametrize(
@@ -99,7 +99,38 @@ def test_recurrent_notice_goes_only_beside_other_content(spark):
         assert got == list(range(n // 10))
 
 
-def test_lines_that_are_other_content():
-    assert R.others("503 Service Unavailable\n\n---\n<reason></reason>") == set() == R.others(None)
-    assert len(R.others("503 Service Unavailable\n```\nx = 1\n```\nThe sum is $$k$$.\n`y`")) == 3
-    assert R.others("503 Service Unavailable\nText 7.") == {"Text 7."}
+def test_lines_of_a_text_with_evidence():
+    other = lambda t: [x for x in R.lines(t) if not x[0]]
+    assert R.lines("All is fine.\nText 7.") == [] == R.lines(None)
+    assert len(R.lines("503 Service Unavailable\n\n---\n<reason></reason>")) == 1
+    assert len(other("503 Service Unavailable\n```\nx = 1\n```\nThe sum is $$k$$.\n`y`")) == 3
+    (_, normal, same), = other("503 Service Unavailable\nText 7.")
+    assert R._hash("text #.") == normal and R._hash("text 7.") == same
+    # what is counted is what is looked up
+    for t in ("503 Service Unavailable\n `x` Text 7. \n\nNo number", "{{ a }} ${b}\n  Ünïcode ΑΣ 0xff  "):
+        assert {h for _, *x in R.lines(t) for h in x} <= R.line_hashes(t)
+
+
+def test_all_lines_are_counted_by_host(spark):
+    """Every line a host repeats is its boilerplate, with evidence or not; brute force."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    vocabulary = [f"line {chr(97 + i % 26)}{i} of the page" for i in range(60)] + ["Please enable JavaScript.", "Text 1.", "Text 2.", "---"]
+    rows = [(rng.choice(["=a", "=b", "null"]), "\n".join(rng.choices(vocabulary, k=rng.randrange(0, 9)))) for _ in range(900)] + [("=a", None), ("=c", ""), ("=d", "once")]
+    counts, totals = Counter(), Counter(h for h, _ in rows)
+    for h, t in rows:
+        counts.update((h, x) for x in (R.line_hashes(t) if t else ()))
+    want = {k for k, n in counts.items() if n >= 2 and n >= 0.08 * totals[k[0]]}
+    got = R.boilerplate(spark.createDataFrame(rows, "host string, text string").repartition(5), share=0.08)
+    assert {(r.host, r.line) for r in got.collect()} == want and 20 < len(want) < len(counts)
+
+
+def test_subtraction_decides_what_is_found(spark):
+    """Planted boilerplate: a footer of one host, which the patterns take for evidence, and the same line once at another host."""
+    footer = "Please sign in to continue to the full trace."
+    rows = [(i, "a", f"Trace {i}: the trams meet at {i}.\n{footer}", "") for i in range(200)] + [(900, "b", f"They meet at noon.\n{footer}", "")] + [(1000 + i, "b", f"Trace {i} is fine.", "") for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [r.seq for r in R.residue(df, "seq", "raw_output", "source").collect()] == [900]
+    assert R.residue(df, "seq", "raw_output", "source", share=2.0).count() == 201
