@@ -2,8 +2,8 @@
 
 Each answer and reasoning is aligned with the question of its method: shingle
 containment finds candidates for copies and the longest common subsequence of
-tokens decides; refusals are aligned, sentence by sentence, with the parts of
-refusal templates, and count only if nothing else is left; the language comes
+tokens decides; refusals are aligned, sentence by sentence, with refusal templates
+by longest common subsequence, and count only if nothing else is left; the language comes
 from the context trees of :mod:`mooring.llm.language`, a missing end from the
 regression of :mod:`mooring.llm.truncation`. Each entry gets at most one defect,
 the first of empty, copies_question, refusal, other_language, truncated.
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from mooring.functions.lcs import lcs_length
 from mooring.llm import language, truncation
 from mooring.llm.common import TRAIN_CHARS, hash_sample, map_rows
-from mooring.llm.literals import Gate, literals
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 #: Tokens of a shingle; share of the response's shingles that must be the
 #: question's; share of both texts' tokens that the alignment must cover.
 SHINGLE, CONTAINED, COVERED = 2, 0.8, 0.9
-#: Share of a response's letters that parts of refusal templates must cover.
-REFUSED = 0.85
+#: Share of a response's tokens that sentences aligned with refusal templates must
+#: hold, and tokens any other sentence may have.
+REFUSED, LEFT = 0.8, 4
 #: Rows of the table read to train the end detector.
 TRAIN_ROWS = 1500
 
@@ -47,61 +47,65 @@ _PREFIX = re.compile(r"^\W*(?:q|question|user|human|prompt|input|frage|pregunta|
 _COMBINING = re.compile("[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W_぀-ヿ㐀-鿿가-힯]+")
 
-#: Parts of refusal templates. ``_NO``: the refusal itself.
-_NO = [
-    # en
-    r"(?:i|we)\s*(?:can\s?not|can't|won't|will\s+not|could\s?not|am\s+unable\s+to|am\s+not\s+able\s+to|'m\s+(?:unable|not\s+able)\s+to|am\s+not\s+(?:in\s+a\s+position|allowed|permitted)\s+to|'m\s+not\s+(?:in\s+a\s+position|allowed|permitted)\s+to|must\s+(?:decline|refuse)(?:\s+to)?|have\s+to\s+(?:decline|refuse|pass)(?:\s+(?:to|on))?|will\s+have\s+to\s+pass|won't\s+be\s+able\s+to|will\s+not\s+be\s+able\s+to|decline\s+to|refuse\s+to)\s*(?:help|assist|answer|provide|give|fulfil|fulfill|continue|comply|discuss|share|solve|produce|respond|do|complete|support|create|write|engage|talk|offer|comment)?(?:\s+(?:you|me|us))?",
-    r"(?:i'd|i\s+would)\s+(?:rather|prefer)\s+not\s+(?:to\s+)?(?:answer|say|comment|discuss|respond)?",
-    r"(?:i\s+)?do\s+not\s+feel\s+comfortable|don't\s+feel\s+comfortable|my\s+(?:rules|guidelines|instructions)\s+(?:don't|do\s+not)\s+(?:allow|permit)\s+me\s+to|outside\s+of\s+what\s+i\s+may\s+talk\s+about|this\s+is\s+something\s+i\s+won't\s+be\s+able\s+to|goes\s+against\s+my\s+(?:guidelines|rules)",
-    # de
-    r"(?:dabei|das|damit)\s+kann\s+ich\s+(?:leider\s+)?nicht(?:\s+helfen)?|(?:muss|kann|darf|möchte|will)\s+ich\s+(?:\w+\s+){0,4}?(?:ablehnen|nicht(?:\s+\w+){0,2}?\s+(?:beantworten|äußern|helfen|antworten))|ich\s+(?:muss|kann|darf|möchte)\s+(?:\w+\s+){0,5}?(?:ablehnen|nicht\s+(?:beantworten|äußern|helfen|antworten))|frage\s+darf\s+ich\s+leider\s+nicht\s+beantworten",
-    # es
-    r"no\s+puedo\s+(?:ayudar\w*|responder|contestar|continuar)|no\s+me\s+es\s+posible\s+(?:responder|contestar|ayudar\w*)|debo\s+(?:negarme\s+a|rechazar)\s*(?:contestar|responder)?|prefiero\s+no\s+(?:opinar|hablar|responder|contestar)",
-    # fr
-    r"je\s+ne\s+peux\s+pas\s+(?:vous\s+)?(?:aider|répondre)|il\s+m['’]est\s+impossible\s+de\s+(?:répondre|vous\s+aider)|je\s+dois\s+refuser(?:\s+de\s+répondre)?|je\s+préfère\s+ne\s+pas\s+(?:me\s+prononcer|répondre|en\s+parler|m['’]exprimer)",
-    # pt
-    r"não\s+posso\s+(?:ajudar|responder)|não\s+me\s+é\s+possível\s+(?:responder|ajudar)|(?:devo|tenho\s+de|preciso)\s+(?:recusar|me\s+recusar)(?:-me)?(?:\s+a)?(?:\s+responder)?|prefiro\s+não\s+(?:falar|responder|opinar|comentar)|recusar\s+(?:este|esse)\s+pedido",
-    # it
-    r"non\s+posso\s+(?:aiutar\w*|rispondere)|non\s+mi\s+è\s+possibile\s+(?:rispondere|aiutar\w*)|devo\s+(?:rifiutare|rifiutarmi)(?:\s+di\s+rispondere)?|preferisco\s+non\s+(?:esprimermi|rispondere|parlarne)",
-    # nl
-    r"(?:daar|daarmee|hierbij|hier)\s+kan\s+ik\s+(?:u\s+|je\s+)?(?:helaas\s+)?niet\s+(?:bij\s+|mee\s+)?helpen|(?:moet|kan|mag|wil)\s+ik\s+(?:\w+\s+){0,4}?(?:weigeren|niet\s+(?:beantwoorden|helpen|antwoorden))|laat\s+me\s+hier\s+liever\s+niet\s+over\s+uit|kan\s+ik\s+(?:helaas\s+)?(?:geen\s+antwoord\s+geven|niet\s+beantwoorden)",
-    # ru
-    r"не\s+могу\s+(?:помочь|ответить|отвечать)|вынужден\w*\s+отказаться(?:\s+от\s+ответа)?|предпоч[её]л\w*\s+бы\s+не\s+(?:обсуждать|отвечать)|ответить\s+(?:на\s+\w+\s+\w+\s+)?невозможно|на\s+этот\s+вопрос\s+(?:невозможно|нельзя)",
-    # zh, ja
-    r"(?:我)?(?:无法|不能|不便|不方便)(?:协助|帮助|回答|提供|对此|完成)(?:完成|发表看法|这个|该|您)?|(?:必须)?拒绝回答|回答できません|お答えできません|お手伝いできません|回答をお断りします|控えさせていただきます|お断りします|対応できません|お応えできません",
-]
-#: What comes with a refusal.
-_WITH = [
-    r"i'm\s+sorry|i\s+am\s+sorry|sorry|my\s+apologies|apologies|unfortunately|regrettably|as\s+an?\s+(?:ai\s+)?(?:language\s+model|assistant|ai)|\bbut\b|\band\b|thank\s+you\s+(?:for\s+(?:the|your)\s+(?:question|understanding|patience)|for\s+understanding|for\s+asking)|thanks\s+for\s+(?:asking|the\s+question)|hello|hi|i\s+have\s+read\s+the\s+(?:task|question)|please\s+consult\s+a\s+qualified\s+(?:person|expert)\s+instead|let\s+me\s+know\s+if\s+you\s+have\s+(?:another|any\s+other)\s+questions?|is\s+there\s+anything\s+else\s+(?:you\s+would\s+like\s+to\s+discuss|i\s+can\s+(?:do|help\s+with))|(?:with|to|on|about|for)?\s*(?:that|this|the|your|any)\s+(?:request|question|information|subject|topic|task|answer|matter|one)|(?:an?\s+)?answer(?:ing)?(?:\s+(?:to\s+)?(?:this|that|it|the\s+question))?|(?:advice|opinion|information)\s+on\s+(?:this|that)\s+(?:subject|topic)|such\s+a\s+text|comply\s+with|with\s+(?:that|this|it)|discuss(?:\s+it)?|help|assist|\bit\b|\bthis\b|\bthat\b|for\s+you|at\s+this\s+time|right\s+now|as\s+it\s+may\s+cause\s+harm|as\s+it|goes\s+against\s+my\s+(?:guidelines|rules)|so\s+i|so|topic\s+is|instead|provide|give|share|solve|answer|continue|produce|respond|in\s+any\s+way",
-    r"es\s+tut\s+mir\s+leid|tut\s+mir\s+leid|leider|als\s+(?:ki-)?(?:assistent|sprachmodell)(?:in)?|danke\s+für\s+(?:die|ihre|deine)\s+(?:frage|verständnis)|vielen\s+dank(?:\s+für\s+\w+\s+\w+)?|hallo|guten\s+tag|ich\s+habe\s+die\s+(?:aufgabe|frage)\s+gelesen|diese\s+(?:anfrage|frage)|dazu|mich|nicht|ich|zu\s+diesem\s+thema",
-    r"lo\s+siento(?:\s+mucho)?|lamentablemente|como\s+(?:asistente|modelo\s+de\s+lenguaje)|gracias\s+por\s+(?:la|tu|su)\s+(?:pregunta|comprensión)|hola|he\s+leído\s+(?:el\s+enunciado|la\s+pregunta|la\s+tarea)|con\s+(?:esa|esta)\s+(?:solicitud|petición|pregunta)|a\s+esta\s+pregunta|sobre\s+este\s+tema|pero",
-    r"je\s+suis\s+désolée?|désolée?|malheureusement|en\s+tant\s+qu['’](?:assistant|ia)\w*|merci\s+(?:pour|de)\s+(?:la|votre|cette)\s+(?:question|compréhension)|bonjour|j['’]ai\s+lu\s+(?:l['’]énoncé|la\s+question)|(?:avec|à)\s+cette\s+(?:demande|question)|sur\s+ce\s+sujet|mais",
-    r"desculpe|lamento|infelizmente|sinto\s+muito|como\s+(?:assistente|modelo\s+de\s+linguagem)|obrigad[oa]\s+pela\s+(?:pergunta|compreensão)|olá|(?:já\s+)?li\s+(?:o\s+enunciado|a\s+pergunta|a\s+tarefa)|com\s+(?:esse|este)\s+pedido|a\s+(?:esta|essa)\s+pergunta|(?:a\s+)?resposta|sobre\s+(?:este|esse)\s+assunto|mas",
-    r"mi\s+dispiace|purtroppo|spiacente|come\s+(?:assistente|modello\s+linguistico)|grazie\s+per\s+la\s+(?:domanda|comprensione)|ciao|buongiorno|ho\s+letto\s+(?:il\s+testo|la\s+domanda|il\s+compito|la\s+traccia)|con\s+questa\s+richiesta|a\s+questa\s+domanda|su\s+questo\s+tema|di\s+rispondere|ma",
-    r"het\s+spijt\s+me|sorry|helaas|als\s+(?:assistent|taalmodel)|bedankt\s+voor\s+(?:de|je|uw)\s+(?:vraag|begrip)|dank\s+u|hallo|ik\s+heb\s+de\s+(?:opgave|vraag)\s+gelezen|(?:dit|deze)\s+(?:verzoek|vraag)|op\s+deze\s+vraag|ik",
-    r"извините|простите|к\s+сожалению|как\s+(?:помощник|языковая\s+модель|ассистент)|спасибо\s+за\s+(?:вопрос|понимание)|здравствуйте|привет|я\s+(?:прочитал\w*|прочёл)\s+(?:задачу|условие|вопрос)|(?:с|на)\s+(?:этим|этот|данный)\s+(?:запросом|вопрос)|эту\s+тему|но|я|от\s+ответа",
-    r"(?:很)?(?:抱歉|遗憾|对不起)|作为(?:一个|一名)?(?:助手|语言模型|人工智能)|感谢您的(?:提问|理解)|谢谢您?的?(?:提问|问题)?|您好|你好|我已经读过(?:题目|问题)|这个(?:问题|请求)|发表看法|我|对此|请求|申し訳(?:ございません|ありません)(?:が)?|すみません(?:が)?|残念ながら|アシスタントとして|ご質問ありがとうございます|ご理解.{0,6}(?:ください|ます)|こんにちは|問題(?:文)?を読みました|この質問(?:に)?(?:は)?|その話題については|その(?:ご)?(?:依頼|要望)(?:に)?(?:は)?|には?",
-]
-_NO_RE = re.compile("|".join(f"(?:{x})" for x in _NO), re.I)
-_PART_END = re.compile(r"(?<=[.!?。！？])\s*|\n+")
-_WITH_RE = re.compile(f"(?<!\\w)(?=\\w)(?:{'|'.join(f'(?:{x})' for x in _WITH[:-1])})(?!\\w)|(?=[^\x00-\u2fff])(?:{_WITH[-1]})", re.I)
-#: Refusals as token templates, which sentences of other wording are aligned with.
-_TEMPLATES = """
-i'm sorry i can't help with that | i'm sorry but i can't help with that request | i can't help with that | i can't help you with this question | i cannot help with that | i am unable to help with this request | i'm unable to assist with that | i can't assist with that request | i am not able to help you with that
-i can't answer that | i cannot answer this question | sorry i cannot answer this question | i won't answer this question | i will not answer that | i'm sorry but i can't answer this question | i am not able to answer this question | i'm not able to answer that | i must decline to answer this question | i have to refuse this request | i can't provide an answer to this question
-i can't comply with this request | i cannot fulfil this request | i can't do that for you | i can't discuss this topic | i would rather not answer that | i prefer not to answer this question | i don't feel comfortable answering this question | this goes against my guidelines | my guidelines don't allow me to answer this
-dabei kann ich leider nicht helfen | das kann ich leider nicht beantworten | ich kann diese frage leider nicht beantworten | ich kann ihnen dabei nicht helfen | ich möchte diese frage nicht beantworten | ich muss diese anfrage leider ablehnen | es tut mir leid aber ich kann diese frage nicht beantworten
-lo siento no puedo ayudar con esa solicitud | no puedo ayudarte con esta pregunta | no puedo responder a esta pregunta | no me es posible responder a esta pregunta | prefiero no responder a esta pregunta | debo rechazar esta solicitud
-je suis désolé je ne peux pas vous aider | je ne peux pas répondre à cette question | je ne peux pas vous aider avec cette demande | il m'est impossible de répondre à cette question | je préfère ne pas répondre à cette question | je dois refuser cette demande
-desculpe não posso ajudar com esse pedido | não posso responder a esta pergunta | não me é possível responder a esta pergunta | prefiro não responder a esta pergunta | devo recusar este pedido
-mi dispiace non posso aiutarti con questa richiesta | non posso rispondere a questa domanda | non mi è possibile rispondere a questa domanda | preferisco non rispondere a questa domanda | devo rifiutare questa richiesta
-het spijt me daar kan ik niet bij helpen | ik kan deze vraag niet beantwoorden | ik kan u daar helaas niet mee helpen | ik wil deze vraag liever niet beantwoorden | ik moet dit verzoek weigeren
-извините я не могу помочь с этим запросом | я не могу ответить на этот вопрос | к сожалению ответить на этот вопрос невозможно | я предпочёл бы не отвечать на этот вопрос | я вынужден отказаться от ответа
-很抱歉我无法回答这个问题 | 我不能回答这个问题 | 我无法帮助您完成这个请求 | 我必须拒绝回答这个问题 | 我不方便对此发表看法
-申し訳ありませんがその質問には回答できません | この質問にはお答えできません | そのご依頼にはお応えできません | お手伝いできません | 回答を控えさせていただきます
+#: Refusal templates. A template is put together from an opening, a
+#: core, an act and an ending, of which only the core must be there; cores that say
+#: it all have no act. Greetings and thanks may stand beside a refusal.
+_OPENINGS = """
+i'm sorry | i am sorry | i'm sorry but | i am sorry but | sorry | sorry but | my apologies | apologies | my apologies but | apologies but | unfortunately | regrettably | i'm afraid | i am afraid that | as an ai | as an assistant | as a language model | as an ai language model | i'm sorry but as an ai language model | thank you for the question but | i appreciate the question but | i have to say that
+es tut mir leid | es tut mir leid aber | tut mir leid | leider | als assistent | als assistentin | als sprachmodell | als ki | ich bedaure | entschuldigung
+lo siento | lo siento mucho | lo siento pero | lamentablemente | desafortunadamente | como asistente | como modelo de lenguaje | disculpe
+je suis désolé | je suis désolée | je suis désolé mais | désolé | désolé mais | malheureusement | en tant qu'assistant | en tant qu'ia | en tant que modèle de langage | je regrette
+desculpe | desculpe mas | lamento | lamento mas | infelizmente | sinto muito | como assistente | como modelo de linguagem
+mi dispiace | mi dispiace ma | purtroppo | spiacente | come assistente | come modello linguistico
+het spijt me | het spijt me maar | helaas | sorry maar | als assistent | als taalmodel
+извините | извините но | простите | к сожалению | как помощник | как ассистент | как языковая модель | мне жаль | мне жаль но
+抱歉 | 很抱歉 | 对不起 | 很遗憾 | 非常抱歉 | 作为助手 | 作为语言模型 | 作为一个人工智能 | 抱歉但是
+申し訳ありませんが | 申し訳ございませんが | すみませんが | 残念ながら | アシスタントとして | 言語モデルとして | 恐れ入りますが
+"""
+_CORES = """
+i can't | i cannot | i can not | i could not | i couldn't | i won't | i will not | i do not want to | i am unable to | i'm unable to | i am not able to | i'm not able to | i won't be able to | i will not be able to | i am not in a position to | i'm not in a position to | i am not allowed to | i'm not allowed to | i am not permitted to | i'm not permitted to | it is not possible for me to | it's impossible for me to | i must decline to | i have to decline to | i must refuse to | i have to refuse to | i refuse to | i decline to | i'd rather not | i would rather not | i prefer not to | i'd prefer not to | i would prefer not to | i don't feel comfortable | i do not feel comfortable | i'm not comfortable | my rules don't allow me to | my rules do not allow me to | my guidelines don't allow me to | my guidelines do not permit me to | my instructions don't permit me to | i will have to pass on | i have to pass on | we can't | we cannot | we are unable to
+this is something i won't be able to help with | this is outside of what i may talk about | this topic is outside of what i may talk about | this goes against my guidelines | that goes against my rules | no comment on that from me | i can't | i cannot | i won't
+dabei kann ich nicht helfen | dabei kann ich leider nicht helfen | damit kann ich nicht helfen | das kann ich nicht beantworten | das kann ich leider nicht beantworten | diese frage kann ich nicht beantworten | diese frage darf ich leider nicht beantworten | ich kann diese frage nicht beantworten | ich darf diese frage nicht beantworten | ich kann dir dabei nicht helfen | ich kann ihnen dabei nicht helfen | ich möchte diese frage nicht beantworten | ich muss diese anfrage ablehnen | muss ich diese anfrage ablehnen | dazu möchte ich mich nicht äußern | darüber möchte ich nicht sprechen | dazu kann ich nichts sagen | ich kann darauf nicht antworten
+no puedo ayudar con esa solicitud | no puedo ayudarte con eso | no puedo responder a esta pregunta | no puedo contestar | no me es posible responder a esta pregunta | no me es posible ayudar con eso | debo negarme a contestar | debo rechazar esta solicitud | prefiero no opinar sobre este tema | prefiero no responder a esta pregunta | no puedo continuar con esta tarea
+je ne peux pas vous aider | je ne peux pas vous aider avec cette demande | je ne peux pas répondre à cette question | il m'est impossible de répondre à cette question | il m'est impossible de vous aider | je dois refuser de répondre | je dois refuser cette demande | je préfère ne pas me prononcer sur ce sujet | je préfère ne pas répondre à cette question | je ne suis pas en mesure de répondre
+não posso ajudar com esse pedido | não posso responder a esta pergunta | não me é possível responder a esta pergunta | devo recusar a resposta | devo recusar este pedido | tenho de recusar este pedido | prefiro não falar sobre este assunto | prefiro não responder a esta pergunta | não consigo ajudar com isso
+non posso aiutarti con questa richiesta | non posso aiutare con questo | non posso rispondere a questa domanda | non mi è possibile rispondere a questa domanda | devo rifiutare di rispondere | devo rifiutare questa richiesta | preferisco non esprimermi su questo tema | preferisco non rispondere a questa domanda | non sono in grado di rispondere
+daar kan ik niet bij helpen | daar kan ik u helaas niet mee helpen | hier kan ik niet mee helpen | deze vraag mag ik helaas niet beantwoorden | deze vraag kan ik niet beantwoorden | ik kan deze vraag niet beantwoorden | moet ik dit verzoek weigeren | ik moet dit verzoek weigeren | ik laat me hier liever niet over uit | daar kan ik geen antwoord op geven | ik wil deze vraag liever niet beantwoorden
+я не могу помочь с этим запросом | я не могу помочь с этим | я не могу ответить на этот вопрос | ответить на этот вопрос невозможно | на этот вопрос ответить нельзя | я вынужден отказаться от ответа | я вынуждена отказаться от ответа | я предпочёл бы не обсуждать эту тему | я предпочла бы не отвечать на этот вопрос | мне нельзя отвечать на этот вопрос
+我无法回答这个问题 | 我不能回答这个问题 | 这个问题我不能回答 | 我无法协助完成这个请求 | 我无法帮助您完成这个请求 | 我不能提供帮助 | 我必须拒绝回答 | 我必须拒绝这个请求 | 我不方便对此发表看法 | 我不便回答 | 我无法提供这方面的信息
+その質問には回答できません | この質問には回答できません | この質問にはお答えできません | そのご依頼にはお応えできません | その依頼には対応できません | その話題については控えさせていただきます | 回答を控えさせていただきます | 回答をお断りします | お手伝いできません | お答えすることはできません
+"""
+_ACTS = """
+help | help with that | help with this | help you with that | help you with this question | help with this request | assist | assist with that | assist you with that request | answer | answer that | answer this | answer this question | answer the question | answer your question | answering this question | answering this | discussing this | talking about that | doing that | provide an answer | provide an answer to this question | give an answer to that | provide that information | share that information | give that information | discuss it | discuss that | discuss this topic | talk about that | talk about this topic | talk about it | continue | continue with this task | continue with this | comply | comply with the request | comply with this request | fulfil this request | fulfill this request | this request | give advice on this subject | give an opinion on that | offer an opinion on this | produce such a text | write such a text | create that content | solve this one | solve this task | solve it | do that | do this | complete this task | complete the request | comment | comment on that | comment on this matter | respond | respond to that | respond to this question | engage with this topic | support this request | say | this one | that | with that
+"""
+_ENDINGS = """
+at this time | at the moment | right now | for you | as it may cause harm | because it may cause harm | as it goes against my guidelines | as it goes against my rules | because of my guidelines | in any way | in good conscience | so i must decline | so i have to decline | so i will have to pass | so i'll pass | instead | today | i hope you understand
+leider | im moment | ich bitte um verständnis
+en este momento | por ahora
+pour le moment | pour l'instant
+neste momento | de momento
+in questo momento | al momento
+op dit moment
+в данный момент | сейчас
+目前 | 请谅解
+現在 | ご了承ください
 """
-#: Share of the tokens of a sentence and of a template that their alignment must cover.
-ALIGNED = 0.75
+#: What may stand beside a refusal without being an answer.
+_BESIDE = """
+thank you for the question | thank you for your question | thanks for asking | thanks for the question | thank you for your understanding | thank you for understanding | thank you for your patience | hello | hi | hello there | good day | sorry | my apologies | apologies | i'm sorry | i have read the task | i have read the question | i read your question | please consult a qualified person instead | please consult a qualified expert instead | please ask a qualified expert | let me know if you have another question | let me know if you have any other questions | is there anything else i can help with | is there anything else i can do for you | is there anything else you would like to discuss | i hope you understand | as an ai language model | it goes against my guidelines
+danke für die frage | vielen dank für die frage | danke für dein verständnis | vielen dank für ihr verständnis | hallo | guten tag | ich habe die aufgabe gelesen | ich habe die frage gelesen | es tut mir leid | bitte wenden sie sich an eine fachperson | ich bitte um verständnis
+gracias por la pregunta | gracias por su comprensión | gracias por tu comprensión | hola | buenos días | he leído el enunciado | he leído la pregunta | lo siento | por favor consulte a un especialista
+merci pour la question | merci de votre compréhension | merci pour votre question | bonjour | j'ai lu l'énoncé | j'ai lu la question | je suis désolé | veuillez consulter un spécialiste
+obrigado pela pergunta | obrigada pela pergunta | obrigado pela compreensão | olá | bom dia | li o enunciado | já li a pergunta | desculpe | consulte um especialista por favor
+grazie per la domanda | grazie per la comprensione | ciao | salve | buongiorno | ho letto il testo | ho letto la domanda | mi dispiace | consulti uno specialista per favore
+bedankt voor de vraag | bedankt voor uw begrip | hallo | goedendag | ik heb de opgave gelezen | ik heb de vraag gelezen | het spijt me | raadpleeg een deskundige
+спасибо за вопрос | спасибо за понимание | здравствуйте | привет | я прочитал условие | я прочитал вопрос | я прочитала задачу | извините | обратитесь к специалисту
+感谢您的提问 | 谢谢您的问题 | 谢谢理解 | 您好 | 你好 | 我已经读过题目 | 我看过这个问题 | 抱歉 | 请咨询专业人士
+ご質問ありがとうございます | ご理解ください | ご理解いただけますと幸いです | こんにちは | 問題文を読みました | 質問を読みました | 申し訳ありません | 専門家にご相談ください
+"""
+#: Share of the tokens of a sentence and of a template that their alignment must cover, and of a part of a template alone.
+ALIGNED, PART = 0.75, 0.8
+_PART_END = re.compile(r"(?<=[.!?。！？])\s*|\n+")
 #: Names of the languages in the languages, as stems.
 _ASKED = {
     "en": "english englisch inglés anglais inglês inglese engels английск 英语 英文 英語",
@@ -128,9 +132,10 @@ def is_empty(v: str | None) -> bool:
     if not any(c.isalnum() for c in s):
         # a text of symbols only, such as a formula sign, says something; marks don't
         return all(unicodedata.category(c)[0] in "ZCP" or c in "<>|~^`=+$" for c in s)
-    if len(s) > 40:
-        return False
-    return re.sub(r"\s+", " ", s).strip(" \t\r\n.,;:!?-–—_*\"'`()[]{}<>“”‘’「」。").casefold() in _STAND_IN
+    stand_in = lambda x: " ".join(x.split()).strip(" .,;:!?-–—_*\"'`()[]{}<>“”‘’「」。").casefold() in _STAND_IN
+    s = s.strip()
+    # one stand-in, or nothing but stand-ins on lines of their own
+    return stand_in(s) or "\n" in s and all(stand_in(x) for x in s.split("\n") if any(map(str.isalnum, x)))
 
 
 def tokens(s: str) -> list[str]:
@@ -158,33 +163,64 @@ def copies(question: str, v: str) -> bool:
     return lcs_length(q, a) >= COVERED * max(len(a), len(q))
 
 
+def _sentences(lists: str) -> list[list[str]]:
+    return sorted({tuple(tokens(t)) for line in lists.strip().split("\n") for t in line.split("|")}, key=lambda t: (-len(t), t))
+
+
+class _Parts:
+    """Token templates, found by the tokens they share with a sentence."""
+
+    def __init__(self, lists: str):
+        self.own = [list(t) for t in _sentences(lists)]
+        self.repeats = [len(t) - len(set(t)) for t in self.own]
+        self.index: dict[str, list[int]] = {}
+        for i, t in enumerate(self.own):
+            for x in set(t):
+                self.index.setdefault(x, []).append(i)
+
+    def near(self, a: list[str], share: float) -> list[list[str]]:
+        """Templates of whose tokens at least ``share`` align with ``a``, the longest first."""
+        shared = Counter(i for x in set(a) for i in self.index.get(x, ()))
+        # an alignment has no more tokens than both share, repeated ones of the template included
+        near = sorted(i for i, n in shared.items() if n + self.repeats[i] >= share * len(self.own[i]))
+        return [self.own[i] for i in near if lcs_length(self.own[i], a) >= share * len(self.own[i])]
+
+
 @lru_cache(maxsize=1)
-def _templates() -> tuple[list[list[str]], dict[str, list[int]], int]:
-    """Token templates, for each token those that have it, and the tokens of the longest."""
-    own = [tokens(t) for line in _TEMPLATES.strip().split("\n") for t in line.split("|")]
-    index: dict[str, list[int]] = {}
-    for i, t in enumerate(own):
-        for x in set(t):
-            index.setdefault(x, []).append(i)
-    return own, index, max(map(len, own))
-
-
-def aligns(sentence: str) -> bool:
-    """Is the sentence, but for a few tokens, one of the refusal templates?"""
-    own, index, longest = _templates()
-    a = tokens(sentence)
+def _refusals() -> tuple[_Parts, _Parts, _Parts, _Parts, _Parts, int]:
+    cores, *rest = (_Parts(x) for x in (_CORES, _OPENINGS, _ACTS, _ENDINGS, _BESIDE))
+    return cores, *rest, sum(len(p.own[0]) for p in (cores, *rest[:3]))
+
+
+def aligns(sentence: str | list[str]) -> bool:
+    """Is the sentence, but for a few tokens, a refusal template?
+
+    Cores that align give the template together with the longest opening, act and
+    ending that align; then the whole template and the sentence must cover each
+    other.
+    """
+    cores, openings, acts, endings, _, longest = _refusals()
+    a = tokens(sentence) if isinstance(sentence, str) else sentence
     if not a or len(a) * ALIGNED > longest:
         return False
-    shared = Counter(i for x in set(a) for i in index.get(x, ()))
-    for i, n in shared.items():
-        t = own[i]
-        least = ALIGNED * max(len(t), len(a))
-        # the alignment has no more tokens than both share, repeated ones of the template included
-        if n + len(t) - len(set(t)) >= least and lcs_length(t, a) >= least:
-            return True
+    near = cores.near(a, PART)
+    if not near:
+        return False
+    first = lambda parts: next(iter(parts.near(a, 1.0)), [])
+    opening, act, ending = first(openings), first(acts), first(endings)
+    for core in near:
+        for t in (core, opening + core + ending, opening + core + act, opening + core + act + ending):
+            if min(len(t), len(a)) >= ALIGNED * max(len(t), len(a)) and lcs_length(t, a) >= ALIGNED * max(len(t), len(a)):
+                return True
     return False
 
 
+def beside(sentence: str | list[str]) -> bool:
+    """Is the sentence a greeting, thanks or the like, which gives no answer?"""
+    a = tokens(sentence) if isinstance(sentence, str) else sentence
+    return any(lcs_length(t, a) >= ALIGNED * max(len(t), len(a)) for t in _refusals()[4].near(a, PART))
+
+
 def _parts(s: str) -> Iterator[str]:
     """Sentences and lines, one at a time, as most texts are told by the first."""
     at = 0
@@ -194,31 +230,28 @@ def _parts(s: str) -> Iterator[str]:
     yield s[at:]
 
 
-@lru_cache(maxsize=1)
-def _no_gate() -> Gate:
-    return Gate([literals(_NO_RE)])
-
-
 def refuses(v: str) -> bool:
-    """Does ``v`` decline to respond and give nothing else?"""
-    s = _TAGS.sub(" ", v).replace("’", "'").strip()
-    letters = covered = 0
+    """Does ``v`` decline to respond and give nothing else?
+
+    Every sentence is aligned with the refusal templates and with what may stand
+    beside them; the sentences that align must hold REFUSED of the tokens, and no
+    other may have more than LEFT.
+    """
+    n = covered = 0
     refused = False
-    for part in _parts(s):
-        n = sum(map(str.isalpha, part))
-        if not n:
+    for part in _parts(_TAGS.sub(" ", v)):
+        a = tokens(part)
+        if not a:
+            continue
+        n += len(a)
+        if aligns(a):
+            refused = True
+        elif not beside(a):
+            if len(a) > LEFT:
+                return False
             continue
-        rest = _NO_RE.sub(" ", part) if _no_gate()(part) else part
-        no = rest != part
-        left = sum(map(str.isalpha, _WITH_RE.sub(" ", rest)))
-        if left > (1 - REFUSED) * n or not no:
-            if aligns(part):
-                no, left = True, 0
-        refused |= no
-        letters, covered = letters + n, covered + n - left
-        if left > (1 - REFUSED) * n and left > 12:
-            return False
-    return refused and covered >= REFUSED * letters
+        covered += len(a)
+    return refused and covered >= REFUSED * n
 
 
 def asked(question: str) -> set[str]:

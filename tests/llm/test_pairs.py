@@ -1,11 +1,7 @@
-import random
-from re import _parser
-
 import numpy as np
 import pytest
 
 from mooring.llm import language, pairs, truncation
-from tests.llm.test_literals import strings
 
 
 @pytest.mark.parametrize("v", [None, "", " \t\n", "​", "...", "—", "[]", '""', "<answer></answer>", "N/A", "null", "None.", "(no answer)", "无", "<reason> nan </reason>", "Keine Antwort"])
@@ -117,14 +113,26 @@ def test_refuses_at_any_length_and_without_the_former_stems():
     assert not pairs.refuses("I cannot answer this question. " * 30 + "But the sum of the first ten numbers is 55, and the rest follows.")
 
 
-def test_every_alternative_of_a_refusal_passes_the_gate():
-    rng, n = random.Random(5), 0
-    for part in pairs._NO:
-        for s in strings(_parser.parse(part, pairs._NO_RE.flags), rng):
-            if pairs._NO_RE.search(s):
-                n += 1
-                assert pairs._no_gate()(s) and pairs._no_gate()(s.upper()), s
-    assert n > 200
+@pytest.mark.parametrize("times", [1, 12, 13, 200])
+def test_a_refusal_said_any_number_of_times(times):
+    assert pairs.refuses("I can't help with that request, as it may cause harm. " * times) and pairs.refuses("很抱歉,我无法协助完成这个请求。" * times)
+
+
+def test_every_core_is_a_refusal_with_any_opening():
+    cores, openings, *_ = pairs._refusals()
+    assert sum(map(pairs.aligns, cores.own)) == len(cores.own)
+    for core in cores.own[::7]:
+        for opening in openings.own[::5]:
+            assert pairs.aligns(opening + core)
+
+
+@pytest.mark.parametrize("v", ["Sorry, I can't really answer this question here.", "I'm sorry, I really am not able to solve this one today.", "Leider kann ich diese Frage so nicht beantworten.", "Lo siento mucho, pero no puedo responder a esta pregunta ahora."])
+def test_wordings_between_the_templates(v):
+    assert pairs.refuses(v)
+
+
+def test_stand_ins_with_white_space_of_any_length():
+    assert pairs.is_empty("N/A" + " " * 500) and pairs.is_empty("\n\n" * 300 + "none.") and pairs.is_empty("N/A\n" * 40) and not pairs.is_empty("N/A\n42")
 
 
 def test_copies_at_any_length():
