@@ -25,8 +25,22 @@ _WHOLE = f"WITH {_exact('method')} SELECT method, field, n_rows, n_finite, p, va
 _CHECKED = f"WITH {_exact('method')} SELECT method, field, p, n_finite, value, true AS within FROM q WHERE n_finite > 0"
 
 
+#: Letters of each text, its runs of 30 letters that occurred before, and the letters these cover.
+_SHARES = r"""
+t AS (
+  SELECT 'raw_output' AS field, seq AS rec_id, coalesce(method, 'R0') AS method, raw_output AS text FROM raw_generations
+  UNION ALL SELECT 'reasonings', sample_idx, e.key, e.value FROM (SELECT sample_idx, unnest(map_entries(reasonings)) AS e FROM metric_rows)
+),
+s AS (SELECT row_number() OVER () AS u, field, rec_id, method, regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', '', 'g') AS s FROM t),
+r AS (SELECT u, i, row_number() OVER (PARTITION BY u, substr(s, i, 30) ORDER BY i) > 1 AS again FROM (SELECT u, s, unnest(range(1, length(s) - 28)) AS i FROM s WHERE length(s) >= 60)),
+c AS (SELECT u, least(30, coalesce(lead(i) OVER (PARTITION BY u ORDER BY i) - i, 30)) AS n FROM r WHERE again),
+q AS (SELECT field, rec_id, method, CASE WHEN length(s) >= 60 THEN coalesce(n, 0) / length(s) END AS share FROM s LEFT JOIN (SELECT u, sum(n) AS n FROM c GROUP BY u) USING (u))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_shares": f"WITH {_SHARES} SELECT field, rec_id, method, round(share, 9) AS share FROM q",
+        "p4_found": f"WITH {_SHARES} SELECT field, rec_id, method FROM q WHERE share >= 0.33",
         "p1_by_day": _DAYS,
         "p1_percentiles": f"SELECT *, 'run_day' AS scope FROM ({_DAYS}) UNION ALL BY NAME SELECT *, 'whole' AS scope FROM ({_WHOLE})",
         "p1_rank_check": _CHECKED,

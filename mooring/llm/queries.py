@@ -112,19 +112,19 @@ def _reasonings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "metric_rows").select(F.col("sample_idx").alias("rec_id"), F.explode("reasonings").alias("method", "text"))
 
 
-def _repeated(spark: SparkSession, d: str, margin: float) -> DataFrame:
+def _repeatable(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     raw = table(spark, d, "raw_generations").select(F.col("seq").alias("rec_id"), F.coalesce("method", F.lit("R0")).alias("method"), F.col("raw_output").alias("text"))
-    return repetition.repeated({"raw_output": raw, "reasonings": _reasonings(spark, d)}, margin=margin)
+    return {"raw_output": raw, "reasonings": _reasonings(spark, d)}
 
 
 def p4_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated share of every text, counted, beside the trees' estimate."""
-    return _repeated(spark, d, 0.0)
+    """Repeated share of every text, counted."""
+    return repetition.shares(_repeatable(spark, d)).withColumn("share", F.round("share", 9))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with a repeated share of at least 0.33; only texts the trees suspect are counted."""
-    return repetition.found(_repeated(spark, d, repetition.MARGIN))
+    """Texts with a repeated share of at least 0.33, told by the trees and verified where these may err."""
+    return repetition.found(repetition.repeated(_repeatable(spark, d)))
 
 
 # 5: broken pairs

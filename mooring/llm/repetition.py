@@ -2,8 +2,9 @@
 
 The repeated share of a text is the share of its letters that lie in a run of
 :data:`RUN` letters which occurred earlier in it. Gradient-boosted trees estimate
-it from cheap statistics of the text; texts whose estimate is not clearly below
-the threshold get the exact share by hashing all their runs.
+it from cheap statistics of the text and tell cases from others. Their error is
+measured in training, on texts left out of the trees: wherever it reaches, on both
+sides of the threshold, the estimate is verified by hashing all runs of the text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,8 @@ from mooring.llm.trees import Forest, fit
 RUN, LEAST_LETTERS, THRESHOLD = 30, 60, 0.33
 #: Texts of each field read for training.
 TRAIN_ROWS = 1500
-#: A text whose estimated share is at least this gets the exact one.
-MARGIN = 0.17
+#: Folds in which the error is measured, and what is added to it on both sides.
+FOLDS, SLACK = 4, 0.08
 #: Evenly spaced runs looked up in a text.
 PROBES = 24
 _OTHER = re.compile(r"[\W\d_]+")
@@ -100,65 +103,106 @@ def loops(texts: list[str], seed: int = 5) -> list[str]:
     return out
 
 
-def train(texts: list[str]) -> Forest:
-    """A forest for the share, from texts and looped copies of them."""
-    xs, ys = [], []
-    for t in [*texts, *loops(texts)]:
-        s = letters(t)
-        if len(s) >= LEAST_LETTERS:
-            xs.append(statistics(t, s))
-            ys.append(exact_share(s))
-    return fit(np.array(xs), np.array(ys), MONOTONE)
+class Estimator(NamedTuple):
+    """Trees and the band of estimates in which they may err: below ``low`` no text
+    left out of the trees reached the threshold, above ``high`` each did."""
 
+    forest: Forest
+    low: float
+    high: float
+    error: float
 
-def shares(texts: list[str | None], forest: Forest, margin: float = MARGIN) -> list[tuple[float | None, float | None, bool]]:
-    """``(share, estimate, exact)`` of each text; nulls for texts of fewer than LEAST_LETTERS letters."""
-    out: list = [(None, None, False)] * len(texts)
+
+def train(texts: list[str]) -> Estimator:
+    """An estimator of the share, from texts and looped copies of them.
+
+    ``error`` is the mean absolute error on texts left out. A text and its looped
+    copies are in one fold, so none is known to the trees that estimate it. Without
+    texts the band is everything.
+    """
+    xs, ys, of = [], [], []
+    for i, t in enumerate(texts):
+        for v in (t, *loops([t], i)):
+            s = letters(v)
+            if len(s) >= LEAST_LETTERS:
+                xs.append(statistics(v, s))
+                ys.append(exact_share(s))
+                of.append(i)
+    x, y, fold = np.array(xs), np.array(ys), np.array(of, dtype=int) % FOLDS
+    forest = fit(x, y, MONOTONE)
+    if len(set(of)) < FOLDS:
+        return Estimator(forest, -np.inf, np.inf, np.inf)
+    guess = np.empty(len(y))
+    for f in range(FOLDS):
+        guess[fold == f] = fit(x[fold != f], y[fold != f], MONOTONE).predict(x[fold == f])
+    case = y >= THRESHOLD
+    low = min(guess[case].min(initial=THRESHOLD), THRESHOLD) - SLACK
+    high = max(guess[~case].max(initial=THRESHOLD), THRESHOLD) + SLACK
+    return Estimator(forest, float(low), float(high), float(np.abs(guess - y).mean()))
+
+
+def estimates(texts: list[str | None], est: Estimator) -> list[tuple[float | None, float | None]]:
+    """``(estimate, verified share)`` of each text.
+
+    The estimate is null for texts of fewer than LEAST_LETTERS letters, the verified
+    share for all whose estimate is outside the band.
+    """
+    out: list = [(None, None)] * len(texts)
     kept = [(i, s) for i, s in ((i, letters(t)) for i, t in enumerate(texts)) if len(s) >= LEAST_LETTERS]
     if not kept:
         return out
-    guess = forest.predict(np.array([statistics(texts[i], s) for i, s in kept])).clip(0, 1)
+    guess = est.forest.predict(np.array([statistics(texts[i], s) for i, s in kept]))
     for (i, s), g in zip(kept, guess):
-        sure = g >= margin
-        out[i] = (exact_share(s) if sure else float(g), float(g), bool(sure))
+        out[i] = (float(np.clip(g, 0, 1)), exact_share(s) if est.low <= g <= est.high else None)
     return out
 
 
-def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS, margin: float = MARGIN) -> DataFrame:
-    """Repeated share of every text: ``field, rec_id, method, share, estimate, exact``.
+def _both(fields: dict[str, DataFrame]) -> DataFrame:
+    values = [df.select(F.lit(n).alias("field"), F.col("rec_id").cast("bigint").alias("rec_id"), "method", "text") for n, df in fields.items()]
+    return reduce(DataFrame.unionByName, values)
+
+
+def shares(fields: dict[str, DataFrame]) -> DataFrame:
+    """The exact repeated share of every text: ``field, rec_id, method, share``.
+
+    ``fields`` and the treatment of rows as in :func:`repeated`; null for texts of
+    fewer than LEAST_LETTERS letters. A map over the scan.
+    """
+
+    def work(b: pa.RecordBatch) -> dict:
+        own = [exact_share(s) if len(s) >= LEAST_LETTERS else None for s in map(letters, b.column(3).to_pylist())]
+        return {"field": b.column(0), "rec_id": b.column(1), "method": b.column(2), "share": own}
+
+    return map_rows(_both(fields), "field string, rec_id bigint, method string, share double", lambda: work, costly=True)
+
+
+def repeated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Repeated share of every text as the trees tell it: ``field, rec_id, method, estimate, verified, repeated``.
 
     ``fields``: name to a frame ``rec_id BIGINT, method STRING, text STRING``. Null,
-    empty and short texts (fewer than LEAST_LETTERS letters) have null shares.
-    ``exact`` tells whether the share was counted; else it is the trees' estimate,
-    which was below ``margin`` and so clearly below the threshold; with a margin of
-    0 every share is counted. Whole texts count however long; repeated
-    rows come out as often as they went in; other columns are dropped. No shuffle
-    but that of the bounded sample's hashes.
+    empty and short texts (fewer than LEAST_LETTERS letters) have null values and
+    are not ``repeated``. ``verified``: the exact share, of every text whose
+    estimate lies where the trees may err; it decides there, the estimate elsewhere.
+    Whole texts count however long; repeated rows come out as often as they went
+    in; other columns are dropped. No shuffle but that of the bounded sample.
     """
-    values = [df.select(F.lit(n).alias("field"), F.col("rec_id").cast("bigint").alias("rec_id"), "method", "text") for n, df in fields.items()]
-    both = values[0]
-    for v in values[1:]:
-        both = both.unionByName(v)
-    sample = []
-    for v in values:
-        got = {r.text for r in hash_sample(v.where(F.length("text").between(LEAST_LETTERS, TRAIN_CHARS)).withColumn("_k", F.xxhash64("rec_id", "method")), "_k", train_rows).select("text").collect()}
-        sample += sorted(got)
-    forest = train(sample)
+    both = _both(fields)
+    kept = both.where(F.length("text").between(LEAST_LETTERS, TRAIN_CHARS)).withColumn("_k", F.xxhash64("rec_id", "method"))
+    est = train(sorted({r.text for r in hash_sample(kept.select("field", "_k", "text"), "_k", train_rows, by="field").collect()}))
 
     def make():
         def work(b: pa.RecordBatch) -> dict:
             texts = b.column(3).to_pylist()
-            rows = []
-            for i in range(0, len(texts), 1000):
-                rows += shares(texts[i : i + 1000], forest, margin)
-            share, estimate, exact = zip(*rows) if rows else ((), (), ())
-            return {"field": b.column(0), "rec_id": b.column(1), "method": b.column(2), "share": share, "estimate": estimate, "exact": exact}
+            rows = [x for i in range(0, len(texts), 1000) for x in estimates(texts[i : i + 1000], est)]
+            estimate, verified = zip(*rows) if rows else ((), ())
+            return {"field": b.column(0), "rec_id": b.column(1), "method": b.column(2), "estimate": estimate, "verified": verified}
 
         return work
 
-    return map_rows(both, "field string, rec_id bigint, method string, share double, estimate double, exact boolean", make, costly=True)
+    out = map_rows(both, "field string, rec_id bigint, method string, estimate double, verified double", make, costly=True)
+    return out.withColumn("repeated", F.coalesce(F.coalesce("verified", "estimate") >= THRESHOLD, F.lit(False)))
 
 
-def found(scored: DataFrame) -> DataFrame:
+def found(told: DataFrame) -> DataFrame:
     """``field, rec_id, method`` of the texts whose repeated share reaches the threshold."""
-    return scored.where(F.col("exact") & (F.col("share") >= THRESHOLD)).select("field", "rec_id", "method")
+    return told.where("repeated").select("field", "rec_id", "method")
