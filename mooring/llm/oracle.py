@@ -45,5 +45,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_percentiles": f"SELECT *, 'run_day' AS scope FROM ({_DAYS}) UNION ALL BY NAME SELECT *, 'whole' AS scope FROM ({_WHOLE})",
         "p1_rank_check": _CHECKED,
         "p1_merged": f"SELECT * FROM ({_CHECKED}), (SELECT unnest(['run_day', 'run_id', 'rank_no']) AS merged_from)",
+        "p7_fill": "SELECT spec_id, capacity_tokens AS capacity, items, true AS pieces_whole, true AS unsplit, true AS within, true AS filled FROM pack_specs, (SELECT count(*) AS items FROM documents)",
         "p6_round_trip": "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, true AS same FROM documents",
     }

@@ -7,10 +7,12 @@ and all are in use, the fullest is closed. What is left in open bins at the end
 of the tasks goes, as items, through the same step again in ever fewer tasks
 (:data:`FAN_IN` to one), so the space a split of the data wastes vanishes while
 no task ever sees more than ``FAN_IN * OPEN_BINS`` bins' worth of left-over items.
+Every level packs online by the same rule, with the same number of open bins.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -33,8 +35,8 @@ class Bins:
 
     ``add`` and ``finish`` return final bins as ``(serial, items)``. A bin is
     final when it is full or closed to make room. An item larger than the
-    capacity must be cut before. An item of size 0 goes to the bin that became
-    final last, or else to an open one.
+    capacity must be cut before. An item of size 0 is final at once: it goes to the
+    bin that became final last; before there is one, the fullest closes for it.
     """
 
     def __init__(self, capacity: int, open_bins: int = OPEN_BINS):
@@ -42,40 +44,48 @@ class Bins:
             raise ValueError("capacity and open_bins must be positive")
         self.capacity, self.limit = capacity, open_bins
         self.bits, self.next, self.last = 0, 0, None
-        self.at: dict[int, list[int]] = {}  # free space: bins, oldest first
+        self.at: dict[int, deque[int]] = {}  # free space: bins, oldest first
         self.held: dict[int, list] = {}  # bin: items
 
     def _take(self, free: int) -> int:
         bins = self.at[free]
-        one = bins.pop(0)
+        one = bins.popleft()
         if not bins:
             del self.at[free]
             self.bits &= ~(1 << free)
         return one
 
+    def _fullest(self) -> int:
+        return self._take((self.bits & -self.bits).bit_length() - 1)
+
     def _final(self, one: int) -> tuple[int, list]:
         self.last = one
         return one, self.held.pop(one)
 
     def add(self, item, size: int) -> list[tuple[int, list]]:
-        if not size and self.last is not None:
-            return [(self.last, [item])]
         out = []
+        if not size:
+            if self.last is None:
+                if self.bits:
+                    out.append(self._final(self._fullest()))
+                else:
+                    self.last, self.next = self.next, self.next + 1
+            return [*out, (self.last, [item])]
         fit = self.bits >> size
         if fit:
             free = size + (fit & -fit).bit_length() - 1
             one = self._take(free)
         else:
             if len(self.held) >= self.limit:
-                out.append(self._final(self._take((self.bits & -self.bits).bit_length() - 1)))  # the fullest closes
+                out.append(self._final(self._fullest()))
             one, free = self.next, self.capacity
             self.next += 1
             self.held[one] = []
         self.held[one].append(item)
-        if free == size and size:
+        if free == size:
             out.append(self._final(one))
         else:
-            self.at.setdefault(free - size, []).append(one)
+            self.at.setdefault(free - size, deque()).append(one)
             self.bits |= 1 << (free - size)
         return out
 
@@ -105,10 +115,10 @@ _OUT = ["spec_id", "key", "piece", "size", "capacity", "container", "final"]
 
 
 def _regroup(open_bins: int, level: int, keep: bool):
-    """Packs the left-over items of one group, the largest first."""
+    """Packs the left-over items of one group, in the order of the bins they lay in, so a rerun packs them alike."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["spec_id", "size", "key", "piece"], ascending=[True, False, True, True], kind="stable")
+        pdf = pdf.sort_values(["spec_id", "container", "key", "piece"], kind="stable")
         rows = pdf[_OUT[:5]].itertuples(index=False, name=None)
         return pd.DataFrame(list(_level(rows, open_bins, level, int(key[1]), keep)), columns=_OUT)
 
@@ -150,7 +160,7 @@ def pack(sizes: DataFrame, key: str, key_type: str, open_bins: int = OPEN_BINS,
     while True:
         last = n <= fan_in**level
         group = F.lit(0) if last else F.floor(F.split("container", "-")[1].cast("int") / F.lit(fan_in))
-        done = left.groupBy("spec_id", group.cast("int").alias("task")).applyInPandas(_regroup(open_bins * (8 if last else 1), level, last), schema)
+        done = left.groupBy("spec_id", group.cast("int").alias("task")).applyInPandas(_regroup(open_bins, level, last), schema)
         if last:
             out = final.unionByName(done)
             break
@@ -170,6 +180,25 @@ def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     )
 
 
+def invariants(packed: DataFrame, specs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``spec_id, capacity, items, pieces_whole, unsplit, within, filled``: does a packing keep its promises?
+
+    ``pieces_whole``: the pieces of each item are numbered from 0 without a gap and
+    all but the last are full; ``unsplit``: no item is cut that fits a container;
+    ``within``: no container holds more than its capacity; ``filled``: at most 2 %
+    and two containers more than the least number are used.
+    """
+    each = packed.groupBy("spec_id", key).agg(F.count("*").alias("n"), F.countDistinct("piece").alias("kinds"), F.max("piece").alias("last"), F.sum("size").alias("tokens"))
+    caps = specs.select("spec_id", F.col("capacity_tokens").alias("capacity"))  # a few rows
+    items = each.join(F.broadcast(caps), "spec_id").groupBy("spec_id", "capacity").agg(
+        F.count("*").alias("items"),
+        F.every((F.col("n") == F.col("kinds")) & (F.col("last") + 1 == F.col("n")) & (F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(1)) == F.col("n"))).alias("pieces_whole"),
+        F.every((F.col("n") == 1) | (F.col("tokens") > F.col("capacity"))).alias("unsplit"),
+    )
+    full = fill(packed, specs).select("spec_id", F.col("sound").alias("within"), (F.col("containers") <= 1.02 * F.col("least_containers") + 2).alias("filled"))
+    return items.join(full, "spec_id")
+
+
 def pack_corpus(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, open_bins: int = OPEN_BINS) -> DataFrame:
     """Packs texts, sized in tokens of each spec's tokenizer, into its containers.
 

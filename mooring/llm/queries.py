@@ -161,8 +161,8 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are, for every spec."""
-    return packing.fill(p7_containers(spark, d), table(spark, d, "pack_specs"))
+    """Every document placed, whole, within the capacity, and the containers filled? For every spec."""
+    return packing.invariants(cut(p7_containers(spark, d)), table(spark, d, "pack_specs"))
 
 
 # 8: languages

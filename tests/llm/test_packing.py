@@ -53,6 +53,15 @@ def test_zero_sizes_and_bad_arguments():
     assert ("c" in [x for _, items in got for x in items]) and sum(len(i) for _, i in got + b.finish()) == 3
     with pytest.raises(ValueError):
         P.Bins(0)
+    only = P.Bins(5, 2)
+    assert [x for i in range(3) for x in only.add(i, 0)] == [(0, [0]), (0, [1]), (0, [2])] and only.finish() == []
+
+
+def test_zero_sizes_never_travel(spark):
+    """Each is final in the task it is read in, wherever no bin was full before."""
+    rows = [(1, i, 0 if i % 2 else 10, 100) for i in range(40)]
+    out = list(P._level(((*r[:2], 0, *r[2:]) for r in rows), 64, 0, 0, False))
+    assert len(out) == 40 and all(final for *_, size, _, _, final in out if size == 0) and sum(not final for *_, final in out) == 9
 
 
 def sizes(spark, values, parts=7):
@@ -104,5 +113,12 @@ def test_corpus(spark, small):
     packed = queries.p7_containers(spark, small)
     docs = spark.read.parquet(f"{small}/documents.parquet").count()
     assert packed.groupBy("spec_id").agg(F.countDistinct("doc_id").alias("n")).where(f"n != {docs}").count() == 0
-    f = queries.p7_fill(spark, small).collect()
+    specs = spark.read.parquet(f"{small}/pack_specs.parquet")
+    f = P.fill(packed, specs).collect()
     assert len(f) == 3 and all(r.sound and r.containers <= r.least_containers * 1.1 + 1 for r in f)
+    told = queries.p7_fill(spark, small).collect()
+    assert len(told) == 3 and all(r["items"] == docs and r.pieces_whole and r.unsplit and r.within for r in told)
+    # broken packings are told
+    half = P.invariants(packed.withColumn("size", F.col("size") * 2), specs).collect()
+    assert not any(r.within for r in half)
+    assert not any(r.pieces_whole for r in P.invariants(packed.withColumn("piece", F.col("piece") + 1), specs).collect())
