@@ -35,7 +35,7 @@ BOILERPLATE_SHARE, BOILERPLATE_RECORDS = 0.05, 2
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _SPAN = re.compile(r"`[^`\n]*(?:`|$)", re.M)
 _MATH = re.compile(r"\$\$.*?\$\$|\\[a-zA-Z]+(?:\{[^{}\n]*\}|\{\{[^{}\n]*\}\})*", re.S)
-_QUOTED = re.compile("\"[^\"\n]{1,80}\"|“[^”\n]{1,80}”|«[^»\n]{1,80}»|「[^」\n]{1,80}」")
+_QUOTED = re.compile("\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|「[^」\n]+」")
 _TAG = re.compile(r"</?(?:reason|skeleton|think|answer)\s*>", re.I)
 _NORMAL = re.compile(r"\b[0-9a-f]*\d[0-9a-f./]*\b|\d+")
 
