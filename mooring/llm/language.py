@@ -25,7 +25,7 @@ from mooring.llm.ppm import Model, _grams
 
 #: Labelled documents a language, and bytes of their sentences, for training.
 TRAIN_DOCS, TRAIN_BYTES = 600, 150_000
-#: Sentences read of each of them.
+#: Sentences read of each of them, evenly spaced over the whole document.
 TRAIN_SENTENCES = 8
 #: Bits by which a sentence must be shorter in another language than that of
 #: most of its document to count as one of that language, and bits a byte.
@@ -39,12 +39,12 @@ _BLANK = [
     ("`", re.compile(r"`[^`\n]*(?:`|$)", re.M)),
     ("$", re.compile(r"\$\$.*?\$\$|\$[^$\n]{1,80}\$", re.S)),
     ("\\", re.compile(r"\\\[.*?\\\]|\\\(.*?\\\)|\\[A-Za-z]+(?:\{[^{}\n]*\})*", re.S)),
-    ("<", re.compile(r"<skeleton>.*?(?:</skeleton>|\Z)|</?[A-Za-z!][^<>\n]{0,200}>", re.S | re.I)),
+    ("<", re.compile(r"<skeleton>.*?(?:</skeleton>|\Z)|</?[A-Za-z!][^<>\n]*>", re.S | re.I)),
     ("://", re.compile(r"https?://\S+")),
     ("@", re.compile(r"\S+@\S+\.\S+")),
-    ('"', re.compile('"[^"\n]{1,400}"')),
-    ("“„«‹「『《‘", re.compile("“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|‹[^›\n]{1,200}›|「[^」\n]{1,400}」|『[^』\n]{1,400}』|《[^》\n]{1,200}》|‘[^’\n]{2,200}’(?!\\w)")),
-    ("'", re.compile(r"(?<![\w’'])'[^'\n]{2,200}'(?!\w)")),
+    ('"', re.compile('"[^"\n]+"')),
+    ("“„«‹「『《‘", re.compile("“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|‹[^›\n]+›|「[^」\n]+」|『[^』\n]+』|《[^》\n]+》|‘[^’\n]{2,}’(?!\\w)")),
+    ("'", re.compile(r"(?<![\w’'])'[^'\n]{2,}'(?!\w)")),
 ]
 
 
@@ -58,7 +58,19 @@ _HEAD = re.compile(r"\s*(?:[-*•>#|]+\s+|\(?\d{1,3}[.)]\s+|\*{1,3})*(?:[^\W\d_]
 _RESULT = re.compile(r"\s*[^:：\n]{1,40}[:：]\**(?:(?![^\W\d_]{3}).)*\Z")
 _NUMBER = re.compile(r"\d[\d.,/]*")
 _WORD = re.compile(r"[^\W\d_]+")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_HAN = re.compile(r"(?:[぀-ヿ㐀-鿿][^぀-ヿ㐀-鿿]*){4}")
+
+
+def _wordy(s: str) -> bool:
+    """At least two words of eight letters in all, or four Han or kana characters."""
+    if not s.isascii() and _HAN.search(s):
+        return True
+    n = letters = 0
+    for m in _WORD.finditer(s):
+        n, letters = n + 1, letters + m.end() - m.start()
+        if n >= 2 and letters >= 8:
+            return True
+    return False
 
 
 def sentences(text: str | None) -> list[tuple[int, int, str]]:
@@ -83,11 +95,9 @@ def sentences(text: str | None) -> list[tuple[int, int, str]]:
         head = _HEAD.match(line).end()
         for m in _SENTENCE.finditer(line, head):
             s = m.group()
-            words = _WORD.findall(s)
-            han = 0 if s.isascii() else len(_CJK.findall(s))
             if (":" in s or "：" in s) and _RESULT.match(s):
                 continue
-            if han >= 4 or len(words) >= 2 and sum(map(len, words)) >= 8:
+            if _wordy(s):
                 out.append((start + m.start() + len(s) - len(s.lstrip()), start + m.end(), s))
     return out
 
@@ -124,7 +134,9 @@ def train_model(docs: DataFrame, lang_codes: DataFrame, key: str = "doc_id", tex
     labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), label_code(F.col(label), codes).alias("c")).where(F.col("c").isNotNull() & (F.length("t") <= TRAIN_CHARS))
     got: dict[str, list[tuple[int, bytes]]] = {c: [] for c in names}
     for r in sorted(hash_sample(labelled, "k", per_language, by="c").collect(), key=lambda r: str(r.k)):
-        got[r.c] += [clean(s) for _, _, s in sentences(r.t)[:TRAIN_SENTENCES]]
+        own = sentences(r.t)
+        n = min(len(own), TRAIN_SENTENCES)
+        got[r.c] += [clean(own[i * len(own) // n][2]) for i in range(n)]
 
     def bounded(lists: dict) -> list[list[bytes]]:
         out = []
@@ -180,9 +192,11 @@ class Judge:
         """Segments ``(start, end, class, confidence, sentences)`` of a document's sentences."""
         if not parts:
             return []
-        total = bits.sum(0)
         best = bits.argmin(1)
-        share = np.bincount(best, sizes, len(total))
+        if (best == best[0]).all():
+            b = bits.sum(0)
+            return [(parts[0][0], parts[-1][1], int(best[0]), float(1 / np.exp2(np.clip(b[best[0]] - b, -1000, 60)).sum()), len(parts))]
+        share = np.bincount(best, sizes, bits.shape[1])
         main = int(share.argmax())
         gain = bits[:, main] - bits.min(1)
         own = np.where(gain >= np.maximum(MARGIN_BITS, MARGIN_RATE * sizes), best, main)

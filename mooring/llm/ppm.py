@@ -106,8 +106,16 @@ class Model:
     def _code(self, grams: np.ndarray, k: int) -> np.ndarray:
         """Code length in each class of the last byte of ``grams``, tried from order ``k`` down."""
         n = len(self.classes)
-        out = np.zeros((len(grams), n), np.float32)
-        todo = np.arange(len(grams))
+        if k < 0 or not len(self.gram[k].keys):
+            out, todo = np.zeros((len(grams), n), np.float32), np.arange(len(grams))
+        else:  # most bytes are known to the longest context: those are one gather
+            at = self.gram[k].find(grams & np.uint64((1 << (8 * (k + 1))) - 1))
+            todo = np.flatnonzero(at < 0)
+            at[todo] = 0
+            out = self.cost[k].take(at, axis=0)
+            c = self.ctx[k].find((grams[todo] & np.uint64((1 << (8 * (k + 1))) - 1)) >> np.uint64(8))
+            out[todo] = np.where((c >= 0)[:, None], self.escape[k][c], 0)
+            k -= 1
         while k >= 0 and len(todo):
             g = grams[todo] & np.uint64((1 << (8 * (k + 1))) - 1)
             at = self.gram[k].find(g)
@@ -135,6 +143,7 @@ class Model:
         starts = np.concatenate([[0], np.cumsum(lens[full][:-1] + self.order)])
         ends = starts + lens[full]
         edges = np.stack([starts, ends], 1).ravel()
-        sums = np.add.reduceat(np.concatenate([costs, np.zeros((1, costs.shape[1]), np.float32)]), edges, axis=0, dtype=np.float64)[::2]
-        out[full] = sums
+        by_class = np.zeros((costs.shape[1], len(costs) + 1))  # a class a row, so sums run along memory
+        by_class[:, :-1] = costs.T
+        out[full] = np.add.reduceat(by_class, edges, axis=1)[:, ::2].T
         return out

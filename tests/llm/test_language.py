@@ -115,7 +115,24 @@ def test_segments(spark, trained):
 def test_held_out_sentences(spark, trained):
     """Sentences of rightly labelled documents of other rows."""
     _, codes, model = trained
-    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("length(text) < 2000 and lang is not null and pmod(doc_id, 5) = 0")
+    seen = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").distinct()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) < 2000 and lang is not null and pmod(doc_id, 5) = 0").join(seen, "text", "left_anti")
     rows = L.languages(docs, model, codes).where("label is not null and not mixed").collect()
     right = sum(r.label == r.lang for r in rows) / len(rows)
     assert len(rows) > 500 and right > 0.88  # about a tenth of the delivered labels are wrong
+
+
+def test_quotes_of_any_length_do_not_count():
+    said = "Die Trams fahren los. Sie treffen sich am Mittag. " * 30
+    own = [s for *_, s in L.sentences(f'The sign says "{said}" to everybody here. It is «{said}» again in the hall.')]
+    assert len(own) == 2 and not any("Trams" in s for s in own)
+
+
+def test_training_sentences_come_from_the_whole_document(spark):
+    """A document whose first half is in another language than its label still trains that label."""
+    en, de = "The owner counted the stamps at noon. " * 20, "Die Trams fahren am Mittag los. " * 20
+    docs = spark.createDataFrame([(i, de + en, "en") for i in range(3)] + [(9, de, "de")], "doc_id bigint, text string, lang string")
+    codes = spark.createDataFrame([("en", "English", "eng", "Latn"), ("de", "German", "deu", "Latn")], "lang string, english_name string, iso3 string, script string")
+    m = L.train_model(docs, codes)
+    b = m.bits([L.clean("The owner counted the stamps at noon.")])[0]
+    assert b[m.classes.index("en")] < b[m.classes.index("de")]
