@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.functions import text as X
+from mooring.operators.model import chat_text
 from mooring.schemas import DEFAULT_METHOD, RAW_GENERATION
 
 #: Own wording of the system prompts by method.
@@ -60,6 +62,33 @@ def chat_prefix(user: Column) -> Column:
     return F.concat(F.lit("<|im_start|>user\n"), user, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
 
 
+def tokenizer_template(make: Callable[[], Any]) -> Callable[[Column, Column], Column]:
+    """The chat template of a model's own tokenizer, for ``template`` of the requests.
+
+    ``make()`` loads the tokenizer, once a Python task; thinking is turned off where
+    the template knows of it, and one without a template gets the literal format.
+    """
+
+    @F.pandas_udf("string")
+    def render(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tokenizer = make()
+        for system, user in parts:
+            yield pd.Series([chat_text(tokenizer, [{"role": "system", "content": a}, {"role": "user", "content": b}]) for a, b in zip(system, user)], dtype="object")
+
+    return render
+
+
+def pretrained_tokenizer(path: str) -> Callable[[], Any]:
+    """A tokenizer of a local checkpoint, if the transformers library is installed; untested here."""
+
+    def make() -> Any:
+        from transformers import AutoTokenizer
+
+        return AutoTokenizer.from_pretrained(path)
+
+    return make
+
+
 def rcot_requests(rows: DataFrame, methods: Sequence[str], context_method: str = "same", limit: int | None = None, template: Callable[[Column, Column], Column] = chat) -> DataFrame:
     """A request for each row and method with a context that isn't blank.
 
@@ -129,7 +158,7 @@ def echo_generator() -> Generator:
     return lambda prompts: [(f"<reason>{p.strip().splitlines()[-1]}</reason>", "stop", len(p.split())) for p in prompts]
 
 
-def vllm_generator(model: str, max_tokens: int = 8192, context: int = 32768, temperature: float = 0.0, top_p: float = 1.0, seed: int = 42, devices: int = 1, memory: float = 0.9) -> Callable[[], Generator]:
+def vllm_generator(model: str, max_tokens: int = 8192, context: int = 32768, temperature: float = 0.0, top_p: float = 1.0, seed: int = 42, devices: int = 4, memory: float = 0.9, eager: bool = False, own_all_reduce: bool = True) -> Callable[[], Generator]:
     """A generator on a local inference engine, if one is installed; untested here.
 
     Greedy and seeded by default. No output of the engine gives an empty text.
@@ -138,8 +167,8 @@ def vllm_generator(model: str, max_tokens: int = 8192, context: int = 32768, tem
     def make() -> Generator:
         from vllm import LLM, SamplingParams
 
-        llm = LLM(model=model, tensor_parallel_size=devices, gpu_memory_utilization=memory, max_model_len=context, seed=seed)
-        params = SamplingParams(temperature=temperature, top_p=top_p, max_tokens=max_tokens, seed=seed)
+        llm = LLM(model=model, tensor_parallel_size=devices, gpu_memory_utilization=memory, max_model_len=context, seed=seed, enforce_eager=eager, disable_custom_all_reduce=not own_all_reduce)
+        params = SamplingParams(temperature=temperature, top_p=top_p, max_tokens=max_tokens)
 
         def run(prompts: list[str]) -> list[tuple[str, str, int]]:
             outs = [o.outputs[0] if o.outputs else None for o in llm.generate(prompts, params)]

@@ -1,71 +1,70 @@
-"""Exact quantiles of columns of any size.
+"""Exact quantiles of columns of any size, in one plan of three passes.
 
-The built-in exact percentile keeps every distinct value in one buffer. Beyond a
-size checked on the plan, the quantile is bracketed instead: the built-in
-approximate percentile, whose rank error is bounded, gives two values that
-enclose it; only rows between them are looked at in the next round, until few
-enough are left to be sorted. Only scalars and at most LAST_ROWS distinct values
-ever reach the driver.
+The built-in exact percentile keeps every distinct value in one buffer, and the
+approximate one is off by a bounded rank error. Here the approximate one brackets
+the quantile twice: first between two values whose ranks enclose it by twice the
+error; then, among the rows between these, between two of a grid of percentiles.
+What lies between those is sorted and counted: of ``n`` rows about ``n / 10**6``
+distinct values, so a billion rows leave a thousand. Ties count as one value. The
+brackets are single rows, the same for every size of the data.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.functions.metrics import finite
 
-#: Estimated bytes of the plan up to which the built-in percentile is used.
-SMALL_BYTES = 64 << 20
-#: Distinct values that may be collected at last.
-LAST_ROWS = 100_000
+#: Of the approximate percentile; its rank error is at most 1 / ACCURACY of the rows.
 ACCURACY = 10_000
+#: Steps of the second bracket's grid.
+GRID = 1_000
+
+
+def _between(x: Column, low: Column, high: Column) -> Column:
+    return (x >= low) & (x <= high)
+
+
+def quantiles(df: DataFrame, columns: list[str], q: float) -> DataFrame:
+    """One row with the exact quantile of each column's finite values (null if it has none).
 
+    Linearly interpolated between the two values around rank ``(n - 1) q``.
+    ``df`` is read three times, all columns at once: pass a frame that is cut
+    off from a costly lineage.
+    """
+    cs = [f"c{i}" for i in range(len(columns))]
+    rows = df.select(*[F.when(finite(F.col(c)), F.col(c).cast("double")).alias(n) for n, c in zip(cs, columns)])
+    slack = 2.0 / ACCURACY
+    one = rows.agg(*[F.count(n).alias(f"n_{n}") for n in cs], *[F.percentile_approx(n, [max(0.0, q - slack), min(1.0, q + slack)], ACCURACY).alias(f"p_{n}") for n in cs], *[F.min(n).alias(f"l_{n}") for n in cs], *[F.max(n).alias(f"h_{n}") for n in cs])
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the size of ``df``; runs nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    def ends(n: str) -> tuple[Column, Column]:
+        # of few rows the slack holds no neighbour, so all of them are inside
+        few = F.col(f"n_{n}") * (slack / 2) < 2
+        low = F.when(few | F.lit(q - slack <= 0), F.col(f"l_{n}")).otherwise(F.get(f"p_{n}", F.lit(0)))
+        return low, F.when(few | F.lit(q + slack >= 1), F.col(f"h_{n}")).otherwise(F.get(f"p_{n}", F.lit(1)))
 
+    one = one.select(*[F.col(f"n_{n}") for n in cs], *[x.alias(f"{k}_{n}") for n in cs for k, x in zip(("low", "high"), ends(n))])
 
-def narrowed_quantile(df: DataFrame, column: str, q: float, last_rows: int = LAST_ROWS, accuracy: int = ACCURACY) -> float | None:
-    """Linearly interpolated quantile of the finite values by bracketing; None if there is none."""
-    x = df.select(F.col(column).cast("double").alias("x")).where(finite(F.col("x")))
-    low, high, below = -math.inf, math.inf, 0
-    n = m = x.count()
-    if not n:
-        return None
-    at = (n - 1) * q
-    while m > last_rows and low < high:
-        inside = x.where(F.col("x").between(F.lit(low), F.lit(high)))
-        p, slack = (at - below) / max(1, m - 1), 2 / accuracy + 2 / m
-        a, b = inside.select(F.percentile_approx("x", [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias("v")).first().v
-        a, b = (low if p - slack <= 0 else a), (high if p + slack >= 1 else b)
-        if (a, b) == (low, high):
-            if inside.select("x").distinct().limit(last_rows + 1).count() <= last_rows:
-                break
-            accuracy *= 10
-            continue
-        low, high = a, b
-        below, m = x.select(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(F.lit(low), F.lit(high)))).first()
-    counts = x.where(F.col("x").between(F.lit(low), F.lit(high))).groupBy("x").agg(F.count("*").alias("n")).orderBy("x").collect()
-    k, part = int(math.floor(at)), at - math.floor(at)
-    values, seen = [], below
-    for r in counts:
-        seen += r.n
-        while len(values) < 2 and seen > k + len(values):
-            values.append(r.x)
-        if len(values) == 2:
-            break
-    first, second = values[0], values[-1]
-    return first + (second - first) * part
+    inside = {n: F.when(_between(F.col(n), F.col(f"low_{n}"), F.col(f"high_{n}")), F.col(n)) for n in cs}
+    grid = [i / GRID for i in range(GRID + 1)]
+    two = rows.crossJoin(F.broadcast(one)).groupBy(*one.columns).agg(*[F.count_if(F.col(n) < F.col(f"low_{n}")).alias(f"below_{n}") for n in cs], *[F.count(inside[n]).alias(f"m_{n}") for n in cs], *[F.percentile_approx(inside[n], grid, ACCURACY).alias(f"g_{n}") for n in cs])
 
+    def narrowed(n: str) -> tuple[Column, Column]:
+        """The grid values around the place of the quantile among the rows inside, one step off on both sides."""
+        at = ((F.col(f"n_{n}") - 1) * q - F.col(f"below_{n}")) / F.greatest(F.col(f"m_{n}") - 1, F.lit(1)) * GRID
+        off = F.lit(1) + F.ceil(F.lit(2.0) * GRID / F.greatest(F.col(f"m_{n}"), F.lit(1)))
+        low, high = F.floor(at) - off, F.ceil(at) + off
+        return F.when(low <= 0, F.col(f"low_{n}")).otherwise(F.get(f"g_{n}", low.cast("int"))), F.when(high >= GRID, F.col(f"high_{n}")).otherwise(F.get(f"g_{n}", high.cast("int")))
 
-def quantiles(df: DataFrame, columns: list[str], q: float, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """One row with the exact quantile of each column's finite values (null if it has none)."""
-    narrow = df.select(*columns)
-    if plan_bytes(narrow) <= small_bytes:
-        return narrow.agg(*[F.percentile(F.when(finite(F.col(c)), F.col(c)), F.lit(q)).alias(c) for c in columns])
-    got = tuple(narrowed_quantile(narrow, c, q) for c in columns)
-    return df.sparkSession.createDataFrame([got], ", ".join(f"`{c}` double" for c in columns))
+    two = two.select(*[F.struct(((F.col(f"n_{n}") - 1) * q).alias("at"), *[x.alias(k) for k, x in zip(("low", "high"), narrowed(n))]).alias(f"b_{n}") for n in cs])
+    each = F.array(*[F.struct(F.lit(n).alias("c"), F.col(n).alias("x"), F.col(f"b_{n}").alias("b")) for n in cs])
+    values = rows.crossJoin(F.broadcast(two)).select(F.explode(F.filter(each, lambda e: e["x"] <= e["b"]["high"])).alias("e"))
+    # all values below the bracket count as one, the null one
+    counts = values.select("e.c", "e.b.at", F.when(F.col("e.x") >= F.col("e.b.low"), F.col("e.x")).alias("x")).groupBy("c", "at", "x").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("c").orderBy(F.col("x").asc_nulls_first())))
+    k = F.floor("at")
+    around = upto.groupBy("c", "at").agg(F.min(F.when(F.col("upto") > k, F.col("x"))).alias("a"), F.min(F.when(F.col("upto") > k + 1, F.col("x"))).alias("z"))
+    value = F.col("a") + F.coalesce((F.col("z") - F.col("a")) * (F.col("at") - k), F.lit(0.0))
+    got = around.select("c", value.alias("v"))
+    return got.agg(*[F.max(F.when(F.col("c") == n, F.col("v"))).alias(c) for n, c in zip(cs, columns)])

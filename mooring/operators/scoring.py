@@ -10,7 +10,8 @@ those of a language model; they only have their shape.
 
 from __future__ import annotations
 
-import math
+import sys
+import traceback
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -22,6 +23,7 @@ from mooring.functions import metrics as M
 from mooring.functions import text as X
 from mooring.functions.lcs import lcs_recall
 from mooring.schemas import SCORED
+from mooring.session import cut
 
 
 class Scorer(Protocol):
@@ -56,16 +58,37 @@ def token_counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return words.groupBy(*keys, "size", F.substring("w", 2, 2**31 - 1).alias("token")).agg(F.count_if(mine).alias("n"), F.count_if(~mine).alias("c"))
 
 
-def word_shares(counts: DataFrame) -> DataFrame:
-    """``token, share`` over the words of all texts of ``counts(token, n[, c])``.
+def word_shares(long: DataFrame, *texts: str) -> DataFrame:
+    """``token, share`` over the words of all texts of the columns ``texts``.
 
-    The vocabulary grows with the data and is therefore joined, never broadcast by
-    force; only the total is one row.
+    Words are counted where they lie before they are shuffled. The result is cut
+    off from its lineage, as it is looked at more than once and is the vocabulary
+    only.
     """
-    n = F.sum(F.col("n") + F.col("c")) if "c" in counts.columns else F.sum("n")
-    each = counts.groupBy("token").agg(n.alias("n"))
+    every = F.concat(*[X.words(F.col(c)) for c in texts])
+    each = long.select(F.explode(every).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    each = cut(each)
     total = each.agg(F.sum("n").alias("of"))
-    return each.crossJoin(F.broadcast(total)).select("token", (F.col("n") / F.col("of")).alias("share"))
+    return each.crossJoin(F.broadcast(total)).select("token", (F.col("n") / F.col("of")).alias("share"))  # one row
+
+
+#: Words that may be broadcast.
+BROADCAST_WORDS = 200_000
+
+
+def with_share(rows: DataFrame, shares: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
+    """``rows`` joined with the share of their ``token``; no word is a hot key.
+
+    A vocabulary of at most ``most`` words is broadcast. Of a larger one the words
+    with a share of at least ``1 / most`` are, of which there can't be more than
+    ``most`` whatever the data; the rest, none of which has more of the rows than
+    that, is joined by a shuffle.
+    """
+    if shares.count() <= most:
+        return rows.join(F.broadcast(shares), "token")
+    often, rare = shares.where(F.col("share") >= 1 / most), shares.where(F.col("share") < 1 / most)
+    hit = rows.join(F.broadcast(often), "token")
+    return hit.unionByName(rows.join(F.broadcast(often.select("token")), "token", "left_anti").join(rare, "token"))
 
 
 def likelihoods(counts: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,7 +97,7 @@ def likelihoods(counts: DataFrame, shares: DataFrame, keys: Sequence[str]) -> Da
     ``base`` by their shares alone, ``final`` by the mean of their share and their
     frequency in the trace. ``counts`` of :func:`token_counts`.
     """
-    j = counts.where("n > 0").join(shares, "token").withColumn("p", 0.5 * F.col("c") / F.col("size") + 0.5 * F.col("share"))
+    j = with_share(counts.where("n > 0"), shares).withColumn("p", 0.5 * F.col("c") / F.col("size") + 0.5 * F.col("share"))
     return j.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("share")).alias("base"), F.sum(F.col("n") * F.log("p")).alias("final"))
 
 
@@ -84,43 +107,70 @@ def trace_tokens(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return long.select(*keys, F.posexplode(each).alias("pos", "x")).select(*keys, "pos", "x.step", "x.token")
 
 
-def surprisals(tokens: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys..., step, pos, entropy``: -ln share of each trace word, the entropy stand-in."""
-    return tokens.join(shares, "token").select(*keys, "step", "pos", (-F.log("share")).alias("entropy"))
+def mean_surprisals(tokens: DataFrame, shares: DataFrame, keys: Sequence[str], segment: Column) -> DataFrame:
+    """``keys..., segment, entropy``: mean of -ln share, the entropy stand-in, over the words of each segment of a trace.
+
+    The words of a trace lie together, so a task sends on one row a segment.
+    """
+    return with_share(tokens.select(*keys, segment.alias("segment"), "token"), shares).groupBy(*keys, "segment").agg(F.avg(-F.log("share")).alias("entropy"))
+
+
+def segment_lists(means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., v``: the segments of each trace in order, as an array of ``segment, entropy``."""
+    return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "entropy"))).alias("v"))
 
 
 class SurrogateScorer:
-    """Scored frame from word shares; ``keys`` identify a trace."""
+    """Scored frame from word shares; ``keys`` identify a trace.
+
+    Each word has the entropy of its step, the mean surprisal of the step's words.
+    """
 
-    def __init__(self, keys: Sequence[str] = ("sample_idx", "method"), shares: DataFrame | None = None):
-        self.keys, self.shares = list(keys), shares
+    def __init__(self, keys: Sequence[str] = ("sample_idx", "method")):
+        self.keys = list(keys)
+
+    def _parts(self, long: DataFrame) -> tuple[DataFrame, DataFrame]:
+        k = self.keys
+        likely = likelihoods(token_counts(long, k), word_shares(long, "answer", "reasoning"), k)
+        means = mean_surprisals(trace_tokens(long, k), word_shares(long, "reasoning"), k, F.col("step"))
+        return likely, segment_lists(means, k)
 
     def score(self, long: DataFrame) -> DataFrame:
         k = self.keys
-        counts = token_counts(long, k)
-        shares = self.shares if self.shares is not None else word_shares(counts)
+        likely, steps = self._parts(long)
         base = long.select(*k, X.words(F.col("answer")).alias("ans_tokens"), F.transform(X.steps(F.col("reasoning")), X.words).alias("_steps"))
-        base = base.select(*k, F.flatten("_steps").alias("reason_tokens"), "ans_tokens", M.step_ends(F.transform("_steps", lambda s: F.size(s))).alias("end_pos"))
-        e = surprisals(trace_tokens(long, k), shares, k).groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("pos", "entropy"))).alias("e"))
-        lk = likelihoods(counts, shares, k)
-        out = base.join(lk, k, "left").join(e, k, "left")
-        return out.select(*k, "reason_tokens", "ans_tokens", "end_pos", M.ln_to_log10(F.col("base")).alias("log10p_base"), M.ln_to_log10(F.col("final")).alias("log10p_final"), F.col("e.entropy").alias("entropies"), F.lit(None).cast("string").alias("error"))
+        base = base.select(*k, F.flatten("_steps").alias("reason_tokens"), "ans_tokens", F.transform("_steps", lambda s: F.size(s)).alias("_sizes"))
+        # a step of marks only has no words and no entropy
+        of_step = lambda i: F.get(F.filter("v", lambda x: x["segment"] == i + 1), F.lit(0))["entropy"]
+        entropies = F.flatten(F.transform("_sizes", lambda n, i: F.array_repeat(of_step(i), n)))
+        out = base.join(likely, k, "left").join(steps, k, "left")
+        return out.select(*k, "reason_tokens", "ans_tokens", M.step_ends(F.col("_sizes")).alias("end_pos"), M.ln_to_log10(F.col("base")).alias("log10p_base"), M.ln_to_log10(F.col("final")).alias("log10p_final"), entropies.alias("entropies"), F.lit(None).cast("string").alias("error"))
+
+    def records(self, long: DataFrame) -> DataFrame:
+        """The metric records of :meth:`score`, without shuffling a text or a token: three narrow frames are joined."""
+        k = self.keys
+        likely, steps = self._parts(long)
+        bits = lambda c: M.bits_per_token(M.ln_to_log10(F.col(c)), F.col("n"))
+        lexical = long.select(*k, lcs_recall(X.words(F.col("answer")), X.words(F.col("reasoning"))).alias("lexical_anchoring"))
+        later = F.transform(F.filter("v", lambda x: x["segment"] > 1), lambda x: x["entropy"])
+        prob = likely.select(*k, M.probabilistic_anchoring(bits("base"), bits("final")).alias("Aprob"))
+        entropic = steps.select(*k, M.entropy_of_means(later).alias("_e"))
+        return lexical.join(prob, k, "left").join(entropic, k, "left").select(*k, "lexical_anchoring", F.coalesce("_e", F.lit(0.0)).alias("entropy_anchoring"), "Aprob")
 
 
 class ModelScorer:
     """Scored frame from a causal language model, built once a Python task.
 
     ``make()`` returns ``score(question, answer, context, reasoning) -> dict`` with
-    the fields of the scored frame. An exception becomes the row's ``error``
-    instead of failing the job. The transformers implementation in
-    :func:`transformers_model` can't be tested without a model.
+    the fields of the scored frame (see :mod:`mooring.operators.model`). An exception
+    becomes the row's ``error`` instead of failing the job; ``debug`` prints it too.
     """
 
-    def __init__(self, make: Callable[[], Callable[[str, str, str, str], dict]]):
-        self.make = make
+    def __init__(self, make: Callable[[], Callable[[str, str, str, str], dict]], debug: bool = False):
+        self.make, self.debug = make, debug
 
     def score(self, long: DataFrame) -> DataFrame:
-        make = self.make
+        make, debug = self.make, self.debug
         names = [f.name for f in SCORED if f.name not in ("sample_idx", "method", "error")]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,52 +182,18 @@ class ModelScorer:
                         got, error = one(r.question, r.answer, r.context, r.reasoning), None
                     except Exception as e:  # noqa: BLE001
                         got, error = {}, f"{type(e).__name__}: {e}"
+                        if debug:
+                            print(f"sample {r.sample_idx}, method {r.method}: {error}", file=sys.stderr)
+                            traceback.print_exc()
                     rows.append({"sample_idx": r.sample_idx, "method": r.method, **{n: got.get(n) for n in names}, "error": error})
                 yield pd.DataFrame(rows, columns=[f.name for f in SCORED])
 
         return long.select("sample_idx", "method", "question", "answer", entropy_context(F.col("context"), F.col("question")).alias("context"), "reasoning").mapInPandas(run, SCORED)
 
 
-def transformers_model(path: str, separator: str = "\n\n", think: tuple[str, str] = ("<think>\n", "\n</think>\n\n")) -> Callable[[], Callable[[str, str, str, str], dict]]:
-    """A model for :class:`ModelScorer`; scores the answer at no step and at the last.
-
-    The likelihoods are conditioned on the question only, the entropies on the
-    context. Steps between are not scored, as no metric uses them.
-    """
-
-    def make():
-        import torch
-        from transformers import AutoModelForCausalLM, AutoTokenizer
-
-        tok = AutoTokenizer.from_pretrained(path)
-        model = AutoModelForCausalLM.from_pretrained(path, torch_dtype="auto").eval()
-        ids = lambda s: tok(s, add_special_tokens=False)["input_ids"]
-        chat = lambda s: tok.apply_chat_template([{"role": "user", "content": s}], tokenize=True, add_generation_prompt=True)
-        limit = getattr(model.config, "max_position_embeddings", None) or 10**9
-
-        def log10p(prompt: list[int], answer: list[int]) -> float:
-            prompt = prompt[-max(1, limit - len(answer)) :]
-            with torch.no_grad():
-                logits = model(torch.tensor([prompt + answer])).logits[0, len(prompt) - 1 : -1].float()
-            return float(torch.log_softmax(logits, -1)[range(len(answer)), answer].sum()) / math.log(10)
-
-        def score(question: str, answer: str, context: str, reasoning: str) -> dict:
-            parts, sep = [p.strip() for p in reasoning.strip().split("\n\n") if p.strip()], ids(separator)
-            flat, ends = [], []
-            for i, p in enumerate(parts):
-                flat += (sep if i else []) + ids(p)
-                ends.append(len(flat))
-            q, a, c = chat(question) + ids(think[0]), ids(answer), chat(context) + ids(think[0])
-            with torch.no_grad():
-                logp = torch.log_softmax(model(torch.tensor([c + flat])).logits[0, len(c) :].float(), -1)
-            return {
-                "reason_tokens": [str(x) for x in flat], "ans_tokens": [str(x) for x in a], "end_pos": ends,
-                "log10p_base": log10p(q + ids(think[1]), a), "log10p_final": log10p(q + flat + ids(think[1]), a), "entropies": (-(logp.exp() * logp).sum(-1)).tolist(),
-            }
-
-        return score
-
-    return make
+def score_records(scorer: Scorer, long: DataFrame) -> DataFrame:
+    """Metric records by a scorer, on its own short way if it has one."""
+    return scorer.records(long) if hasattr(scorer, "records") else records(scorer.score(long))
 
 
 def records(scored: DataFrame, keys: Sequence[str] = ("sample_idx", "method")) -> DataFrame:

@@ -53,8 +53,8 @@ def scale(records: DataFrame, y: str = "aprob") -> DataFrame:
 def thresholds(records: DataFrame, quantile: float = 0.6, x: str = "entropy_anchoring", y: str = "aprob") -> DataFrame:
     """One row ``quantile, x_threshold, y_threshold`` of all methods pooled, over finite values.
 
-    Exact, linearly interpolated quantiles (see :mod:`mooring.operators.quantile`);
-    an error if a column has no finite value.
+    Exact, linearly interpolated quantiles (see :mod:`mooring.operators.quantile`),
+    for which ``records`` is read three times; an error if a column has no finite value.
     """
     some = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("no finite value to take a quantile of")).cast("double"))
     return quantiles(records, [x, y], quantile).select(F.lit(quantile).alias("quantile"), some(x).alias("x_threshold"), some(y).alias("y_threshold"))
@@ -85,6 +85,18 @@ def zone_points(records: DataFrame, quantile: float = 0.6, lexical: str = "lexic
     return rows.crossJoin(F.broadcast(t.drop("quantile"))).select("method", F.col(x).alias("x"), F.col(y).alias("y"), F.col(lexical).alias("c"), zone.alias("zone"))
 
 
+def figure_cells(points: DataFrame, bins: int = 200) -> DataFrame:
+    """``method, x, y, c, n``: the points of :func:`zone_points` on a grid finer than a page shows, with their number and mean ``c``.
+
+    Every point with two finite coordinates counts; those outside 0 to 1 lie on the
+    edge. At most ``bins ** 2`` rows a method come out.
+    """
+    cell = lambda v: F.least(F.greatest(F.floor(F.col(v) * bins), F.lit(0)), F.lit(bins - 1))
+    shown = points.where(M.all_finite(F.col("x"), F.col("y")) & F.col("method").isNotNull())
+    g = shown.groupBy("method", cell("x").alias("i"), cell("y").alias("j")).agg(F.avg(F.when(M.finite(F.col("c")), F.col("c"))).alias("c"), F.count("*").alias("n"))
+    return g.select("method", ((F.col("i") + 0.5) / bins).alias("x"), ((F.col("j") + 0.5) / bins).alias("y"), "c", "n")
+
+
 def method_order(methods: Sequence[str]) -> list[str]:
     """Main methods only: their order; control methods only: theirs; else known first, rest sorted."""
     own = set(methods)
@@ -104,6 +116,8 @@ def ordered_methods(records: DataFrame) -> DataFrame:
 
 def covers(records: DataFrame, expected: Sequence[str]) -> DataFrame:
     """One row ``complete, missing``: does every expected method occur?"""
-    seen = records.agg(F.collect_set("method").alias("s"))
-    lacking = F.array_sort(F.array_except(F.array(*[F.lit(m) for m in expected]).cast("array<string>"), F.col("s")))
+    known = F.array(*[F.lit(m) for m in expected]).cast("array<string>")
+    # only expected methods are gathered, however many others there are
+    seen = records.where(F.array_contains(known, F.col("method"))).agg(F.collect_set("method").alias("s"))
+    lacking = F.array_sort(F.array_except(known, F.col("s")))
     return seen.select((F.size(lacking) == 0).alias("complete"), lacking.alias("missing"))

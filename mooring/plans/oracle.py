@@ -1,14 +1,20 @@
 """SQL equivalents of the core queries, over whole tables.
 
-Two have none: ``lexical_anchoring`` and ``scored_records`` need a sequence
-alignment, which is tested against a brute-force one instead.
+Fixed values are stated here once more, so that a wrong one in the engine shows.
 """
 
 from __future__ import annotations
 
-from mooring.functions.text import FUNCTION_WORDS
-from mooring.operators.generation import PROMPTS
-from mooring.schemas import CONTROL_METHODS, MAIN_METHODS, SECTIONS
+#: Methods in the order of tables, sections of a row, function words.
+MAIN_METHODS = ("NEU", "SUP", "AUG-SUP", "SSR")
+CONTROL_METHODS = ("Real CoT", "+Prob Anchor", "+Entropy Anchor", "Response as CoT")
+SECTIONS = ("questions", "answers", "contexts", "reasonings")
+FUNCTION_WORDS = (
+    "a", "about", "an", "and", "are", "as", "at", "be", "been", "being", "but", "by", "for", "from", "if", "in", "into",
+    "is", "it", "of", "on", "or", "so", "that", "the", "then", "these", "this", "those", "to", "was", "were", "with",
+)
+#: Characters of the chat format and the system prompt around the context, by method.
+FRAME_CHARS = {"NEU": 199, "SUP": 253, "AUG-SUP": 326, "SSR": 252}
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -127,15 +133,16 @@ _R0_PARTS = f"""{_parts(['R0'])}, s AS (SELECT *, {_FIRST} AS sm FROM rows),
 r0 AS (SELECT s.row_idx, coalesce(id, s.row_idx::VARCHAR) AS id, {_txt('questions[sm]')} AS question, {_txt('answers[sm]')} AS answer, reason, mode, CASE WHEN NOT there THEN 'missing_raw_output' WHEN missing THEN 'empty_reasoning' END AS reject FROM s JOIN parts USING (row_idx))"""
 
 
-def _shares(*columns: str) -> str:
+def _shares(*columns: str, name: str = "shares") -> str:
     every = " UNION ALL ".join(f"SELECT unnest({_words(c)}) AS token FROM ok" for c in columns)
-    return f"corpus AS ({every}), shares AS (SELECT token, count(*) / (SELECT count(*) FROM corpus)::DOUBLE AS share FROM corpus GROUP BY token)"
+    return f"corpus_of_{name} AS ({every}), {name} AS (SELECT token, count(*) / (SELECT count(*) FROM corpus_of_{name})::DOUBLE AS share FROM corpus_of_{name} GROUP BY token)"
 
 
-_SURPRISALS = f"""{_SCOREABLE}, {_shares('reasoning')},
+_TOKENS = f"""{_shares('reasoning', name='trace_shares')},
 st AS (SELECT sample_idx, method, unnest({_steps('reasoning')}) AS s, unnest(range(len({_steps('reasoning')}))) + 1 AS step FROM ok),
 tk AS (SELECT sample_idx, method, step, unnest({_words('s')}) AS token, unnest(range(len({_words('s')}))) AS nth FROM st),
-su AS (SELECT sample_idx, method, step, row_number() OVER (PARTITION BY sample_idx, method ORDER BY step, nth) - 1 AS pos, -ln(share) AS entropy FROM tk JOIN shares USING (token))"""
+su AS (SELECT sample_idx, method, step, row_number() OVER (PARTITION BY sample_idx, method ORDER BY step, nth) - 1 AS pos, -ln(share) AS entropy FROM tk JOIN trace_shares USING (token))"""
+_SURPRISALS = f"{_SCOREABLE}, {_TOKENS}"
 
 
 def _aent(means: str, order: str) -> str:
@@ -186,11 +193,32 @@ SELECT method, count(*) AS "N", round(100 * avg(l), 6) AS "Alex", round(100 * av
   {", ".join(f'round(100 * avg({c}::INT::DOUBLE), 6) AS "{z}"' for z, c in zone.items())}, round(any_value(xt), 6) AS x_threshold, round(any_value(yt), 6) AS y_threshold FROM s, t WHERE method IS NOT NULL GROUP BY method"""
 
 
+#: Longest common subsequence of the words of answer and trace: a row of the table for each word of a trace,
+#: whose cells are running maxima over the answer.
+_ALIGNED = f"""
+ans AS (SELECT sample_idx, method, unnest({_words('answer')}) AS a, unnest(range(1, len({_words('answer')}) + 1)) AS j FROM ok),
+rea AS (SELECT sample_idx, method, list_filter({_words('reasoning')}, lambda w: list_contains({_words('answer')}, w)) AS r FROM ok),
+dp(sample_idx, method, j, a, i, v) USING KEY (sample_idx, method, j) AS (
+  SELECT sample_idx, method, j, a, 0, 0 FROM ans
+  UNION
+  SELECT sample_idx, method, j, a, i, max(best) OVER (PARTITION BY sample_idx, method ORDER BY j) FROM (
+    SELECT d.sample_idx, d.method, d.j, d.a, d.i + 1 AS i, greatest(d.v, CASE WHEN d.a = r[d.i + 1] THEN 1 + coalesce(lag(d.v) OVER (PARTITION BY d.sample_idx, d.method ORDER BY d.j), 0) ELSE 0 END) AS best
+    FROM dp d JOIN rea USING (sample_idx, method) WHERE d.i < len(r))
+),
+lex AS (SELECT sample_idx, method, max(v) / count(*) AS lexical FROM dp GROUP BY ALL)"""
+_LIKELY = f"""
+a AS (SELECT sample_idx, method, unnest({_words('answer')}) AS token FROM ok), ac AS (SELECT sample_idx, method, token, count(*) AS n FROM a GROUP BY ALL),
+r AS (SELECT sample_idx, method, unnest({_words('reasoning')}) AS token FROM ok), rc AS (SELECT sample_idx, method, token, count(*) AS c FROM r GROUP BY ALL), rs AS (SELECT sample_idx, method, sum(c) AS size FROM rc GROUP BY ALL),
+lj AS (SELECT ac.sample_idx, ac.method, ac.n, share, 0.5e0 * coalesce(c / size, 0) + 0.5e0 * share AS p FROM ac JOIN shares USING (token) JOIN rs USING (sample_idx, method) LEFT JOIN rc ON rc.sample_idx = ac.sample_idx AND rc.method = ac.method AND rc.token = ac.token),
+lk AS (SELECT sample_idx, method, sum(n) AS n, sum(n * ln(share)) AS base, sum(n * ln(p)) AS final FROM lj GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     bits = "/ ln(10e0) / n * 3.321928e0"
-    frame = ", ".join(f"WHEN {_q(m)} THEN {len('<|im_start|>system\n') + len(p) + len('<|im_end|>\n<|im_start|>user\n') + len('<|im_end|>\n<|im_start|>assistant\n')}" for m, p in PROMPTS.items()).replace(", WHEN", " WHEN")
+    frame = " ".join(f"WHEN {_q(m)} THEN {n}" for m, n in FRAME_CHARS.items())
     known = [*MAIN_METHODS, *CONTROL_METHODS]
     zone = _zone("x", "y", "xt", "yt")
+    aprob = f"CASE WHEN n IS NULL THEN NULL WHEN -(base {bits}) > 1e-12 THEN greatest(least((final - base) / -base, 1e0), 0e0) ELSE 0e0 END"
     return {
         "zone_summary": f"WITH {_GATE}, {_summary('gated')}",
         "zone_summary_ungated": f"WITH {_summary('metric_records')}",
@@ -225,12 +253,17 @@ SELECT row_idx, coalesce(id, row_idx::VARCHAR) AS id, list_sort(['NEU=' || {_txt
         "rcot_rejected": f"WITH {_parts(['NEU', 'SSR'])}, g AS (SELECT row_idx, list(method ORDER BY method_pos) AS missing FROM parts WHERE missing GROUP BY row_idx) SELECT row_idx, coalesce(id, row_idx::VARCHAR) AS id, missing FROM rows JOIN g USING (row_idx)",
         "r0_build": f"WITH {_R0_PARTS} SELECT row_idx, id, ['R0=' || question] AS questions, ['R0=' || answer] AS answers, ['R0=' || reason] AS reasonings, ['R0=' || mode] AS generated_parse_modes FROM r0 WHERE reject IS NULL",
         "r0_rejected": f"WITH {_R0_PARTS} SELECT row_idx, id, reject AS reason FROM r0 WHERE reject IS NOT NULL",
-        "prob_anchoring": f"""WITH {_SCOREABLE}, {_shares('answer', 'reasoning')},
-a AS (SELECT sample_idx, method, unnest({_words('answer')}) AS token FROM ok), ac AS (SELECT sample_idx, method, token, count(*) AS n FROM a GROUP BY ALL),
-r AS (SELECT sample_idx, method, unnest({_words('reasoning')}) AS token FROM ok), rc AS (SELECT sample_idx, method, token, count(*) AS c FROM r GROUP BY ALL), rs AS (SELECT sample_idx, method, sum(c) AS size FROM rc GROUP BY ALL),
-j AS (SELECT ac.sample_idx, ac.method, ac.n, share, 0.5e0 * coalesce(c / size, 0) + 0.5e0 * share AS p FROM ac JOIN shares USING (token) JOIN rs USING (sample_idx, method) LEFT JOIN rc ON rc.sample_idx = ac.sample_idx AND rc.method = ac.method AND rc.token = ac.token),
-g AS (SELECT sample_idx, method, sum(n) AS n, sum(n * ln(share)) AS base, sum(n * ln(p)) AS final FROM j GROUP BY ALL)
-SELECT sample_idx, method, n::BIGINT AS answer_words, round(base {bits}, 6) AS base_bits, round(final {bits}, 6) AS final_bits, round(CASE WHEN -(base {bits}) > 1e-12 THEN greatest(least((final - base) / -base, 1e0), 0e0) ELSE 0e0 END, 6) AS aprob FROM g""",
+        "lexical_anchoring": f"WITH RECURSIVE {_SCOREABLE}, {_ALIGNED} SELECT sample_idx, method, lexical AS lexical_anchoring FROM lex",
+        "prob_anchoring": f"""WITH {_SCOREABLE}, {_shares('answer', 'reasoning')}, {_LIKELY}
+SELECT sample_idx, method, n::BIGINT AS answer_words, round(base {bits}, 6) AS base_bits, round(final {bits}, 6) AS final_bits, round({aprob}, 6) AS aprob FROM lk""",
+        "scored_records": f"""WITH RECURSIVE {_SCOREABLE}, {_ALIGNED}, {_shares('answer', 'reasoning')}, {_LIKELY},
+{_TOKENS}, means AS (SELECT sample_idx, method, step, avg(entropy) AS v FROM su WHERE step > 1 GROUP BY ALL), {_aent('means', 'step')},
+every AS (SELECT sample_idx, unnest(map_keys(questions)) AS method FROM metric_rows),
+rec AS (SELECT sample_idx, method, lexical, coalesce(entropy_anchoring, 0e0) AS ent, {aprob} AS aprob FROM every LEFT JOIN lex USING (sample_idx, method) LEFT JOIN lk USING (sample_idx, method) LEFT JOIN res USING (sample_idx, method))
+SELECT sample_idx, method, round(lexical, 6) AS lexical_anchoring, round(ent, 6) AS entropy_anchoring, round(aprob, 6) AS "Aprob" FROM rec WHERE sample_idx NOT IN (SELECT sample_idx FROM rec WHERE NOT coalesce(isfinite(lexical) AND isfinite(ent) AND isfinite(aprob), false))""",
+        "resumed_raw_output": f"WITH {_LATEST} SELECT row_idx, method, seq, raw_output FROM l",
+        "figure_cells": f"""WITH {_GATE}, {_zones_of('gated')}, c AS (SELECT method, l, least(greatest(floor(x * 200), 0), 199) AS i, least(greatest(floor(y * 200), 0), 199) AS j FROM s WHERE {_finite('x')} AND {_finite('y')} AND method IS NOT NULL)
+SELECT method, round((i + 0.5e0) / 200, 6) AS x, round((j + 0.5e0) / 200, 6) AS y, round(avg(l) FILTER (WHERE {_finite('l')}), 6) AS c, count(*) AS n FROM c GROUP BY method, i, j""",
         "entropy_anchoring": f"WITH {_SURPRISALS}, means AS (SELECT sample_idx, method, step, avg(entropy) AS v FROM su WHERE step > 1 GROUP BY ALL), {_aent('means', 'step')} SELECT ok.sample_idx, ok.method, round(coalesce(entropy_anchoring, 0e0), 6) AS entropy_anchoring FROM ok LEFT JOIN res USING (sample_idx, method)",
         "entropy_fixed_windows": f"WITH {_SURPRISALS}, means AS (SELECT sample_idx, method, pos // 50 AS w, avg(entropy) AS v FROM su GROUP BY ALL), {_aent('means', 'w')} SELECT sample_idx, method, windows::INT AS windows, round(entropy_anchoring, 6) AS entropy_anchoring FROM res",
         "finite_records": f"SELECT method, count(*) AS rows, {', '.join(f'count(*) FILTER (WHERE {_finite(c)}) AS finite_{c}' for c in _VALUES)}, count(*) FILTER (WHERE NOT ({_BAD})) AS finite FROM metric_records GROUP BY method",

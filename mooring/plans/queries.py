@@ -9,9 +9,10 @@ places, since sums come in another order elsewhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mooring.functions import metrics as M
@@ -19,7 +20,8 @@ from mooring.functions import text as X
 from mooring.operators import generation as G
 from mooring.operators import prepare, scoring, summary
 from mooring.schemas import CONTROL_METHODS, MAIN_METHODS, SECTIONS
-from mooring.session import cut, spread, table
+from mooring.session import cut, shared_folder, spread, table
+from mooring.sources import jsonl
 
 FIRST_SAMPLE = 1000
 BASE = "SSR"
@@ -183,42 +185,49 @@ def lexical_anchoring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prob_anchoring(spark: SparkSession, d: str) -> DataFrame:
-    counts = scoring.token_counts(_long(spark, d), ["sample_idx", "method"])
-    lk = scoring.likelihoods(counts, scoring.word_shares(counts), ["sample_idx", "method"])
+    long = _long(spark, d)
+    counts = scoring.token_counts(long, ["sample_idx", "method"])
+    lk = scoring.likelihoods(counts, scoring.word_shares(long, "answer", "reasoning"), ["sample_idx", "method"])
     bits = lambda c: M.bits_per_token(M.ln_to_log10(F.col(c)), F.col("n"))
     return lk.select("sample_idx", "method", F.col("n").alias("answer_words"), _round(bits("base")).alias("base_bits"), _round(bits("final")).alias("final_bits"), _round(M.probabilistic_anchoring(bits("base"), bits("final"))).alias("aprob"))
 
 
-def _surprisals(long: DataFrame) -> DataFrame:
+def _segments(long: DataFrame, segment: Column) -> DataFrame:
+    """Means of the surprisals of each segment of each trace, in order."""
     keys = ["sample_idx", "method"]
-    tokens = scoring.trace_tokens(long, keys)
-    shares = scoring.word_shares(tokens.groupBy("token").agg(F.count("*").alias("n")))
-    return scoring.surprisals(tokens, shares, keys)
+    means = scoring.mean_surprisals(scoring.trace_tokens(long, keys), scoring.word_shares(long, "reasoning"), keys, segment)
+    return scoring.segment_lists(means, keys)
 
 
 def entropy_anchoring(spark: SparkSession, d: str) -> DataFrame:
     long = _long(spark, d)
-    means = _surprisals(long).where("step > 1").groupBy("sample_idx", "method", "step").agg(F.avg("entropy").alias("v"))
-    g = means.groupBy("sample_idx", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "v"))), lambda x: x["v"]).alias("v"))
-    return long.select("sample_idx", "method").join(g, ["sample_idx", "method"], "left").select("sample_idx", "method", _round(F.coalesce(M.entropy_of_means(F.col("v")), F.lit(0.0))).alias("entropy_anchoring"))
+    later = F.transform(F.filter("v", lambda x: x["segment"] > 1), lambda x: x["entropy"])
+    g = _segments(long, F.col("step")).select("sample_idx", "method", M.entropy_of_means(later).alias("e"))
+    return long.select("sample_idx", "method").join(g, ["sample_idx", "method"], "left").select("sample_idx", "method", _round(F.coalesce("e", F.lit(0.0))).alias("entropy_anchoring"))
 
 
 def entropy_fixed_windows(spark: SparkSession, d: str) -> DataFrame:
-    long = _long(spark, d)
-    s = _surprisals(long)
-    means = s.groupBy("sample_idx", "method", F.floor(F.col("pos") / M.WINDOW).alias("w")).agg(F.avg("entropy").alias("v"))
-    g = means.groupBy("sample_idx", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("v"))
-    return g.select("sample_idx", "method", F.size("v").alias("windows"), _round(M.entropy_of_means(F.col("v"))).alias("entropy_anchoring"))
+    g = _segments(_long(spark, d), F.floor(F.col("pos") / M.WINDOW))
+    return g.select("sample_idx", "method", F.size("v").alias("windows"), _round(M.entropy_of_means(F.col("v.entropy"))).alias("entropy_anchoring"))
 
 
 def scored_records(spark: SparkSession, d: str) -> DataFrame:
     """Surrogate scoring of every (sample, method) and the sample gate, end to end."""
     long = prepare.to_long(spread(_rows(spark, d)))
-    recs = scoring.records(scoring.SurrogateScorer().score(scoring.scoreable(long)))
+    recs = scoring.score_records(scoring.SurrogateScorer(), scoring.scoreable(long))
     every = cut(long.select("sample_idx", "method").join(recs, ["sample_idx", "method"], "left"))  # the gate looks twice
     return scoring.gate(every).select("sample_idx", "method", *[_round(c).alias(c) for c in ("lexical_anchoring", "entropy_anchoring", "Aprob")])
 
 
+def resumed_raw_output(spark: SparkSession, d: str) -> DataFrame:
+    """Resume state read from a folder of JSON lines to which raw outputs were appended in three unequal batches."""
+    raw = _raw(spark, d).withColumn("_late", F.row_number().over(Window.partitionBy("row_idx", F.coalesce("method", F.lit("R0"))).orderBy("seq")))
+    folder = f"{shared_folder(spark)}/raw-{uuid.uuid4()}"
+    for part in (F.col("_late") == 1, F.col("_late") == 2, F.col("_late") > 2):
+        jsonl.append_jsonl(raw.where(part).orderBy("_late").select("row_idx", "id", "method", "raw_output", F.col("seq").cast("int").alias("output_tokens")), folder)
+    return jsonl.read_completed(spark, folder).select("row_idx", "method", F.col("output_tokens").cast("bigint").alias("seq"), "raw_output")
+
+
 # records
 
 _VALUES = ("lexical_anchoring", "entropy_anchoring", "aprob")
@@ -264,8 +273,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _main(spark: SparkSession, d: str) -> DataFrame:
-    """Gated records, as zones are only made of those."""
-    return scoring.gate(_records(spark, d), ["run_id", "sample_idx"], _VALUES)
+    """Gated records, as zones are only made of those; kept, as thresholds are found in several passes."""
+    return cut(scoring.gate(_records(spark, d), ["run_id", "sample_idx"], _VALUES).select("method", *_VALUES))
 
 
 def scaled_records(spark: SparkSession, d: str) -> DataFrame:
@@ -281,13 +290,18 @@ def zone_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zone_summary_ungated(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(summary.zones(_records(spark, d)))
+    return _rounded(summary.zones(_records(spark, d).select("method", *_VALUES)))
 
 
 def zone_points(spark: SparkSession, d: str) -> DataFrame:
     return summary.zone_points(_main(spark, d)).groupBy("method", "zone").agg(F.count("*").alias("n"), _round(F.avg("c")).alias("mean_lexical"))
 
 
+def figure_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells = summary.figure_cells(summary.zone_points(_main(spark, d)))
+    return cells.select("method", _round("x").alias("x"), _round("y").alias("y"), _round("c").alias("c"), "n")
+
+
 def method_order(spark: SparkSession, d: str) -> DataFrame:
     return summary.ordered_methods(_records(spark, d))
 
@@ -300,7 +314,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         zone_summary, conversation_qa, conversation_format, convert_rows, long_rows, validate_rows, validated, validate_summary, function_word_skeleton, controlled_variants, controlled_wide,
         split_steps, sampled_steps, step_boundaries, parse_reasoning, parse_mode_counts, latest_raw_output, prompt_context_choice, rcot_requests, r0_requests, requests_pending, head_requests,
-        rcot_build, rcot_rejected, r0_build, r0_rejected, lexical_anchoring, prob_anchoring, entropy_anchoring, entropy_fixed_windows, scored_records, finite_records, sample_gate, gate_summary,
-        valid_data, shard_rows, aggregate_fixed_quadrants, aggregate_by_run, aggregate_numeric, scaled_records, zone_thresholds, zone_summary_ungated, zone_points, method_order, method_coverage,
+        rcot_build, rcot_rejected, r0_build, r0_rejected, lexical_anchoring, prob_anchoring, entropy_anchoring, entropy_fixed_windows, scored_records, resumed_raw_output, finite_records, sample_gate, gate_summary,
+        valid_data, shard_rows, aggregate_fixed_quadrants, aggregate_by_run, aggregate_numeric, scaled_records, zone_thresholds, zone_summary_ungated, zone_points, figure_cells, method_order, method_coverage,
     )
     return {f.__name__: f for f in own}

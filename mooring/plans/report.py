@@ -1,17 +1,17 @@
-"""Driver-side rendering of summaries: at most a row a method is ever collected."""
+"""Driver-side rendering of summaries: at most a row a method, or a cell of a figure, is ever collected."""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
-import math
 from collections.abc import Mapping, Sequence
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from mooring.operators import summary as S
 from mooring.schemas import ZONES
+from mooring.sources import files
 
 _METRICS = ("Alex", "Aent", "Aprob")
 
@@ -23,17 +23,15 @@ def markdown_table(headers: Sequence[str], rows: Sequence[Sequence]) -> str:
     return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
 
 
-def write_csv(path: Path, headers: Sequence[str], rows: Sequence[Sequence]) -> None:
+def csv_text(headers: Sequence[str], rows: Sequence[Sequence]) -> str:
     """CSV with a header, full-precision floats and CRLF line ends."""
-    with path.open("w", encoding="utf-8", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(headers)
-        w.writerows(rows)
+    out = io.StringIO(newline="")
+    csv.writer(out).writerows([headers, *rows])
+    return out.getvalue()
 
 
-def write_json(path: Path, value, indent: int = 2) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(value, ensure_ascii=False, indent=indent), encoding="utf-8")
+def write_json(spark: SparkSession, path: str, value, indent: int = 2) -> None:
+    files.write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=indent))
 
 
 def aggregate_json(aggregated: DataFrame) -> dict:
@@ -48,8 +46,9 @@ def aggregate_json(aggregated: DataFrame) -> dict:
 
 def aggregate_text(nested: Mapping[str, Mapping]) -> str:
     """An aggregation as a table for the console; a hint if it is empty."""
-    rows = [[g, x["N"], x["skipped_nan"], *[format(x["means"].get(k, 0), ".4f") for k in S.METRICS]] for g, x in nested.items()]
-    return markdown_table(["group", "records", "skipped", *S.METRICS], rows) + ("" if rows else "\nno group has a probabilistic metric; check the field names")
+    shown = ("lexical_anchoring", "entropy_anchoring", "Aprob")
+    rows = [[g, x["N"], x["skipped_nan"], *[format(x["means"].get(k, 0), ".4f") for k in shown]] for g, x in nested.items()]
+    return markdown_table(["group", "records", "skipped", *shown], rows) + ("" if rows else "\nno group has a probabilistic metric; check the field names")
 
 
 def zone_summary(zones: DataFrame) -> tuple[list[str], dict, dict]:
@@ -61,24 +60,21 @@ def zone_summary(zones: DataFrame) -> tuple[list[str], dict, dict]:
     return order, nested, {k: any_.get(k) for k in ("x_threshold", "y_threshold")}
 
 
-def write_zone_tables(zones: DataFrame, out: Path, prefix: str, source: str, quantile: float = 0.6) -> dict:
+def write_zone_tables(zones: DataFrame, out: str, prefix: str, source: str, quantile: float = 0.6) -> dict:
     """The two CSV and two Markdown tables and the summary JSON of one set of records."""
-    out.mkdir(parents=True, exist_ok=True)
+    spark = zones.sparkSession
     order, nested, cut = zone_summary(zones)
     for stem, names, part in ((f"{prefix}_table1_metrics", _METRICS, "metrics"), (f"{prefix}_table2_zones", ZONES, "zones")):
         rows = [[m, nested[m]["N"], *[nested[m][part][k] for k in names]] for m in order]
-        write_csv(out / f"{stem}.csv", ["Method", "N", *names], rows)
-        (out / f"{stem}.md").write_text(markdown_table(["Method", "N", *names], [[x if not isinstance(x, float) or not math.isnan(x) else float("nan") for x in r] for r in rows]), encoding="utf-8")
+        files.write_text(spark, f"{out}/{stem}.csv", csv_text(["Method", "N", *names], rows))
+        files.write_text(spark, f"{out}/{stem}.md", markdown_table(["Method", "N", *names], rows))
     report = {"source_metrics": source, "method_order": order, "zone_threshold": {"quantile": quantile, **cut}, "summary": nested}
-    write_json(out / f"{prefix}_summary.json", report)
+    write_json(spark, f"{out}/{prefix}_summary.json", report)
     return report
 
 
-def write_figure(points: DataFrame, out: Path, prefix: str, cut: Mapping[str, float], most: int = 20_000) -> bool:
-    """A scatter panel a method as PDF and PNG, if matplotlib is there.
-
-    More than ``most`` points can't be told apart on a page; a hash sample is drawn then.
-    """
+def write_figure(points: DataFrame, out: str, prefix: str, cut: Mapping[str, float]) -> bool:
+    """A panel a method as PDF and PNG, if matplotlib is there; all points count, in the cells of a fine grid."""
     try:
         import matplotlib
 
@@ -86,33 +82,51 @@ def write_figure(points: DataFrame, out: Path, prefix: str, cut: Mapping[str, fl
         import matplotlib.pyplot as plt
     except ImportError:
         return False
-    n = points.count()
-    pdf = (points if n <= most else points.sample(most / n, seed=1)).toPandas()
-    order = S.method_order([m for m in pdf.method.dropna().unique()])
+    pdf = S.figure_cells(points).toPandas()
+    order = S.method_order(list(pdf.method.unique()))
+    x_cut, y_cut = cut["x_threshold"], cut["y_threshold"]
+    corners = dict(zip(ZONES, ((0, x_cut, 0, y_cut), (0, x_cut, y_cut, 1), (x_cut, 1, 0, y_cut), (x_cut, 1, y_cut, 1))))
+    tints = dict(zip(ZONES, ("tab:green", "tab:blue", "tab:orange", "tab:red")))
     fig, axes = plt.subplots(1, max(1, len(order)), figsize=(3.2 * max(1, len(order)), 3.2), squeeze=False, sharey=True)
     for ax, m in zip(axes[0], order):
         own = pdf[pdf.method == m]
-        ax.axvline(cut["x_threshold"], lw=0.8, ls="--")
-        ax.axhline(cut["y_threshold"], lw=0.8, ls="--")
-        ax.scatter(own.x, own.y, c=own.c, cmap="coolwarm", vmin=0, vmax=1, s=6)
+        for zone, (x0, x1, y0, y1) in corners.items():
+            ax.fill([x0, x1, x1, x0], [y0, y0, y1, y1], color=tints[zone], alpha=0.08, lw=0)
+            ax.text((x0 + x1) / 2, (y0 + y1) / 2, zone, ha="center", va="center", alpha=0.4)
+        ax.scatter(own.x, own.y, c=own.c, cmap="coolwarm", vmin=0, vmax=1, s=4 + 2 * own.n**0.5)
         ax.set(title=m, xlim=(0, 1), ylim=(0, 1), xlabel="entropic anchoring")
     axes[0][0].set_ylabel("probabilistic anchoring (sqrt)")
-    out.mkdir(parents=True, exist_ok=True)
-    fig.savefig(out / f"{prefix}.pdf", dpi=200, bbox_inches="tight")
-    fig.savefig(out / f"{prefix}.png", dpi=180, bbox_inches="tight")
+    for kind, dpi in (("pdf", 200), ("png", 180)):
+        image = io.BytesIO()
+        fig.savefig(image, format=kind, dpi=dpi, bbox_inches="tight")
+        files.write_bytes(points.sparkSession, f"{out}/{prefix}.{kind}", image.getvalue())
     plt.close(fig)
     return True
 
 
-def write_report(run: Path, output: Path | None = None) -> Path:
-    """The Markdown report of a run; a missing method table is an error."""
-    methods, controlled = run / "figures" / "methods", run / "figures" / "controlled"
-    read = lambda p: p.read_text(encoding="utf-8").strip()
-    parts = ["# Anchoring report", "", f"Run: `{run}`", "", "## Metrics by method", read(methods / "methods_table1_metrics.md"), "", "## Zones by method", read(methods / "methods_table2_zones.md"), "", "## Figures", f"- Methods: `{methods / 'methods.pdf'}`"]
-    if (controlled / "controlled.pdf").exists():
-        parts.append(f"- Controlled variants: `{controlled / 'controlled.pdf'}`")
-    if controlled.exists():
-        parts += ["", "## Controlled variants", "", read(controlled / "controlled_table1_metrics.md"), "", read(controlled / "controlled_table2_zones.md")]
-    output = output or run / "report.md"
-    output.write_text("\n".join([*parts, ""]), encoding="utf-8")
+#: Sets of records a report is made of: name, heading, must it be there?
+SECTIONS = (("methods", "by method", True), ("controlled", "of the controlled variants", False))
+
+
+def report_text(tables: Mapping[str, Mapping[str, str]], figures: Mapping[str, str], run: str) -> str:
+    """The Markdown of a report: ``tables`` has the metrics and zones of each set, ``figures`` the path of its figure."""
+    blocks = [f"# Anchoring report\n\nRun: `{run}`"]
+    for name, heading, _ in SECTIONS:
+        if name in tables:
+            blocks += [f"## {kind.capitalize()} {heading}\n\n{tables[name][kind].strip()}" for kind in ("metrics", "zones")]
+    blocks.append("\n".join(["## Figures", "", *[f"- {name}: `{path}`" for name, path in figures.items()]]))
+    return "\n\n".join(blocks) + "\n"
+
+
+def write_report(spark: SparkSession, run: str, output: str | None = None) -> str:
+    """Writes the report of a run and returns its path; missing tables of the methods are an error."""
+    tables, figures = {}, {}
+    for name, _, needed in SECTIONS:
+        folder = f"{run}/figures/{name}"
+        if needed or files.exists(spark, folder):
+            tables[name] = {kind: files.read_text(spark, f"{folder}/{name}_table{i}_{kind}.md") for i, kind in enumerate(("metrics", "zones"), 1)}
+            if needed or files.exists(spark, f"{folder}/{name}.pdf"):
+                figures[name] = f"{folder}/{name}.pdf"
+    output = output or f"{run}/report.md"
+    files.write_text(spark, output, report_text(tables, figures, run))
     return output

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -39,12 +40,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where neither that
-    setting nor a checkpoint directory exists (tests) a temporary folder is set.
+    A cluster names it in ``spark.checkpoint.dir``, and it is an error if it doesn't;
+    only a local master (tests) gets a temporary folder.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mooring-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="mooring-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -57,21 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Estimated size up to which a frame of too few splits is spread over the cores.
-SPREAD_BYTES = 128 << 20
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores on as many partitions as cores, before costly work on its rows.
 
-
-def spread(scan: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
-    """A small scan on as many partitions as there are cores, before costly work on its rows.
-
-    A table in a file or two has fewer splits than the cluster has cores. Only then,
-    and only below ``most`` bytes, are rows moved; a large table stays as it is split.
-    ``scan`` must be without shuffles, so that counting its splits runs nothing.
+    Only such a table, which is at most a split a core, is moved; any other stays as
+    it is split. ``scan`` must be without shuffles, so that counting its splits runs
+    nothing.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > most or scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 _shipped: set[str] = set()

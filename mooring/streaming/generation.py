@@ -16,13 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from mooring.operators import generation as G
 from mooring.schemas import RAW_GENERATION, REQUEST
 from mooring.session import cut
+from mooring.sources import files
 
 
 def read_raw(spark: SparkSession, folder: str) -> DataFrame:
     """All raw rows of the folder; ``seq`` is their batch, in which keys are unique."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(folder)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not files.names(spark, folder, "batch=*"):
         return spark.createDataFrame([], RAW_GENERATION).withColumn("seq", F.lit(None).cast("bigint"))
     return spark.read.option("basePath", folder).schema(RAW_GENERATION.simpleString()[7:-1].replace(":", " ") + ", batch bigint").parquet(f"{folder}/batch=*").withColumnRenamed("batch", "seq")
 
@@ -31,8 +30,14 @@ def generate_stream(requests: DataFrame, folder: str, make: Callable[[], G.Gener
     """Starts the query: available requests are generated in micro-batches, then it ends."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        todo = G.pending(batch.dropDuplicates(["row_idx", "method"]), read_raw(batch.sparkSession, folder).where(F.col("seq") < batch_id))
-        cut(G.generate(todo, make, chunk)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        own = cut(batch.dropDuplicates(["row_idx", "method"]))
+        low, high = own.agg(F.min("row_idx"), F.max("row_idx")).first()
+        if low is None:
+            return
+        # outputs are stored by row, so only files and row groups that may have the batch's rows are read
+        done = read_raw(batch.sparkSession, folder).where((F.col("seq") < batch_id) & F.col("row_idx").between(low, high)).select("row_idx", "method")
+        made = G.generate(G.pending(own, done), make, chunk)
+        cut(made).repartitionByRange("row_idx").sortWithinPartitions("row_idx").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return requests.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
