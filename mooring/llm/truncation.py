@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from mooring.llm.common import TRAIN_CHARS, map_rows, sampled_rows
 from mooring.llm.logistic import WIDTH, Hashed, score, train
-from mooring.session import cut
+from mooring.session import cut, spread
 
 #: At most so many values of each field are read for training.
 TRAIN_ROWS = 3000
@@ -263,15 +263,31 @@ def length_limits(lengths: DataFrame) -> DataFrame:
     return spikes.where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_RATIO * F.col("around") / (2 * LIMIT_AROUND))).select("src", "is_bytes", "length")
 
 
-def _by_source(limits: DataFrame) -> dict:
-    out: dict = {}
-    for src, is_bytes, length in sorted(map(tuple, limits.collect()), key=str):
-        out[src] = (*out.get(src, ()), (bool(is_bytes), int(length)))
-    return out
+#: Limits that travel with the scoring function; more are joined.
+LIMITS_SHIPPED = 100_000
+_LIMITS = "array<struct<is_bytes:boolean,length:int>>"
+
+
+def _by_source(limits: DataFrame) -> DataFrame:
+    """``src, limits``: the limits of each source as one array, bounded by the lengths it has."""
+    return limits.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("is_bytes", "length"))).cast(_LIMITS).alias("limits"))
+
+
+def _with_limits(rows: DataFrame, limits: DataFrame, shipped: int = LIMITS_SHIPPED, salts: int = 16) -> DataFrame:
+    """``rows`` with the array ``limits`` of their ``src`` (null if it has none).
+
+    Up to ``shipped`` limits are broadcast; those of more sources are joined by a
+    shuffle, in which the rows of a source are spread over ``salts`` keys.
+    """
+    per = _by_source(limits)
+    if limits.count() <= shipped:
+        return rows.join(F.broadcast(per), "src", "left")
+    per = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rec_id"), F.lit(salts)).cast("int")).join(per, ["src", "_salt"], "left").drop("_salt")
 
 
-def _survey(values: DataFrame, train_rows: int) -> tuple[dict, DataFrame]:
-    """``(limits by source, hashes of the sample by field)`` of ``values(field, src, rec_id, text)``, in one pass over the texts."""
+def _survey(values: DataFrame, train_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(length limits, hashes of the sample by field)`` of ``values(field, src, rec_id, text)``, in one pass over the texts."""
     h = F.xxhash64("rec_id")
     fit_for_training = (F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS)
     each = F.array(
@@ -282,10 +298,10 @@ def _survey(values: DataFrame, train_rows: int) -> tuple[dict, DataFrame]:
     seen = values.where(F.col("text").isNotNull()).select(F.explode(each).alias("x")).groupBy("x.what", "x.of", "x.at").agg(F.count("*").alias("n"), F.min("x.h").alias("h"))
     seen = cut(seen)
     lengths = seen.where("what <> 'sample'").select(F.col("of").alias("src"), (F.col("what") == "bytes").alias("is_bytes"), F.col("at").alias("length"), "n")
-    return _by_source(length_limits(lengths)), seen.where("what = 'sample' and h is not null").select(F.col("of").alias("field"), F.col("h").alias("_hash"))
+    return cut(length_limits(lengths)), seen.where("what = 'sample' and h is not null").select(F.col("of").alias("field"), F.col("h").alias("_hash"))
 
 
-def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> DataFrame:
+def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS, shipped: int = LIMITS_SHIPPED) -> DataFrame:
     """Scores every text of the fields: ``field, rec_id, source, score, truncated``.
 
     ``fields``: name to a frame ``rec_id BIGINT, source STRING, text STRING``.
@@ -303,22 +319,21 @@ def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS) -> Dat
     keyed = both.select("field", src.alias("src"), "rec_id", "text")
     limits, hashes = _survey(keyed, train_rows)
     chosen = sampled_rows(keyed.where((F.length(F.trim("text")) > 0) & (F.length("text") <= TRAIN_CHARS)), "rec_id", hashes, "field")
-    sample = sorted((r.field, r.rec_id, r.text, r.src) for r in chosen.collect())
-    w = fit([(t, limits.get(s, ())) for _, _, t, s in sample])
-    weights = w.astype(np.float32)
+    sample = sorted((r.field, r.rec_id, r.text, tuple(map(tuple, r.limits or ()))) for r in _with_limits(chosen, limits, shipped).collect())
+    weights = fit([(t, lim) for _, _, t, lim in sample]).astype(np.float32)
 
     def make():
         judge = Judge(weights)
 
         def work(b: pa.RecordBatch) -> dict:
-            field, rec, source, text = (c.to_pylist() for c in b.columns)
-            lim = [limits.get(f"{f}|{'null' if s is None else '=' + s}", ()) for f, s in zip(field, source)]
-            s = judge(text, lim)
+            text = b.column(3).to_pylist()
+            s = judge(text, [tuple((x["is_bytes"], x["length"]) for x in lim or ()) for lim in b.column(4).to_pylist()])
             return {"field": b.column(0), "rec_id": b.column(1), "source": b.column(2), "score": [float(x) if t and not t.isspace() else None for x, t in zip(s, text)]}
 
         return work
 
-    out = map_rows(both, "field string, rec_id bigint, source string, score double", make, costly=True)
+    scored = _with_limits(spread(both).withColumn("src", src), limits, shipped).select("field", "rec_id", "source", "text", "limits")
+    out = map_rows(scored, "field string, rec_id bigint, source string, score double", make)
     return out.withColumn("truncated", F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)))
 
 

@@ -134,3 +134,17 @@ def test_shares_are_those_of_the_found(spark):
     found = Q.p2_found(spark, d)
     own = {(f, r.source): r["count"] for f, t in src.items() for r in found.where(F.col("field") == f).join(t, "rec_id").groupBy("source").count().collect()}
     assert per == own and sum(own.values()) > 50
+
+
+def test_limits_of_many_sources_are_joined(spark, texts):
+    """The shuffled way gives what the broadcast one gives."""
+    long = [t for t in texts if len(t) > 100 and t.isascii()][:120]
+    rows = [(i, None if i % 3 else "cutter", t[:60] if i % 3 == 0 else t) for i, t in enumerate(long)]
+    df = spark.createDataFrame(rows, "rec_id bigint, source string, text string")
+    a, b = (sorted(map(tuple, T.truncated({"f": df}, shipped=n).collect()), key=repr) for n in (T.LIMITS_SHIPPED, 0))
+    assert a == b and len(a) == len(rows)
+    lim = spark.createDataFrame([("s", False, 5), ("s", True, 7), ("t", False, 9)], "src string, is_bytes boolean, length int")
+    some = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t"), (4, "u")], "rec_id bigint, src string")
+    want = {1: [(False, 5), (True, 7)], 2: [(False, 5), (True, 7)], 3: [(False, 9)], 4: None}
+    for shipped in (10, 1):
+        assert {r.rec_id: r.limits and [tuple(x) for x in r.limits] for r in T._with_limits(some, lim, shipped).collect()} == want
