@@ -224,7 +224,7 @@ def lines(text: str | None) -> list[tuple[str | None, int, int]]:
     Lines with neither evidence nor a letter or digit are left out; a text without
     evidence has none, nor has a null or blank one.
     """
-    if not text or text.isspace() or not _gate()(text):
+    if not text or text.isspace():
         return []
     own = [(line, _evidence(bare, text) if (bare := _MARKED.sub(" ", line).strip()) else None) for line in _marked(text).split("\n")]
     if not any(kind for _, kind in own):
