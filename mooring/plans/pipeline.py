@@ -146,17 +146,17 @@ def generate_missing(
     todo = cut(G.pending(requests, jsonl.read_completed(spark, raw_path)))
     n = todo.count()
     each = wave_rows or 4 * chunk * spark.sparkContext.defaultParallelism
-    waves, done = -(-n // each), 0
+    waves, done, folder = -(-n // each), 0, f"{shared_folder(spark)}/requests-{uuid.uuid4()}"
     if waves > 1:
-        folder = f"{shared_folder(spark)}/requests-{uuid.uuid4()}"
         todo.withColumn("wave", F.pmod(F.xxhash64("row_idx", "method"), F.lit(waves))).repartition("wave").write.partitionBy("wave").parquet(folder)
         stored = spark.read.parquet(folder)
         parts = [stored.where(F.col("wave") == w).drop("wave").repartition(spark.sparkContext.defaultParallelism) for w in range(waves)]
     else:
         parts = [todo] if n else []
-    for part in parts:
-        done += jsonl.append_jsonl(G.generate(part, make, chunk), raw_path)
-    if waves > 1:
+    try:
+        for part in parts:
+            done += jsonl.append_jsonl(G.generate(part, make, chunk), raw_path)
+    finally:
         files.delete(spark, folder)
     return {"mode": mode, "pending": n, "generated": done, "waves": waves, "methods": list(methods), "prompt_context_method": context_method if mode == "rcot" else None, "raw_output": raw_path}
 

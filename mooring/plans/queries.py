@@ -21,7 +21,7 @@ from mooring.operators import generation as G
 from mooring.operators import prepare, scoring, summary
 from mooring.schemas import CONTROL_METHODS, MAIN_METHODS, SECTIONS
 from mooring.session import cut, shared_folder, spread, table
-from mooring.sources import jsonl
+from mooring.sources import files, jsonl
 
 FIRST_SAMPLE = 1000
 BASE = "SSR"
@@ -225,7 +225,9 @@ def resumed_raw_output(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/raw-{uuid.uuid4()}"
     for part in (F.col("_late") == 1, F.col("_late") == 2, F.col("_late") > 2):
         jsonl.append_jsonl(raw.where(part).orderBy("_late").select("row_idx", "id", "method", "raw_output", F.col("seq").cast("int").alias("output_tokens")), folder)
-    return jsonl.read_completed(spark, folder).select("row_idx", "method", F.col("output_tokens").cast("bigint").alias("seq"), "raw_output")
+    last = cut(jsonl.read_completed(spark, folder).select("row_idx", "method", F.col("output_tokens").cast("bigint").alias("seq"), "raw_output"))
+    files.delete(spark, folder)
+    return last
 
 
 # records
