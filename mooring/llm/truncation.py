@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooring.llm.common import TRAIN_CHARS, map_rows, sampled_rows
@@ -73,19 +73,25 @@ def _bucket(n: int) -> str:
     return str(n) if n < 6 else "6-9" if n < 10 else "10-19" if n < 20 else "20+"
 
 
-def features(text: str, limits: tuple = ()) -> list[str]:
-    """Names of the binary features of one text; ``limits``: pairs (is_bytes, length) of its source."""
+def at_limit(text: str, limits: tuple) -> bool:
+    """Is the text as long as one of the ``limits``, pairs (is_bytes, length)? Bytes may miss or exceed it by a character."""
+    return any(-3 <= len(text.encode()) - n <= 2 if is_bytes else len(text) == n for is_bytes, n in limits)
+
+
+def _at_limit(text: Column, limits: Column) -> Column:
+    """The same in the JVM, for an array of limits; a null one has none."""
+    off = lambda x: F.octet_length(text) - x["length"]
+    return F.coalesce(F.exists(limits, lambda x: F.when(x["is_bytes"], off(x).between(-3, 2)).otherwise(F.length(text) == x["length"])), F.lit(False))
+
+
+def features(text: str, at_its_limit: bool = False) -> list[str]:
+    """Names of the binary features of one text; ``at_its_limit``: is it as long as a limit of its source?"""
     body = text.rstrip()
     while body.endswith(">") and (m := _CLOSER.match(body, max(0, body.rfind("</")))):
         body = body[: m.start()].rstrip()
     closed = "tagged" if "</" in text[len(body) :] else "bare"
     fence = "open" if text.count("```") % 2 else "even"
-    at = "off"
-    for is_bytes, limit in limits:
-        n = len(text.encode()) if is_bytes else len(text)
-        if n == limit or is_bytes and limit - 3 <= n <= limit + 2:
-            at = "at"
-            break
+    at = "at" if at_its_limit else "off"
     after, m = "none", None
     if fence == "even":
         start = body.rfind("\n") + 1
@@ -191,7 +197,7 @@ def training_set(values: list[tuple[str, tuple]], seed: int = 11, cuts: int = CU
     rows, y, of = [], [], []
 
     def add(i: int, text: str, limits: tuple, label: int) -> None:
-        rows.append(features(text, limits))
+        rows.append(features(text, at_limit(text, limits)))
         y.append(label)
         of.append(i)
 
@@ -241,11 +247,11 @@ class Judge:
     def __init__(self, w: np.ndarray):
         self.w, self.names = w, Hashed()
 
-    def __call__(self, texts: list[str | None], limits: list[tuple]) -> np.ndarray:
+    def __call__(self, texts: list[str | None], at_its_limit: list) -> np.ndarray:
         out = np.zeros(len(texts))
         there = [i for i, t in enumerate(texts) if t and not t.isspace()]
         if there:
-            out[there] = score(self.w, self.names.matrix([features(texts[i], limits[i]) for i in there]))
+            out[there] = score(self.w, self.names.matrix([features(texts[i], bool(at_its_limit[i])) for i in there]))
         return out
 
 
@@ -327,12 +333,12 @@ def truncated(fields: dict[str, DataFrame], train_rows: int = TRAIN_ROWS, shippe
 
         def work(b: pa.RecordBatch) -> dict:
             text = b.column(3).to_pylist()
-            s = judge(text, [tuple((x["is_bytes"], x["length"]) for x in lim or ()) for lim in b.column(4).to_pylist()])
+            s = judge(text, b.column(4).to_pylist())
             return {"field": b.column(0), "rec_id": b.column(1), "source": b.column(2), "score": [float(x) if t and not t.isspace() else None for x, t in zip(s, text)]}
 
         return work
 
-    scored = _with_limits(spread(both).withColumn("src", src), limits, shipped).select("field", "rec_id", "source", "text", "limits")
+    scored = _with_limits(spread(both).withColumn("src", src), limits, shipped).select("field", "rec_id", "source", "text", _at_limit(F.col("text"), F.col("limits")).alias("at"))
     out = map_rows(scored, "field string, rec_id bigint, source string, score double", make)
     return out.withColumn("truncated", F.coalesce(F.col("score") >= THRESHOLD, F.lit(False)))
 

@@ -148,3 +148,10 @@ def test_limits_of_many_sources_are_joined(spark, texts):
     want = {1: [(False, 5), (True, 7)], 2: [(False, 5), (True, 7)], 3: [(False, 9)], 4: None}
     for shipped in (10, 1):
         assert {r.rec_id: r.limits and [tuple(x) for x in r.limits] for r in T._with_limits(some, lim, shipped).collect()} == want
+
+
+def test_at_a_limit_in_both_places(spark):
+    rows = [("x" * n, [(b, m)]) for n in range(1, 12) for b in (False, True) for m in (4, 7)] + [("é" * n, [(b, 7), (False, 3)]) for n in range(1, 9) for b in (False, True)] + [("x", []), ("x", None)]
+    df = spark.createDataFrame(rows, f"t string, l {T._LIMITS}")
+    for r in df.select("t", "l", T._at_limit(F.col("t"), F.col("l")).alias("at")).collect():
+        assert r["at"] == T.at_limit(r.t, tuple(map(tuple, r.l or ()))), r
